@@ -98,7 +98,8 @@ def mux(payload: bytes, packet: int = PACKET) -> bytes:
     audio = element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))
     tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + uint(DEFAULT_DURATION, ticks * 1_000_000) + audio))
     parts, cues, at = [info, tracks], [], len(info) + len(tracks)
-    step = packet * BLOCK_PACKETS * CLUSTER_BLOCKS
+    blocks = min(CLUSTER_BLOCKS, 32_767 // (ticks * BLOCK_PACKETS) + 1)  # a block's time, after its cluster's, has 16 bits
+    step = packet * BLOCK_PACKETS * blocks
     for c in range(0, len(payload), step):
         time, body = c // packet * ticks, []
         for b in range(c, min(c + step, len(payload)), packet * BLOCK_PACKETS):

@@ -136,5 +136,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], table: DataFrame,
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled")).withColumn("needs_score", F.col("ruled").isNull())
     scored = score(rows, train(table))
-    learnt = F.when(F.col("score") >= threshold, "block").otherwise("allow")
+    learnt = F.when(F.col("score") > threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", learnt).alias("verdict"), F.when(F.col("ruled").isNull(), F.col("score")).alias("score"))
