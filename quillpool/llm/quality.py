@@ -124,6 +124,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", s: Setting
     return model.weights().astype(np.float32)
 
 
+def probabilities(texts: list[bytes], w: np.ndarray, bits: int, scale: float) -> np.ndarray:
+    slots, n = ngrams(texts, bits)
+    sums = np.add.reduceat(np.append(w[slots].astype(np.float64), 0.0), np.minimum(np.cumsum(n) - n, len(slots)))
+    z = np.where(n > 0, sums / np.maximum(n, 1) * scale, 0.0) + w[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings()) -> DataFrame:
     """docs' rows with `score`; only doc_id and text are read and returned with it."""
     sent, bits, scale = docs.sparkSession.sparkContext.broadcast(weights), s.bits, s.scale  # (2**bits + 1) floats
@@ -134,13 +141,25 @@ def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings()) -> Dat
             out = []
             texts = as_bytes(b.column(b.num_columns - 1))
             for at in range(0, len(texts), 256):
-                slots, n = ngrams(texts[at : at + 256], bits)
-                sums = np.add.reduceat(np.append(w[slots].astype(np.float64), 0.0), np.minimum(np.cumsum(n) - n, len(slots)))
-                z = np.where(n > 0, sums / np.maximum(n, 1) * scale, 0.0) + w[-1]
-                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                out.append(probabilities(texts[at : at + 256], w, bits, scale))
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], pa.array(np.concatenate(out) if out else [], pa.float64())], [*names, "score"])
 
     names = [c for c in docs.columns if c != "text"]
     rows = docs.select(*names, "text")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return rows.mapInArrow(run, f"{kinds}, score double")
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray, s: Settings = Settings()) -> DataFrame:
+    """The rows of docs that score at least the threshold, all columns with them: text goes through the worker and back."""
+    sent, bits, scale, at_least = docs.sparkSession.sparkContext.broadcast(weights), s.bits, s.scale, s.threshold
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                p = probabilities(as_bytes(part.column(place)), sent.value, bits, scale)
+                yield part.filter(pa.array(p >= at_least))
+
+    return docs.mapInArrow(run, docs.schema)

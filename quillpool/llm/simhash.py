@@ -212,3 +212,83 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     """(doc_id, fingerprint, component_id) of each row."""
     fps = cut(fingerprints(docs, words))
     return fps.join(classes(fps, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- near copies of a given similarity
+
+
+PERMUTATIONS, BAND = 128, 4
+
+
+def sketch(hashes: np.ndarray, multipliers: np.ndarray) -> bytes:
+    """The least of the shingles' hashes under each multiplier (upper 32 bits); the share of equal ones estimates Jaccard."""
+    least = np.full(len(multipliers), 0xFFFFFFFF, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        part = (hashes[at : at + 1024, None] * multipliers) >> np.uint64(32)
+        np.minimum(least, part.min(axis=0), out=least)
+    return least.astype("<u4").tobytes()
+
+
+def sketches(rows: DataFrame, words: int) -> DataFrame:
+    """(text_key, fp, sketch, bands array<long>) from (text_key, text)."""
+    seed = np.random.default_rng(SEED).integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as h
+
+        for b in batches:
+            out = []
+            for text in b.column(1).cast(pa.large_binary()).to_pylist():
+                hashes = shingle_hashes(text or b"", words)
+                s = sketch(hashes, seed)
+                step = 4 * BAND
+                bands = np.array([h(s[i : i + step], i) for i in range(0, len(s), step)], np.uint64).view(np.int64)
+                out.append((fingerprint(hashes), s, bands))
+            fp, s, bands = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), pa.array(s, pa.binary()), pa.array(list(bands), pa.list_(pa.int64()))], ["text_key", "fp", "sketch", "bands"])
+
+    return rows.mapInArrow(run, "text_key long, fp long, sketch binary, bands array<long>")
+
+
+def _alike(pairs: DataFrame, least: float) -> DataFrame:
+    """The (src, dst) whose sketches (a, b) agree in at least that share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, PERMUTATIONS) for i in (2, 3))
+            yield batch.select(["src", "dst"]).filter(pa.array((a == b).mean(axis=1) >= least))
+
+    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(text_key, label): the group of each different text. Texts are linked if their shingles' Jaccard similarity is `similarity`.
+
+    A 64-bit SimHash tells so much apart only for almost equal texts: at 0.8, ten bits differ. So candidates are what the
+    BK-trees link and what shares a band of min-wise hashes; sketches of 128 hashes then decide, within 1.5 standard errors.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    nodes = cut(sketches(docs.select(key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text")), words).dropDuplicates(["text_key"]))
+    # in each band, and for each fingerprint, all are compared with the least and the greatest
+    banded = nodes.select("text_key", F.posexplode("bands").alias("band", "value")).unionByName(nodes.select("text_key", F.lit(-1).alias("band"), F.col("fp").alias("value")))
+    ends = banded.groupBy("band", "value").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low < high")
+    stars = banded.join(ends, ["band", "value"]).select(F.col("text_key").alias("src"), F.explode(F.array("low", "high")).alias("dst"))
+    fps = nodes.groupBy("fp").agg(F.min("text_key").alias("k"))
+    trees = links(fps.select("fp")).join(fps.select(F.col("fp").alias("src"), F.col("k").alias("a")), "src").join(fps.select(F.col("fp").alias("dst"), F.col("k").alias("b")), "dst")
+    pairs = stars.unionByName(trees.select(F.col("a").alias("src"), F.col("b").alias("dst"))).where("src <> dst")
+    pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    pairs = pairs.join(nodes.select(F.col("text_key").alias("src"), F.col("sketch").alias("a")), "src").join(nodes.select(F.col("text_key").alias("dst"), F.col("sketch").alias("b")), "dst")
+    least = similarity - 1.5 * (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
+    labels = components(_alike(pairs, least)).withColumnRenamed("node", "text_key")
+    return nodes.select("text_key").join(labels, "text_key", "left").select("text_key", F.coalesce("label", "text_key").alias("label"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies: that of the least doc_id (nulls last), then of the least text key."""
+    groups = cut(near_copies(docs, words, similarity))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", key.alias("text_key")).groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
+    chosen = rows.join(groups, "text_key").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("x"))
+    chosen = chosen.select(F.col("x.doc_id").alias("__id"), F.col("x.text_key").alias("__key"))
+    kept = docs.withColumn("__of", key).join(chosen, (F.col("__of") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__of"]).select(*docs.columns)  # equal rows are copies as well

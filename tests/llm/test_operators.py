@@ -364,7 +364,7 @@ def test_urls(spark):
     assert got[2].verdict == got[5].verdict == "block" and got[4].verdict == "allow"
     held = spark.createDataFrame([(0, "http://www.cheap-pills.example.net/en/926/"), (1, "https://m.adult-x.example.net/en/341#top"), (2, "https://blog.garden.example.net/en/929/")], "page_id long, url string")
     assert [r.verdict for r in urls.judge(held, [], urls.labelled(spark)).orderBy("page_id").collect()] == ["block", "block", "allow"]
-    assert urls.judge(pages, URL_RULES, urls.labelled(spark).limit(0)).where("verdict = 'block'").count() == 2
+    assert urls.judge(pages, URL_RULES, urls.labelled(spark).limit(0)).where("verdict = 'block'").count() == 3
     assert urls.judge(pages.limit(0), URL_RULES, urls.labelled(spark)).count() == 0
 
 
