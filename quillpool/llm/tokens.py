@@ -1,35 +1,70 @@
 """Exact token ids at the speed of a dictionary: chunks between which a tokenizer never merges are encoded once each.
 
 White space splits both vocabularies' pre-tokens, so a text's ids are those of its chunks, one after the other. The
-library encodes each chunk that is not in the worker's table yet; the table is emptied when it is full.
+library encodes each chunk that is not in the worker's table yet.
 """
 
 from __future__ import annotations
 
 import re
+from unicodedata import is_normalized
 
 import numpy as np
 
 # fixed values: the characters that the tokenizers' \s matches
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACES = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: str.split() also splits at these, which to the tokenizers are signs
 NOT_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 RUNS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+SIGNS = ".,!?;:$%&*#()"
+PLAIN = "\u0250"  # letters below this are in every Unicode version; one of them is two characters in lower case
+DOTTED = "\u0130"
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell each byte: as itself if it prints, else as the next free letter from 256."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Chunks(dict):
-    """Ids of each chunk, as little-endian unsigned 32-bit integers."""
+    """Ids of each chunk, with `lead` before it, as little-endian unsigned 32-bit integers.
 
-    def __init__(self, encode, most: int = 600_000):
-        self.encode, self.most = encode, most
+    A run of letters is one pre-token, and so are the signs after it: letters go straight to the vocabulary's model, and
+    a word with signs, or in capitals, is made from its parts. All else goes through the whole tokenizer. When the table
+    is full it becomes the old one, from which what is still used comes back.
+    """
+
+    def __init__(self, tokenizer, lowers: bool, lead: str = "", bare: Chunks | None = None, most: int = 500_000):
+        self.tokenizer, self.lowers, self.lead, self.most, self.old = tokenizer, lowers, lead, most, {}
+        self.bare = self if bare is None else bare
+        self.model, self.letters = tokenizer.model, byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self._made(chunk)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[chunk] = ids
         return ids
 
+    def _made(self, chunk: str) -> bytes:
+        word = chunk.rstrip(SIGNS)
+        if word.isalpha() and max(word) < PLAIN and DOTTED not in word:
+            if len(word) < len(chunk):
+                return self[word] + self.bare[chunk[len(word) :]]
+            if self.lowers and not word.islower():
+                low = "".join(map(str.lower, word))  # letter by letter
+                if low != word:
+                    return self[low]
+            elif word.isascii() or is_normalized("NFC", word):
+                spelled = (self.lead + word).encode().decode("latin-1").translate(self.letters)
+                return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        return np.array(self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 class Encoder:
     """ids(text) of a byte-level vocabulary, where a space belongs to the word after it, or of one that drops white space."""
@@ -39,8 +74,8 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.chunk = Chunks(tokenizer.encode).__getitem__
-        self.spaced = Chunks(lambda word, **kw: tokenizer.encode(" " + word, **kw)).__getitem__
+        plain = Chunks(tokenizer, drops_space)
+        self.chunk, self.spaced = plain.__getitem__, Chunks(tokenizer, drops_space, " ", plain).__getitem__
         self.ids = self._without_space if drops_space else self._with_space
 
     def _without_space(self, text: str) -> bytes:
