@@ -12,7 +12,7 @@ from unicodedata import is_normalized
 import numpy as np
 
 # fixed values: the characters that the tokenizers' \s matches
-SPACES = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: str.split() also splits at these, which to the tokenizers are signs
 NOT_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 RUNS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
