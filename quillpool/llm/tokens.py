@@ -32,12 +32,13 @@ class Chunks(dict):
     """Ids of each chunk, with `lead` before it, as little-endian unsigned 32-bit integers.
 
     A run of letters is one pre-token, and so are the signs after it: letters go straight to the vocabulary's model, and
-    a word with signs, or in capitals, is made from its parts. All else goes through the whole tokenizer. When the table
-    is full it becomes the old one, from which what is still used comes back.
+    a word with signs, or in capitals, is made from its parts. All else goes through the whole tokenizer. Chunks are kept
+    from their second time on; when the table is full it becomes the old one, from which what is still used comes back.
     """
 
-    def __init__(self, tokenizer, lowers: bool, lead: str = "", bare: Chunks | None = None, most: int = 500_000):
+    def __init__(self, tokenizer, lowers: bool, lead: str = "", bare: Chunks | None = None, most: int = 250_000):
         self.tokenizer, self.lowers, self.lead, self.most, self.old = tokenizer, lowers, lead, most, {}
+        self.seen, self.mask = bytearray(1 << 21), (1 << 21) - 1
         self.bare = self if bare is None else bare
         self.model, self.letters = tokenizer.model, byte_letters()
 
@@ -45,9 +46,14 @@ class Chunks(dict):
         ids = self.old.get(chunk)
         if ids is None:
             ids = self._made(chunk)
+            at = hash(chunk) & self.mask
+            if not self.seen[at]:  # most words come once: they are kept from the second time on
+                self.seen[at] = 1
+                return ids
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
+            self.seen = bytearray(len(self.seen))
         self[chunk] = ids
         return ids
 
