@@ -204,7 +204,7 @@ class ActiveLearner:
 def run_active_learning(P: DataFrame, U: DataFrame, L: DataFrame, classifier: dict, strategy: dict, max_iterations: int = 1000, budget: float = 1.0, seed=42) -> tuple[list[dict], object]:
     """The loop from given sets (row_id, text, label): labels come from U itself, and nothing stops it early."""
     learner = ActiveLearner({"data_params": {}, "al_params": {"classifier_config": classifier, "query_strategy_config": strategy, "max_iterations": max_iterations, "target_budget_pct": budget}, "general_params": {"random_seed": seed}})
-    learner.P, learner.U, learner.L, learner.n_pool = P, U, L, U.count()
+    learner.P, learner.U, learner.L, learner.n_pool = P, U, L, U.count() + L.count()
     learner.labels = cut(P.select("label").union(U.select("label")).union(L.select("label")).distinct())
     learner.oracle = SimulatedOracle(U.select("row_id", "label"))
     learner.status = "READY"

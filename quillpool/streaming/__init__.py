@@ -1,0 +1 @@
+"""The engine is a batch engine: no operator here needs a stream."""
