@@ -23,6 +23,7 @@ LABELLED = (
     ("https://adult-video.test/watch", 1), ("http://xxx-pics.test/gallery/9", 1), ("http://casino-win.test/slots", 1),
     ("https://www.best-casino.test/bonus", 1), ("http://free-warez.test/crack.exe", 1), ("http://login-verify.test/account", 1),
     ("http://poker-bets.test/play", 1), ("https://cheap-replica.test/watches", 1), ("http://viagra-shop.test/", 1),
+    ("http://ads-server.test/click/track", 1), ("https://m.ad-tracker.test/pixel", 1), ("http://spam-mails.test/list", 1), ("https://link-farm.test/spam", 1), ("http://sports-bets.test/free", 1), ("https://bets-online.test/odds", 1),
     ("https://sex-chat.test/live", 1), ("http://win-lottery.test/claim-prize", 1), ("http://torrent-crack.test/keygen", 1),
     ("https://www.library.test/catalogue/12", 0), ("https://news.daily.test/world/2021/05", 0), ("http://blog.garden.test/posts/roses", 0),
     ("https://docs.project.test/guide/install", 0), ("https://en.encyclopedia.test/wiki/River", 0), ("http://www.university.test/physics", 0),
