@@ -9,8 +9,6 @@ from __future__ import annotations
 import re
 from unicodedata import is_normalized
 
-import numpy as np
-
 # fixed values: the characters that the tokenizers' \s matches
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: str.split() also splits at these, which to the tokenizers are signs
@@ -36,11 +34,13 @@ class Chunks(dict):
     from their second time on; when the table is full it becomes the old one, from which what is still used comes back.
     """
 
-    def __init__(self, tokenizer, lowers: bool, lead: str = "", bare: Chunks | None = None, most: int = 250_000):
+    def __init__(self, tokenizer, lowers: bool, lead: str = "", bare: Chunks | None = None, most: int = 300_000):
         self.tokenizer, self.lowers, self.lead, self.most, self.old = tokenizer, lowers, lead, most, {}
         self.seen, self.mask = bytearray(1 << 21), (1 << 21) - 1
         self.bare = self if bare is None else bare
-        self.model, self.letters = tokenizer.model, byte_letters()
+        self.tokenize, self.letters = tokenizer.model.tokenize, byte_letters()
+        self.mark = lead.translate(self.letters)  # ASCII letters are spelled as they are
+        self.four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())] if bare is None else bare.four
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
@@ -58,18 +58,18 @@ class Chunks(dict):
         return ids
 
     def _made(self, chunk: str) -> bytes:
-        word = chunk.rstrip(SIGNS)
-        if word.isalpha() and max(word) < PLAIN and DOTTED not in word:
+        word, four = chunk.rstrip(SIGNS), self.four
+        ascii_ = word.isascii()
+        if word.isalpha() and (ascii_ or (max(word) < PLAIN and DOTTED not in word and (is_normalized("NFC", word) or not self.lowers))):
             if len(word) < len(chunk):
                 return self[word] + self.bare[chunk[len(word) :]]
             if self.lowers and not word.islower():
                 low = "".join(map(str.lower, word))  # letter by letter
                 if low != word:
                     return self[low]
-            elif word.isascii() or is_normalized("NFC", word):
-                spelled = (self.lead + word).encode().decode("latin-1").translate(self.letters)
-                return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        return np.array(self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            spelled = self.mark + (word if ascii_ else word.encode().decode("latin-1").translate(self.letters))
+            return b"".join([four[t.id] for t in self.tokenize(spelled)])
+        return b"".join([four[i] for i in self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids])
 
 
 class Encoder:
