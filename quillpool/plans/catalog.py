@@ -485,10 +485,10 @@ def _curve(spark, d) -> DataFrame:
     f"WITH RECURSIVE {S.EVENTS}, st AS (SELECT run, 0::BIGINT AS iteration, NULL::DOUBLE AS best, 0 AS k, NULL::INT AS stop FROM (SELECT DISTINCT run FROM ev) "
     "UNION ALL SELECT s.run, e.iteration, CASE WHEN s.best IS NULL OR e.v > s.best + 0.001 THEN e.v ELSE s.best END, CASE WHEN s.best IS NULL OR e.v > s.best + 0.001 THEN 0 ELSE s.k + 1 END, "
     "CASE WHEN NOT (s.best IS NULL OR e.v > s.best + 0.001) AND s.k + 1 >= 15 THEN e.iteration::INT END FROM st s JOIN ev e ON e.run = s.run AND e.iteration = s.iteration + 1 WHERE s.stop IS NULL) "
-    "SELECT run, round(first(best ORDER BY iteration DESC), 6) AS best, max(stop) AS stop_iteration FROM st GROUP BY run"
+    "SELECT run, round(first(best ORDER BY iteration DESC), 6) AS best, coalesce(max(stop), -1) AS stop_iteration FROM st GROUP BY run"
 )
 def early_stop(spark, d):
-    return rounded(curves.early_stop(_curve(spark, d), 0.001, 15), "best")
+    return rounded(curves.early_stop(_curve(spark, d), 0.001, 15), "best").na.fill(-1, ["stop_iteration"])
 
 
 def _loop_config(iterations: int, **more) -> dict:
