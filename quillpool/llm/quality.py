@@ -32,7 +32,7 @@ COMMA, STOP = crc32(b","), crc32(b".")
 class Settings:
     bits: int = 18
     scale: float = 60.0
-    train_rows: int = 20_000
+    train_rows: int = 8_000
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
