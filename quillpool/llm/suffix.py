@@ -361,13 +361,18 @@ def spans_and_digests(length: int):
     return run
 
 
-def dedupe(docs: DataFrame, length: int = 50, part_bytes: int = 12 << 20, finish=spans_and_digests, schema: str = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string") -> DataFrame:
+def sized(total: int) -> int:
+    """Bytes of a part: 12 MB up to 240 GB of text, then more, to 256 MB, so that parts times buckets stays small."""
+    return min(256 << 20, max(12 << 20, total // 20_000))
+
+
+def dedupe(docs: DataFrame, length: int = 50, part_bytes: int | None = None, finish=spans_and_digests, schema: str = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string") -> DataFrame:
     """What `finish` makes of each part and its answers; by default one row of digests for each document."""
     if not K < length <= K + 31:
         raise ValueError(f"length must be {K + 1} to {K + 31}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // part_bytes) + 1
+    parts = -(-total // (part_bytes or sized(total))) + 1
     texts = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)).cast("int")).repartition(parts, "part")
     by_part = texts.groupBy("part")
     hashes = by_part.applyInArrow(send_hashes(length, parts), "bucket int, part int, data binary")
@@ -394,6 +399,6 @@ def _cleaned(length: int):
     return run
 
 
-def cleaned(docs: DataFrame, length: int = 50, part_bytes: int = 12 << 20) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = 50, part_bytes: int | None = None) -> DataFrame:
     """(doc_id, text) without the repeated strings."""
     return dedupe(docs, length, part_bytes, _cleaned, "doc_id long, text string")
