@@ -250,36 +250,77 @@ def sketches(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "text_key long, fp long, sketch binary, bands array<long>")
 
 
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """The (src, dst) whose sketches (a, b) agree in at least that share."""
+def _shares(pairs: DataFrame, kind: str, share) -> DataFrame:
+    """(src, dst, share): what share(a, b) gives for the two binary values of each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, PERMUTATIONS) for i in (2, 3))
-            yield batch.select(["src", "dst"]).filter(pa.array((a == b).mean(axis=1) >= least))
+            a, b = ([np.frombuffer(x, kind) for x in batch.column(i).to_pylist()] for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([share(x, y) for x, y in zip(a, b)], pa.float64())], ["src", "dst", "share"])
 
-    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long, share double")
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> float:
+    return float((a == b).mean())
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of sorted arrays without repeats."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _with_values(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """The pairs with the values of both ends, as a and b."""
+    side = lambda end, out: values.select(F.col("text_key").alias(end), F.col(name).alias(out))
+    return pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+
+
+def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """(text_key, shingles binary): the different shingles' hashes, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                found = [np.unique(shingle_hashes(t or b"", words)).tobytes() for t in part.column(1).cast(pa.large_binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["text_key", "shingles"])
+
+    return rows.mapInArrow(run, "text_key long, shingles binary")
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(text_key, label): the group of each different text. Texts are linked if their shingles' Jaccard similarity is `similarity`.
 
     A 64-bit SimHash tells so much apart only for almost equal texts: at 0.8, ten bits differ. So candidates are what the
-    BK-trees link and what shares a band of min-wise hashes; sketches of 128 hashes then decide, within 1.5 standard errors.
+    BK-trees link and what shares a band of min-wise hashes. Sketches of 128 hashes decide what lies more than 3.5 to 4
+    standard errors from the limit, the shingles themselves the rest.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    nodes = cut(sketches(docs.select(key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text")), words).dropDuplicates(["text_key"]))
-    # in each band, and for each fingerprint, all are compared with the least and the greatest
+    texts = docs.select(key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    nodes = cut(sketches(texts, words).dropDuplicates(["text_key"]))
+    # in each band, and for each fingerprint, all are compared with two texts of it; other ones in each band
     banded = nodes.select("text_key", F.posexplode("bands").alias("band", "value")).unionByName(nodes.select("text_key", F.lit(-1).alias("band"), F.col("fp").alias("value")))
-    ends = banded.groupBy("band", "value").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low < high")
+    order = F.struct(F.xxhash64("text_key", "band").alias("h"), "text_key")
+    ends = banded.groupBy("band", "value").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low < high")
+    ends = ends.select("band", "value", F.col("low.text_key").alias("low"), F.col("high.text_key").alias("high"))
     stars = banded.join(ends, ["band", "value"]).select(F.col("text_key").alias("src"), F.explode(F.array("low", "high")).alias("dst"))
     fps = nodes.groupBy("fp").agg(F.min("text_key").alias("k"))
     trees = links(fps.select("fp")).join(fps.select(F.col("fp").alias("src"), F.col("k").alias("a")), "src").join(fps.select(F.col("fp").alias("dst"), F.col("k").alias("b")), "dst")
     pairs = stars.unionByName(trees.select(F.col("a").alias("src"), F.col("b").alias("dst"))).where("src <> dst")
     pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    pairs = pairs.join(nodes.select(F.col("text_key").alias("src"), F.col("sketch").alias("a")), "src").join(nodes.select(F.col("text_key").alias("dst"), F.col("sketch").alias("b")), "dst")
-    least = similarity - 1.5 * (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
-    labels = components(_alike(pairs, least)).withColumnRenamed("node", "text_key")
+    error = (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
+    judged = cut(_shares(_with_values(pairs, nodes, "sketch"), "<u4", _equal).where(F.col("share") >= similarity - 4 * error))
+    close = F.col("share") < similarity + 3.5 * error
+    open_ = judged.where(close).select("src", "dst")
+    ends = open_.select(F.col("src").alias("text_key")).unionByName(open_.select(F.col("dst").alias("text_key"))).distinct()
+    sets = cut(shingle_sets(texts.join(ends, "text_key", "left_semi").dropDuplicates(["text_key"]), words))
+    exact = _shares(_with_values(open_, sets, "shingles"), "<u8", _jaccard).where(F.col("share") >= similarity)
+    labels = components(judged.where(~close).select("src", "dst").unionByName(exact.select("src", "dst"))).withColumnRenamed("node", "text_key")
     return nodes.select("text_key").join(labels, "text_key", "left").select("text_key", F.coalesce("label", "text_key").alias("label"))
 
 
