@@ -68,7 +68,7 @@ def counts(docs: DataFrame) -> DataFrame:
 RATES = {
     "symbols": ("n_symbols / greatest(n_words, 1)", 0.5, "high"),
     "dup_lines": ("n_dup_lines / greatest(n_words, 1)", 0.05, "high"),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.15, "high"),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.3, "high"),
     "word_length": ("word_chars / greatest(n_words, 1)", 3.0, "both"),
 }
 
