@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cache import cached, fingerprint
 from .vectorizer import ProductVectorizer, predicted, with_probas
 
 CODES = ("PVBin", "GNB", "LSVC", "LR", "SGD")
@@ -131,17 +132,20 @@ def aligned(long: DataFrame, labels: DataFrame) -> DataFrame:
 class ProbabilityEmbedder:
     """Rows as their class probabilities. It is fitted with the labels of the rows it is given."""
 
-    def __init__(self, **params):
-        self.vectorizer = ProductVectorizer(**params)
+    def __init__(self, cache: str | None = None, **params):
+        """cache: a folder for embeddings, keyed by the rows they were fitted on and made for."""
+        self.vectorizer, self.cache = ProductVectorizer(**params), cache
 
     def fit(self, df: DataFrame) -> ProbabilityEmbedder:
         if "label" not in df.columns:
             raise ValueError("fitting needs labels")
         self.model = self.vectorizer.fit(df)
+        self.fitted_on = fingerprint(df.select("row_id", "text", "label"), self.vectorizer) if self.cache else None
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.scored(df).select("row_id", F.col("probas").alias("vec"))
+        make = lambda: self.model.scored(df).select("row_id", F.col("probas").alias("vec"))
+        return cached(df.select("row_id", "text"), self.cache, make, self.fitted_on) if self.cache else make()
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
@@ -154,7 +158,8 @@ class ProbabilityEmbedder:
 def get_embedder(config: dict) -> ProbabilityEmbedder:
     if config.get("type") != "PVProb":
         raise ValueError(f"unknown embedder {config.get('type')!r}; known: PVProb")
-    params = dict((config.get("params") or {}).get("vectorizer_params") or {})
+    given = config.get("params") or {}
+    params = dict(given.get("vectorizer_params") or {})
     if isinstance(params.get("ngram_range"), list):
         params["ngram_range"] = tuple(params["ngram_range"])
-    return ProbabilityEmbedder(**params)
+    return ProbabilityEmbedder(cache=given.get("cache_dir"), **params)

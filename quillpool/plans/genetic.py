@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, draw_int, draw_unit
-from ..functions.text import words
+from ..functions.text import ngrams, normal_label, tokens, words
 from ..operators.prepare import drop_null, rare_grouped
 from ..operators.vectorizer import counted
-from ..functions.text import normal_label
-from ..session import cut
+from ..session import cut, written
 
 
 def dataset(df: DataFrame, text: str, label: str, row_id: str, least: int | None, labels: DataFrame | None = None) -> DataFrame:
@@ -40,8 +39,6 @@ def class_terms(genes: DataFrame, rows: DataFrame, low: int, high: int) -> DataF
 
     Weights are binary. A class document's texts stand in row order, so n-grams run across the seams; a set's rows are few.
     """
-    from ..functions.text import ngrams, tokens
-
     chosen = genes.join(rows, "row_id").select("individual_id", "label", "row_id", tokens(F.col("text")).alias("t"))
     docs = chosen.groupBy("individual_id", "label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "t"))), lambda s: s["t"])).alias("t"))
     return docs.select("individual_id", "label", F.explode(F.array_distinct(ngrams(F.col("t"), low, high))).alias("term"))
@@ -233,7 +230,7 @@ def run_goals(rows: DataFrame, folder: str, settings: dict, goals=(("accuracy",
     spark, out = rows.sparkSession, []
     for k, (metric, goal) in enumerate(goals):
         name = f"{metric}_{goal}"
-        if _there(spark, f"{folder}/{name}/best") and _there(spark, f"{folder}/{name}/history"):
+        if written(spark, f"{folder}/{name}/best") and written(spark, f"{folder}/{name}/history"):
             out.append((name, False))
             continue
         found = GeneticOptimizer(metric=metric, goal=goal, **(settings | {"seed": settings.get("seed", 42) + 100 * k})).run(rows)
@@ -244,12 +241,6 @@ def run_goals(rows: DataFrame, folder: str, settings: dict, goals=(("accuracy",
     return out
 
 
-def _there(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def best_rows(rows: DataFrame, chosen: DataFrame, value, metric: str, goal: str) -> DataFrame:
     """The chosen rows with the value that they reach."""
     return rows.join(chosen.select("row_id"), "row_id", "left_semi").select("row_id", "text", "label", F.lit(value).cast("double").alias("metric_value"), F.lit(metric.upper()).alias("metric_type"), F.lit(goal.upper()).alias("optimization_goal"))

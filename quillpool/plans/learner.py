@@ -76,9 +76,10 @@ class ActiveLearner:
             if rows.isEmpty():
                 raise ValueError("no row has both a text and a label")
             self.labels = cut(rows.select("label").distinct())
-            if self._needs_vectors():
-                embedder = get_embedder(self.config.get("embedder_global_config") or {"type": "PVProb", "params": {}})
-                rows = cut(rows.join(embedder.fit_transform(rows), "row_id"))
+            embedding = self.config.get("embedder_global_config") or {"type": "PVProb", "params": {}}
+            late = embedding.get("fit_on", "all") == "L"  # by default it sees all labels, also those of P
+            if self._needs_vectors() and not late:
+                rows = cut(rows.join(get_embedder(embedding).fit_transform(rows), "row_id"))
             self.rows = rows
             self.P, pool_ = rows.where("part = 'P'"), rows.where("part = 'U'")
             base = self.config.get("baseline_classifier_config")
@@ -92,6 +93,9 @@ class ActiveLearner:
             answers = cut(self.oracle.query(pool.take(pool_, first)))
             self.L = cut(answers.where("label is not null").select(*rows.columns))
             self.U = cut(pool.remaining(pool_, first))
+            if self._needs_vectors() and late:
+                vectors = cut(get_embedder(embedding).fit(self.L).transform(rows))
+                self.P, self.U, self.L = (x.join(vectors, "row_id") for x in (self.P, self.U, self.L))
             self.status = "READY"
         except Exception as error:
             self.status, self.error = "SETUP_FAILED", str(error)

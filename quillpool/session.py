@@ -38,3 +38,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df reliably to the shared folder and go on from there: computed once, and no executor's loss undoes it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end; asks the path's own file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

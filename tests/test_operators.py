@@ -313,3 +313,29 @@ def test_genetic_run(spark, tmp_path):
     assert genetic.run_goals(rows, str(tmp_path / "g"), settings, goals) == [("accuracy_maximize", True)]
     assert genetic.run_goals(rows, str(tmp_path / "g"), settings, goals) == [("accuracy_maximize", False)]
     assert spark.read.parquet(str(tmp_path / "g" / "accuracy_maximize" / "best")).count() == 3
+
+
+def test_cache(spark, tmp_path):
+    from quillpool.operators.cache import cached, fingerprint
+
+    rows = texts(spark, 12)
+    assert fingerprint(rows, 1) == fingerprint(rows.orderBy(F.col("row_id").desc()).repartition(3), 1)
+    assert len({fingerprint(rows, 1), fingerprint(rows, 2), fingerprint(rows.where("row_id > 0"), 1), fingerprint(rows.withColumn("label", F.lit("a")), 1)}) == 4
+    made = []
+    for _ in range(2):
+        out = cached(rows, str(tmp_path), lambda: made.append(1) or rows.select("row_id"), "s")
+    assert made == [1] and out.count() == 12
+    embedder = models.get_embedder({"type": "PVProb", "params": {"cache_dir": str(tmp_path / "e")}})
+    first = sorted(map(tuple, embedder.fit_transform(rows).collect()))
+    assert first == sorted(map(tuple, embedder.fit_transform(rows.orderBy(F.col("row_id").desc())).collect())) and len(list((tmp_path / "e").iterdir())) == 1
+
+
+def test_embedder_on_start_only(spark):
+    run = learner.ActiveLearner(loop("ENT", {"type": "GNB"}, max_iterations=1) | {"embedder_global_config": {"type": "PVProb", "fit_on": "L"}}).setup(texts(spark)).run()
+    assert run.history[0]["status"] == "COMPLETED_ITERATION" and run.history[0]["external_acc"] is not None
+
+
+def test_label_places(spark):
+    base = ProductVectorizer()
+    model = base.set_params(method="binary").fit(texts(spark, 9))
+    assert base.method == "tfidf" and [model.index_of(x) for x in "ab?"] == [0, 1, -1] and model.label_of(2) == "c" and model.label_of(3) is None
