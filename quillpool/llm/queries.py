@@ -27,7 +27,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = quality.Settings()
     weights = quality.train(docs, table(spark, sf_dir, "labels"), "quality", s, usable=fold != 0)
     scored = quality.score(docs.select("doc_id", "text"), weights, s)
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= s.threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= s.threshold).cast("int").alias("predicted"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
