@@ -137,11 +137,11 @@ def _rows(*columns: tuple) -> pa.Table:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value: their sizes in bytes, then they."""
+    """Arrays as one compressed value: their sizes in bytes, then they, byte by byte of their items."""
     import zstandard
 
-    raw = [np.ascontiguousarray(a).tobytes() for a in arrays]
-    return np.array([len(r) for r in raw], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in map(np.ravel, arrays)]
+    return np.array([len(r) for r in planes], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def _unpack(value: bytes, *kinds: str) -> list[np.ndarray]:
@@ -149,8 +149,16 @@ def _unpack(value: bytes, *kinds: str) -> list[np.ndarray]:
 
     sizes = np.frombuffer(value[: 8 * len(kinds)], "<i8")
     raw = zstandard.ZstdDecompressor().decompress(value[8 * len(kinds) :], max_output_size=int(sizes.sum()) or 1)
-    ends = np.cumsum(sizes)
-    return [np.frombuffer(raw[e - s : e], k) for s, e, k in zip(sizes, ends, kinds)]
+    out = []
+    for s, e, k in zip(sizes, np.cumsum(sizes), map(np.dtype, kinds)):
+        planes = np.frombuffer(raw[e - s : e], np.uint8).reshape(k.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(k).reshape(-1))
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences, which compress where values rise slowly; np.cumsum undoes them."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 def send_hashes(length: int, buckets: int):
@@ -159,7 +167,7 @@ def send_hashes(length: int, buckets: int):
         h = np.unique((_bucket(h, buckets).astype(np.uint64) << np.uint64(32)) | _low(h))
         bucket = (h >> np.uint64(32)).astype(np.int64)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(h) else np.zeros(1, int)
-        found = [(int(bucket[s]), _low(h[s:e]).tobytes()) for s, e in zip(edges, edges[1:])]
+        found = [(int(bucket[s]), _pack(_steps(_low(h[s:e])))) for s, e in zip(edges, edges[1:])]
         return _rows(("bucket", pa.int32(), [b for b, _ in found]), ("part", pa.int32(), [key[0].as_py()] * len(found)), ("data", pa.binary(), [d for _, d in found]))
 
     return run
@@ -167,7 +175,7 @@ def send_hashes(length: int, buckets: int):
 
 def shared_hashes(key, table):
     """What each part of a bucket shares with another one."""
-    lists = [np.frombuffer(d.as_py(), np.uint32) for d in table["data"]]
+    lists = [np.cumsum(_unpack(d.as_py(), "<u4")[0], dtype=np.uint32) for d in table["data"]]
     every = np.sort(np.concatenate(lists))
     shared = np.unique(every[1:][every[1:] == every[:-1]])
     out = []
@@ -175,7 +183,7 @@ def shared_hashes(key, table):
         at = np.searchsorted(shared, own)
         both = own[shared[np.minimum(at, len(shared) - 1)] == own] if len(shared) else own[:0]
         if len(both):
-            out.append((part, both.tobytes()))
+            out.append((part, _pack(_steps(both))))
     return _rows(("part", pa.int32(), [p for p, _ in out]), ("bucket", pa.int32(), [key[0].as_py()] * len(out)), ("data", pa.binary(), [d for _, d in out]))
 
 
@@ -207,7 +215,7 @@ def send_windows(length: int, buckets: int):
         code = (bucket.astype(np.uint64) << np.uint64(32)) | _low(h)
         wanted = [np.zeros(0, np.uint64)]
         for b, data in zip(marks["bucket"].to_pylist(), marks["data"]):
-            wanted.append((np.uint64(b) << np.uint64(32)) | np.frombuffer(data.as_py(), np.uint32).astype(np.uint64))
+            wanted.append((np.uint64(b) << np.uint64(32)) | np.cumsum(_unpack(data.as_py(), "<u4")[0], dtype=np.uint64))
         wanted = np.sort(np.concatenate(wanted))
         near = np.searchsorted(wanted, code)
         marked = wanted[np.minimum(near, len(wanted) - 1)] == code if len(wanted) else np.zeros(len(code), bool)
@@ -224,17 +232,17 @@ def send_windows(length: int, buckets: int):
             windows = docs.windows(at, length)
             group = _same(windows)
             order = np.lexsort((doc, group))
-            head = order[np.flatnonzero(np.diff(group[order], prepend=-1))]  # of each group the least document's
+            head = np.sort(order[np.flatnonzero(np.diff(group[order], prepend=-1))])  # of each group the least document's
             rank = np.empty(group.max() + 1, np.int64)
             rank[group[head]] = np.arange(len(head))
             ids = docs.ids[doc[head]]
-            rows.append((-1 - part, _pack(at.astype(np.uint32), rank[group].astype(np.uint32), ids)))
+            rows.append((-1 - part, _pack(_steps(at.astype(np.uint32)), _steps(rank[group].astype(np.uint32)), _steps(ids))))
             to = bucket[head]
             order = np.argsort(to, kind="stable")
             edges = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
             for s, e in zip(edges, edges[1:]):
                 chosen = order[s:e]
-                rows.append((int(to[chosen[0]]), _pack(windows[head[chosen]], ids[chosen], chosen.astype(np.uint32))))
+                rows.append((int(to[chosen[0]]), _pack(windows[head[chosen]], _steps(ids[chosen]), _steps(chosen.astype(np.uint32)))))
         return _rows(("to", pa.int32(), [t for t, _ in rows]), ("part", pa.int32(), [part] * len(rows)), ("data", pa.binary(), [d for _, d in rows]))
 
     return run
@@ -292,13 +300,14 @@ def judge_windows(length: int):
         width = K + 2 * (length - K) + 2
         parts, lists = table["part"].to_pylist(), [_unpack(d.as_py(), "u1", "<i8", "<u4") for d in table["data"]]
         windows = np.concatenate([x[0].reshape(-1, width) for x in lists])
-        mask = repeated(windows, np.concatenate([x[1] for x in lists]), length)
+        mask = repeated(windows, np.concatenate([np.cumsum(x[1]) for x in lists]), length)
         out, at = [], 0
         for part, (_, _, ref) in zip(parts, lists):
+            ref = np.cumsum(ref, dtype=np.uint32)
             m = mask[at : at + len(ref)]
             at += len(ref)
             if m.any():
-                out.append((part, _pack(ref[m > 0], m[m > 0])))
+                out.append((part, _pack(_steps(ref[m > 0]), m[m > 0])))
         return _rows(("part", pa.int32(), [p for p, _ in out]), ("to", pa.int32(), [to] * len(out)), ("data", pa.binary(), [d for _, d in out]))
 
     return run
@@ -311,8 +320,10 @@ def spans_of(docs: Part, answers: pa.Table, length: int) -> tuple[np.ndarray, np
     for to, data in zip(answers["to"].to_pylist(), answers["data"]):
         if to < 0:
             at, group, ids = _unpack(data.as_py(), "<u4", "<u4", "<i8")
+            at, group, ids = np.cumsum(at, dtype=np.uint32), np.cumsum(group, dtype=np.uint32), np.cumsum(ids)
         else:
-            masks.append(_unpack(data.as_py(), "<u4", "<u4"))
+            ref, m = _unpack(data.as_py(), "<u4", "<u4")
+            masks.append((np.cumsum(ref, dtype=np.uint32), m))
     if at is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     mask = np.zeros(len(ids), np.uint32)
