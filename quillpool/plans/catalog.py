@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.draws import draw
 from ..operators import coldstart, evaluate, models, pool, prepare, select
-from ..operators.vectorizer import ProductVectorizer, class_counted, counted, document_frequency, idf, weighted
+from ..operators.vectorizer import ProductVectorizer, class_counted, counted, document_frequency, idf, row_terms, weighted
 from ..session import cut, shared_dir, table
 from ..sources import tables
 from . import config, curves, genetic, history, learner, oracle
@@ -655,7 +655,7 @@ FIT = _fitness_sql()
 
 def fit_table(spark, d) -> DataFrame:
     rows = ga_rows(spark, d)
-    out = genetic.fitness(people(spark, d), rows, counted(rows, 1, 2).select("row_id", "term"), labels=rows.select("label").distinct())
+    out = genetic.fitness(people(spark, d), rows, row_terms(rows, 1, 2), labels=rows.select("label").distinct())
     return rounded(out.select(F.col("individual_id").cast("int").alias("individual_id"), "accuracy", "macro_f1"), "accuracy", "macro_f1")
 
 

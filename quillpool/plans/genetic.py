@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw, draw_int, draw_unit
 from ..functions.text import ngrams, normal_label, tokens, words
 from ..operators.prepare import drop_null, rare_grouped
-from ..operators.vectorizer import counted
+from ..operators.vectorizer import row_terms
 from ..session import cut, written
 
 
@@ -167,7 +167,7 @@ class GeneticOptimizer:
 
     def run(self, rows: DataFrame) -> GeneticOptimizer:
         """rows: (row_id, text, label). Fills log, history, best and best_metric."""
-        terms = cut(counted(rows, self.low, self.high).select("row_id", "term"))
+        terms = cut(row_terms(rows, self.low, self.high))
         labels = cut(rows.select("label").distinct())
         genes = cut(init_population(rows, self.size, self.population, self.seed))
         memo: dict[str, tuple] = {}
