@@ -51,19 +51,19 @@ def pieces(docs: DataFrame, path: str, drops_space: bool = False, end_id: int =
 
 
 class Sequences:
-    """Open sequences by free room; a bit for each room that one has, so that the best fit is a bit operation."""
+    """Sequences by free room; a bit for each room that one has, so that the best fit is a bit operation."""
 
     def __init__(self, length: int):
         self.length, self.by_room, self.bits = length, [[] for _ in range(length + 1)], 0
         self.members: list[list[int]] = []
+        self.used: list[int] = []
 
     def add(self, members: list[int], used: int) -> None:
-        self._open(len(self.members), self.length - used)
-        self.members.append(members)
-
-    def _open(self, seq: int, room: int) -> None:
-        self.by_room[room].append(seq)
+        room = self.length - used
+        self.by_room[room].append(len(self.members))
         self.bits |= 1 << room
+        self.members.append(members)
+        self.used.append(used)
 
     def fit(self, item: int, size: int) -> None:
         above = self.bits >> size
@@ -71,81 +71,82 @@ class Sequences:
             self.add([item], size)
             return
         room = size + (above & -above).bit_length() - 1
-        seq = self.by_room[room].pop()
-        if not self.by_room[room]:
+        held = self.by_room[room]
+        seq = held.pop()
+        if not held:
             self.bits &= ~(1 << room)
         self.members[seq].append(item)
-        self._open(seq, room - size)
+        self.used[seq] += size
+        self.by_room[room - size].append(seq)
+        self.bits |= 1 << (room - size)
 
 
-def best_fit(sizes: np.ndarray, order: np.ndarray, length: int, start: list[list[int]] = ()) -> list[list[int]]:
-    """Puts the pieces of `order` in turn into the fullest sequence with room, beside the groups of `start`."""
-    out = Sequences(length)
-    of = sizes.tolist()
-    for group in start:
-        out.add(group, sum(of[i] for i in group))
-    for i in order.tolist():
-        out.fit(i, of[i])
-    return out.members
-
+class Packing:
+    """A solution: the pieces of each sequence, the tokens that they use, and how good that is."""
 
-def value(groups: list[list[int]], sizes: np.ndarray, length: int) -> tuple[int, float]:
-    """Fewer sequences first; then fuller full ones (which leaves the room together), by the sum of squares."""
-    fill = np.array([sizes[g].sum() for g in groups]) / length
-    return -len(groups), float((fill**2).sum())
+    def __init__(self, members: list[list[int]], used: list[int], length: int):
+        self.members, self.used = members, np.array(used, np.int64)
+        # fewer sequences first; then fuller full ones, which leaves the room together
+        self.value = (-len(members), float(((self.used / length) ** 2).sum()))
+        self.flat = np.fromiter((i for m in members for i in m), np.int64)
+        self.of = np.repeat(np.arange(len(members)), [len(m) for m in members])
 
 
-def crossover(a: list[list[int]], b: list[list[int]], sizes: np.ndarray, length: int, rng: np.random.Generator, share: float = 0.5) -> list[list[int]]:
-    fill = np.array([sizes[g].sum() for g in b]) / length
-    good = np.argsort(-fill, kind="stable")[: max(1, int(len(b) * share))]
-    injected = [list(b[i]) for i in good[rng.random(len(good)) < 0.7]]
+def best_fit(sizes: np.ndarray, order: np.ndarray, length: int, start: list[tuple[list[int], int]] = ()) -> Packing:
+    """Puts the pieces of `order` in turn into the fullest sequence with room, beside the sequences of `start`."""
+    out = Sequences(length)
+    for members, used in start:
+        out.add(members, used)
+    for item, size in zip(order.tolist(), sizes[order].tolist()):
+        out.fit(item, size)
+    return Packing(out.members, out.used, length)
+
+
+def crossover(a: Packing, b: Packing, sizes: np.ndarray, length: int, rng: np.random.Generator, share: float = 0.5) -> Packing:
+    good = np.argsort(-b.used, kind="stable")[: max(1, int(len(b.members) * share))]
+    chosen = good[rng.random(len(good)) < 0.7]
+    injected = np.zeros(len(b.members), bool)
+    injected[chosen] = True
     taken = np.zeros(len(sizes), bool)
-    for g in injected:
-        taken[g] = True
-    kept, displaced = [], []
-    for g in a:
-        mine = np.array(g)
-        dup = taken[mine]
-        if not dup.any() and sizes[mine].sum() >= 0.98 * length:
-            kept.append(list(g))
-        else:  # it loses its duplicates, and is dissolved unless it is full
-            displaced.append(mine[~dup])
-    loose = np.concatenate(displaced) if displaced else np.zeros(0, np.int64)
+    taken[b.flat[injected[b.of]]] = True
+    # a's sequences stay whole if they are full and hold no piece that was injected; the others are dissolved
+    whole = (np.bincount(a.of, taken[a.flat], len(a.members)) == 0) & (a.used >= 0.98 * length)
+    loose = a.flat[~whole[a.of] & ~taken[a.flat]]
+    start = [(list(b.members[i]), int(b.used[i])) for i in chosen.tolist()] + [(list(a.members[i]), int(a.used[i])) for i in np.flatnonzero(whole).tolist()]
     rank = sizes[loose] + rng.random(len(loose)) * (64 * rng.random())  # largest first, with some play
-    return best_fit(sizes, loose[np.argsort(-rank, kind="stable")], length, injected + kept)
+    return best_fit(sizes, loose[np.argsort(-rank, kind="stable")], length, start)
 
 
-def evolve(sizes: np.ndarray, length: int, population: list[list[list[int]]], generations: int, rng: np.random.Generator) -> list[list[list[int]]]:
-    """Steady state: each child replaces the worst if it is better. Ends when nothing can be saved."""
+def evolve(sizes: np.ndarray, length: int, population: list[Packing], generations: int, rng: np.random.Generator) -> list[Packing]:
+    """Steady state, best first: each child replaces the worst if it is better. Ends when nothing can be saved."""
     least = -(-int(sizes.sum()) // length)
-    scored = sorted(((value(p, sizes, length), k, p) for k, p in enumerate(population)), key=lambda x: x[:2], reverse=True)
-    for step in range(generations):
-        if -scored[0][0][0] <= least:
+    ranked = sorted(population, key=lambda p: p.value, reverse=True)
+    for _ in range(generations):
+        if len(ranked[0].members) <= least:
             break
-        i, j = rng.choice(len(scored), 2, replace=False)
-        child = crossover(scored[i][2], scored[j][2], sizes, length, rng)
-        v = value(child, sizes, length)
-        if v > scored[-1][0]:
-            scored[-1] = (v, len(population) + step, child)
-            scored.sort(key=lambda x: x[:2], reverse=True)
-    return [p for _, _, p in scored]
+        i, j = rng.choice(len(ranked), 2, replace=False)
+        child = crossover(ranked[i], ranked[j], sizes, length, rng)
+        if child.value > ranked[-1].value:
+            ranked[-1] = child
+            ranked.sort(key=lambda p: p.value, reverse=True)
+    return ranked
 
 
-def founders(sizes: np.ndarray, length: int, count: int, rng: np.random.Generator) -> list[list[list[int]]]:
+def founders(sizes: np.ndarray, length: int, count: int, rng: np.random.Generator) -> list[Packing]:
     """Best fit by decreasing size, with more play from one founder to the next."""
     return [best_fit(sizes, np.argsort(-(sizes + rng.random(len(sizes)) * 40 * k), kind="stable"), length) for k in range(count)]
 
 
-def labels_of(groups: list[list[int]], n: int) -> np.ndarray:
-    out = np.empty(n, np.int64)
-    for k, g in enumerate(groups):
-        out[g] = k
+def labels_of(packing: Packing) -> np.ndarray:
+    out = np.empty(len(packing.flat), np.int64)
+    out[packing.flat] = packing.of
     return out
 
 
-def groups_of(labels: np.ndarray) -> list[list[int]]:
+def packing_of(labels: np.ndarray, sizes: np.ndarray, length: int) -> Packing:
     order = np.argsort(labels, kind="stable")
-    return [g.tolist() for g in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1)]
+    members = [g.tolist() for g in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1)]
+    return Packing(members, [int(sizes[m].sum()) for m in members], length)
 
 
 def pack(cut_pieces: DataFrame, length: int = 2048, shard_rows: int = 8192, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 10) -> DataFrame:
@@ -166,10 +167,10 @@ def pack(cut_pieces: DataFrame, length: int = 2048, shard_rows: int = 8192, isla
             rng = np.random.default_rng([shard, island, epoch])
             own = founders(sizes, length, population, rng)
             if table["elite"].null_count == 0 and table.num_rows:
-                own[-1] = groups_of(table["elite"].to_numpy())
+                own[-1] = packing_of(table["elite"].to_numpy(), sizes, length)
             best = evolve(sizes, length, own, generations, rng)[0]
-            found = pa.array(labels_of(best, len(sizes)))
-            n = pa.array(np.full(len(sizes), len(best)))
+            found = pa.array(labels_of(best))
+            n = pa.array(np.full(len(sizes), len(best.members)))
             to = (island + 1) % islands if epoch + 1 < epochs else island  # its elite emigrates
             return pa.table([table["shard"], pa.array(np.full(len(sizes), to, np.int32)), table["uid"], table["size"], found, n], names=["shard", "island", "uid", "size", "elite", "sequences"])
 

@@ -211,9 +211,11 @@ def test_genetic_search_never_loses():
     sizes = rng.integers(1, 101, 400)
     start = packing.founders(sizes, 100, 4, rng)
     best = packing.evolve(sizes, 100, start, 60, rng)[0]
-    assert sorted(i for g in best for i in g) == list(range(400))
-    assert all(sizes[g].sum() <= 100 for g in best)
-    assert packing.value(best, sizes, 100) >= max(packing.value(s, sizes, 100) for s in start)
+    assert sorted(best.flat.tolist()) == list(range(400))
+    assert [sizes[m].sum() for m in best.members] == best.used.tolist() and best.used.max() <= 100
+    assert best.value >= max(s.value for s in start)
+    again = packing.packing_of(packing.labels_of(best), sizes, 100)
+    assert again.value == best.value and again.members == [sorted(m) for m in best.members]
 
 
 # --- 5
