@@ -21,19 +21,26 @@ def per_class(rows: DataFrame, n: int, seed=42) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")  # limits each group before the shuffle
 
 
-def distance(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
 def total_distances(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(row_id, total): each row's summed distance to all pivots, which are sent to every task.
+    """(row_id, total): each row's summed Euclidean distance to all pivots.
 
-    vectors, pivots: (row_id, vec array<double>). Pivots are at most MEDOID_ROWS.
+    vectors, pivots: (row_id, vec array<double>). Pivots, at most MEDOID_ROWS, are sent to every task as a matrix.
     """
-    return (
-        vectors.crossJoin(F.broadcast(pivots.select(F.col("vec").alias("other"))))
-        .groupBy("row_id").agg(F.sum(distance(F.col("vec"), F.col("other"))).alias("total"))
-    )
+    found = pivots.select("vec").limit(MEDOID_ROWS + 1).collect()
+    if len(found) > MEDOID_ROWS:
+        raise ValueError(f"more than {MEDOID_ROWS} pivots")
+    sent = vectors.sparkSession.sparkContext.broadcast(np.array([r.vec for r in found], float))
+
+    def run(frames):
+        others = sent.value
+        for frame in frames:
+            totals = np.zeros(len(frame))
+            for start in range(0, len(frame), 64):  # a block of rows at a time
+                block = np.stack(frame["vec"].to_numpy()[start : start + 64])
+                totals[start : start + 64] = np.sqrt(((block[:, None, :] - others[None, :, :]) ** 2).sum(-1)).sum(1) if len(others) else 0.0
+            yield pd.DataFrame({"row_id": frame["row_id"], "total": totals})
+
+    return vectors.select("row_id", "vec").mapInPandas(run, f"row_id {vectors.schema['row_id'].dataType.simpleString()}, total double")
 
 
 def medoids(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:

@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..functions.draws import draw
 from ..operators import coldstart, evaluate, models, pool, prepare, select
 from ..operators.vectorizer import ProductVectorizer, class_counted, counted, document_frequency, idf, row_terms, weighted
-from ..session import cut, shared_dir, table
+from ..session import shared_dir, spread, table
 from ..sources import tables
 from . import config, curves, genetic, history, learner, oracle
 from . import sqltext as S
@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("label"))
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("label")))
 
 
 def start(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def start(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("label"))
+    return spread(table(spark, d, "embeddings")).select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("label"))
 
 
 def profile(spark: SparkSession, d: str, **settings):

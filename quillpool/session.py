@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
+    """df over all cores where its files are too small, or too few, to give each core a part; as it is where they are not.
+
+    Only the estimated size decides, so no job runs, and large inputs are never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * part_bytes else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder all executors share.
 
