@@ -157,7 +157,7 @@ def class_counts(spark, d):
     return docs(spark, d).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT lang AS label, min(doc_id) AS first_row, row_number() OVER (ORDER BY lang) AS sorted_place FROM documents GROUP BY lang")
+@query("SELECT lang AS label, min(doc_id) AS first_row, (row_number() OVER (ORDER BY lang))::INT AS sorted_place FROM documents GROUP BY lang")
 def distinct_labels(spark, d):
     each = docs(spark, d).groupBy("label").agg(F.min("row_id").alias("first_row"))
     return each.withColumn("sorted_place", F.row_number().over(Window.orderBy("label")))
