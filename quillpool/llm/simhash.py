@@ -293,12 +293,126 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "text_key long, shingles binary")
 
 
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(src, dst) of the pairs that are similar: by their sketches, or by their shingles where those leave it open."""
+    pairs = pairs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    error = (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
+    judged = cut(_shares(_with_values(pairs, nodes, "sketch"), "<u4", _equal).where(F.col("share") >= similarity - 4 * error))
+    close = F.col("share") < similarity + 3.5 * error
+    open_ = judged.where(close).select("src", "dst")
+    ends = open_.select(F.col("src").alias("text_key")).unionByName(open_.select(F.col("dst").alias("text_key")))
+    sets = cut(_sets_of(ends, texts, words))
+    exact = _shares(_with_values(open_, sets, "shingles"), "<u8", _jaccard).where(F.col("share") >= similarity)
+    return judged.where(~close).select("src", "dst").unionByName(exact.select("src", "dst"))
+
+
+def _sets_of(keys: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    return shingle_sets(texts.join(keys.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"]), words)
+
+
+def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(text_key, label) of each node: the least text key that it reaches."""
+    labels = components(edges).withColumnRenamed("node", "text_key")
+    return nodes.select("text_key").join(labels, "text_key", "left").select("text_key", F.coalesce("label", "text_key").alias("label"))
+
+
+def _unlinked(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(value, text_key, n, label) of the values whose texts are of several groups; of values with the same texts, one."""
+    rows = rows.select("value", "text_key", "n").join(labels, "text_key")
+    same = [F.min("text_key").alias("k"), F.max("text_key").alias("l"), F.bit_xor(F.xxhash64("text_key")).alias("x")]
+    found = rows.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.first("n").alias("n"), *same).where("a < b")
+    return cut(rows.join(found.groupBy("k", "l", "x", "n").agg(F.min("value").alias("value")).select("value"), "value", "left_semi"))
+
+
+def group_links(keys: np.ndarray, label: np.ndarray, block: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the texts as all similar pairs of different labels do; of two blocks, pairs across them only.
+
+    The texts whose shingles are the most frequent come first: what is nearest to the others soon leaves little to compare.
+    """
+    label = np.unique(label, return_inverse=True)[1]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    end = np.cumsum(size)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), size)
+    often = np.bincount(ids)
+    order = np.argsort(-np.bincount(owner, often[ids], len(sets)) / np.maximum(size, 1), kind="stable")
+    across = block.min() < block.max()
+    # each pair has a text of the first block, or one that is not of the largest group
+    order = order[block[order] == block.min()] if across else order[label[order] != np.bincount(label).argmax()]
+    left, mark, out = np.ones(len(sets), bool), np.zeros(len(often), bool), []
+    for p in order.tolist():
+        left[p] = False
+        other = left & (label != label[p])
+        if across:
+            other &= block != block[p]
+        if not other.any():
+            continue
+        mine = ids[end[p] - size[p] : end[p]]
+        mark[mine] = True
+        both = np.bincount(owner, mark[ids], len(sets))
+        mark[mine] = False
+        either = size + size[p] - both
+        near = np.flatnonzero(other & (np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similarity))
+        joined, first = np.unique(label[near], return_index=True)
+        out += [(int(keys[p]), int(keys[q])) for q in near[first]]
+        label[np.isin(label, joined)] = label[p]
+    return out
+
+
+def compared(rows: DataFrame, sets: DataFrame, similarity: float, block: int = 500) -> DataFrame:
+    """(src, dst): links that join all similar pairs of texts of one value and different labels. rows: (value, text_key, label).
+
+    Values of over `block` texts are cut into blocks, and a task has two blocks at a time. Texts of a value's largest
+    group are compared with the others only.
+    """
+    sizes = rows.groupBy("value", "label").count().groupBy("value").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("n"))
+    few = F.col("n") <= block
+    others = F.when(few, 1).otherwise(F.ceil((F.col("n") - F.col("top.count")) / block)).cast("int")
+    tops = F.when(few, 0).otherwise(F.ceil(F.col("top.count") / block)).cast("int")
+    placed = rows.join(sizes, "value").select("value", "text_key", "label", ((F.col("label") == F.col("top.label")) & ~few).alias("is_top"), others.alias("others"), tops.alias("tops"))
+    salt = F.xxhash64("text_key", "value")
+    placed = placed.withColumn("block", F.when(F.col("is_top"), F.col("others") + F.pmod(salt, F.greatest("tops", F.lit(1)))).otherwise(F.pmod(salt, F.col("others"))).cast("int"))
+    with_ = F.explode(F.sequence(F.lit(0), F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1))
+    placed = placed.select("value", "text_key", "label", "block", with_.alias("with")).select("value", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "text_key", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def linked(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            value, lo, hi, at, keys, label, sets_ = cols
+            new = np.flatnonzero((value[1:] != value[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            out = []
+            for s, e in zip([0, *new.tolist()], [*new.tolist(), len(value)]):
+                if e - s > 1:
+                    out += group_links(keys[s:e], label[s:e], at[s:e], [np.frombuffer(x, "<u8") for x in sets_[s:e]], similarity)
+            src, dst = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+        for b in batches:
+            values = np.empty(b.num_rows, object)
+            values[:] = b.column(6).to_pylist()
+            held.append((*(b.column(i).to_numpy() for i in range(6)), values))
+            cols = tuple(np.concatenate(x) for x in zip(*held))
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
+            end = last[-1] + 1 if len(last) else 0  # the last group may go on
+            held = [tuple(c[end:] for c in cols)]
+            if end:
+                yield linked(tuple(c[:end] for c in cols))
+        if held:
+            yield linked(held[0])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.join(sets, "text_key").select("value", "lo", "hi", "block", "text_key", "label", "shingles").repartition(n, "value", "lo", "hi").sortWithinPartitions("value", "lo", "hi")
+    return dealt.mapInArrow(run, "src long, dst long")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(text_key, label): the group of each different text. Texts are linked if their shingles' Jaccard similarity is `similarity`.
 
     A 64-bit SimHash tells so much apart only for almost equal texts: at 0.8, ten bits differ. So candidates are what the
     BK-trees link and what shares a band of min-wise hashes. Sketches of 128 hashes decide what lies more than 3.5 to 4
-    standard errors from the limit, the shingles themselves the rest.
+    standard errors from the limit, the shingles themselves the rest. All texts of a band value are first compared with
+    two of it, then with the one that shares most; what is not linked by then is compared pair by pair.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     texts = docs.select(key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
@@ -308,22 +422,26 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     values = F.concat("bands", F.array(F.xxhash64("fp", F.lit(-1))))
     banded = nodes.select("text_key", F.explode(values).alias("value"))
     mixed = F.col("text_key").bitwiseXOR(F.col("value"))
-    ends = banded.groupBy("value").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low < high")
-    ends = ends.select("value", F.col("low").bitwiseXOR(F.col("value")).alias("low"), F.col("high").bitwiseXOR(F.col("value")).alias("high"))
-    stars = banded.join(ends, "value").select(F.col("text_key").alias("src"), F.explode(F.array("low", "high")).alias("dst"))
+    ends = banded.groupBy("value").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high"), F.count("*").alias("n")).where("low < high")
+    shared = cut(banded.join(ends, "value"))
+    stars = shared.select(F.col("text_key").alias("src"), F.explode(F.array(F.col("low").bitwiseXOR(F.col("value")), F.col("high").bitwiseXOR(F.col("value")))).alias("dst"))
     fps = nodes.groupBy("fp").agg(F.min("text_key").alias("k"))
     trees = links(fps.select("fp")).join(fps.select(F.col("fp").alias("src"), F.col("k").alias("a")), "src").join(fps.select(F.col("fp").alias("dst"), F.col("k").alias("b")), "dst")
-    pairs = stars.unionByName(trees.select(F.col("a").alias("src"), F.col("b").alias("dst"))).where("src <> dst")
-    pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    error = (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
-    judged = cut(_shares(_with_values(pairs, nodes, "sketch"), "<u4", _equal).where(F.col("share") >= similarity - 4 * error))
-    close = F.col("share") < similarity + 3.5 * error
-    open_ = judged.where(close).select("src", "dst")
-    ends = open_.select(F.col("src").alias("text_key")).unionByName(open_.select(F.col("dst").alias("text_key"))).distinct()
-    sets = cut(shingle_sets(texts.join(ends, "text_key", "left_semi").dropDuplicates(["text_key"]), words))
-    exact = _shares(_with_values(open_, sets, "shingles"), "<u8", _jaccard).where(F.col("share") >= similarity)
-    labels = components(judged.where(~close).select("src", "dst").unionByName(exact.select("src", "dst"))).withColumnRenamed("node", "text_key")
-    return nodes.select("text_key").join(labels, "text_key", "left").select("text_key", F.coalesce("label", "text_key").alias("label"))
+    pairs = stars.unionByName(trees.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    labels = cut(_labelled(nodes, _linked(pairs, nodes, texts, words, similarity)))
+    stars_of = lambda known: known.select(F.col("text_key").alias("src"), F.col("label").alias("dst"))
+    rest = _unlinked(shared.where("n > 3"), labels)  # of up to three texts, all were compared with each other
+    if rest.isEmpty():
+        return labels
+    degree = rest.groupBy("text_key").agg(F.sum("n").alias("degree"))
+    centre = rest.join(degree, "text_key").groupBy("value").agg(F.max(F.struct("degree", "text_key", "label")).alias("x"))
+    pairs = rest.join(centre, "value").where(F.col("label") != F.col("x.label")).select(F.col("text_key").alias("src"), F.col("x.text_key").alias("dst"))
+    labels = cut(_labelled(nodes, stars_of(labels).unionByName(_linked(pairs, nodes, texts, words, similarity))))
+    rest = _unlinked(rest, labels)
+    if rest.isEmpty():
+        return labels
+    found = compared(rest.select("value", "text_key", "label"), cut(_sets_of(rest, texts, words)), similarity)
+    return _labelled(nodes, stars_of(labels).unionByName(found))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -101,6 +101,43 @@ def test_unlike_texts_stay_apart(spark):
     assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 200
 
 
+def edited(rng, text, n):
+    """A copy with n words changed, far enough apart to change five shingles each."""
+    w = text.split()
+    for at in rng.sample(range(1, len(w) // 6 - 1), n):
+        w[at * 6] = f"new{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_copies_that_share_an_original_only(spark):
+    rng = random.Random(21)
+    original = " ".join(words(rng, 250))
+    texts = [original, *(edited(rng, original, 5) for _ in range(300))]  # 0.8 to the original, 0.7 to each other
+    assert all(jaccard_groups([original, t])[0] == [0, 0] or jaccard_groups([original, t])[0] == [1, 1] for t in texts[1:])
+    rows = [(i, t) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()] == [0]
+
+
+@pytest.mark.parametrize("block", [7, 500])
+def test_compared_is_brute_force(spark, block):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(6):
+        base = " ".join(words(rng, 200))
+        texts += [base, *(edited(rng, base, rng.choice([2, 4, 5])) for _ in range(9))]
+    texts += ["", " "]
+    data = spark.createDataFrame(list(enumerate(texts)), "text_key long, text string")
+    # two values that have all texts; the first ten are of one group already
+    rows = data.selectExpr("explode(array(1L, 2L)) as value", "text_key", "if(text_key < 10, 0L, text_key) as label")
+    found = simhash.compared(rows, simhash.shingle_sets(data, 5), 0.8, block).collect()
+    of = [0 if i < 10 else i for i in range(len(texts))]
+    for a, b in [(r.src, r.dst) for r in found]:
+        of = [of[a] if x == of[b] else x for x in of]
+    want = jaccard_groups(texts)[0]
+    want = [want[0] if i < 10 else x for i, x in enumerate(want)]
+    assert {(i, j) for i in range(62) for j in range(62) if of[i] == of[j]} == {(i, j) for i in range(62) for j in range(62) if want[i] == want[j]}
+
+
 def test_clean_takes_secrets_only(spark, docs, sf_dir):
     out = corpus_pipeline.clean(spark, docs, sf_dir)
     assert out.columns == docs.columns and out.count() == docs.count()
