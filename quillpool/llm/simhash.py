@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 # --- near copies of a given similarity
 
 
-PERMUTATIONS, BANDS, BAND = 128, 20, 4  # at a similarity of 0.8 one pair in 40,000 shares no band
+PERMUTATIONS, BAND = 128, 4  # at a similarity of 0.8 one pair in 20 million shares no band
 
 
 def sketch(hashes: np.ndarray, multipliers: np.ndarray) -> bytes:
@@ -242,7 +242,7 @@ def sketches(rows: DataFrame, words: int) -> DataFrame:
                 hashes = shingle_hashes(text or b"", words)
                 s = sketch(hashes, seed)
                 step = 4 * BAND
-                bands = np.array([h(s[i : i + step], i) for i in range(0, BANDS * step, step)], np.uint64).view(np.int64)
+                bands = np.array([h(s[i : i + step], i) for i in range(0, len(s), step)], np.uint64).view(np.int64)
                 out.append((fingerprint(hashes), s, bands))
             fp, s, bands = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), pa.array(s, pa.binary()), pa.array(list(bands), pa.list_(pa.int64()))], ["text_key", "fp", "sketch", "bands"])

@@ -109,6 +109,12 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
+def test_every_hash_is_in_a_band(spark):
+    text = " ".join(words(random.Random(3), 100))
+    row = simhash.sketches(spark.createDataFrame([(1, text)], "text_key long, text string"), 5).first()
+    assert len(set(row.bands)) * simhash.BAND == simhash.PERMUTATIONS == len(row.sketch) // 4
+
+
 def test_copies_that_share_an_original_only(spark):
     rng = random.Random(21)
     original = " ".join(words(rng, 250))
