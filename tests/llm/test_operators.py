@@ -445,3 +445,19 @@ def test_rules_adapt(spark):
     got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert sum(r.kept for i, r in got.items() if i < 1000 and r.n_words >= 50) >= 0.97 * sum(r.n_words >= 50 for i, r in got.items() if i < 1000)
     assert "symbols" in got[2000].reasons and all(r.kept for i, r in got.items() if 1000 <= i < 2000 and not r.base_failed)
+
+
+def test_rules_junk_does_not_set_the_fence(spark):
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, fresh(200), "en", "good") for i in range(900)]
+    rows += [(1000 + i, fresh(200), "en", f"bad{i % 2}") for i in range(150)]
+    # 15 and 30 % junk of two sources
+    rows += [(2000 + i, " ".join(w + " ###" for w in fresh(200).split()), "en", "bad0") for i in range(13)]
+    rows += [(3000 + i, " ".join(w + " ###" for w in fresh(200).split()), "en", "bad1") for i in range(32)]
+    lines = [fresh(20) for _ in range(13)]
+    rows += [(4000, "\n".join(lines + lines[:1] * 7), "en", "good"), (4001, "\n".join(lines), "en", "good")]
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all("symbols" in got[r[0]].reasons for r in rows if 2000 <= r[0] < 4000)
+    assert "dup_lines" in got[4000].reasons and not got[4000].base_failed
+    assert got[4001].kept and all(got[r[0]].kept for r in rows if r[0] < 2000)
