@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,26 +24,34 @@ def per_class(rows: DataFrame, n: int, seed=42) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")  # limits each group before the shuffle
 
 
-def total_distances(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
+def total_distances(vectors: DataFrame, pivots: DataFrame, block: int = MEDOID_ROWS, at_once: int = 16) -> DataFrame:
     """(row_id, total): each row's summed Euclidean distance to all pivots.
 
-    vectors, pivots: (row_id, vec array<double>). Pivots, at most MEDOID_ROWS, are sent to every task as a matrix.
+    vectors, pivots: (row_id, vec array<double>). Pivots are read from a written table in blocks, each sent to every task
+    as a matrix; one pass over the rows sums the distances to `at_once` blocks.
     """
-    found = pivots.select("vec").limit(MEDOID_ROWS + 1).collect()
-    if len(found) > MEDOID_ROWS:
-        raise ValueError(f"more than {MEDOID_ROWS} pivots")
-    sent = vectors.sparkSession.sparkContext.broadcast(np.array([r.vec for r in found], float))
-
-    def run(frames):
-        others = sent.value
-        for frame in frames:
-            totals = np.zeros(len(frame))
-            for start in range(0, len(frame), 64):  # a block of rows at a time
-                block = np.stack(frame["vec"].to_numpy()[start : start + 64])
-                totals[start : start + 64] = np.sqrt(((block[:, None, :] - others[None, :, :]) ** 2).sum(-1)).sum(1) if len(others) else 0.0
-            yield pd.DataFrame({"row_id": frame["row_id"], "total": totals})
-
-    return vectors.select("row_id", "vec").mapInPandas(run, f"row_id {vectors.schema['row_id'].dataType.simpleString()}, total double")
+    from ..session import cut
+
+    sc, found = vectors.sparkSession.sparkContext, cut(pivots.select("vec")).toLocalIterator()
+    kind = f"row_id {vectors.schema['row_id'].dataType.simpleString()}, total double"
+    blocks = []
+    while some := [r.vec for r in islice(found, block)]:
+        blocks.append(sc.broadcast(np.array(some, float)))
+
+    def sums(sent: list) -> DataFrame:
+        def run(frames):
+            for frame in frames:
+                totals = np.zeros(len(frame))
+                for others in sent:
+                    for start in range(0, len(frame), 8):  # a few rows at a time
+                        d = np.stack(frame["vec"].to_numpy()[start : start + 8])[:, None, :] - others.value[None, :, :]
+                        totals[start : start + 8] += np.sqrt(np.einsum("ijk,ijk->ij", d, d)).sum(1)
+                yield pd.DataFrame({"row_id": frame["row_id"], "total": totals})
+
+        return vectors.select("row_id", "vec").mapInPandas(run, kind)
+
+    parts = [sums(blocks[i : i + at_once]) for i in range(0, max(len(blocks), 1), at_once)]
+    return reduce(DataFrame.unionAll, parts).groupBy("row_id").agg(F.sum("total").alias("total")) if len(parts) > 1 else parts[0]
 
 
 def medoids(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:

@@ -606,8 +606,7 @@ _ml("SGD", loss="log_loss", max_iter=10)
 @query("WITH t AS (SELECT a.vec_id AS row_id, round(sum(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))), 4) AS total FROM embeddings a CROSS JOIN embeddings b GROUP BY a.vec_id) SELECT row_id, total FROM t ORDER BY total, row_id LIMIT 10")
 def kmedoid_init(spark, d):
     rows = vectors(spark, d).select("row_id", "vec")
-    pivots = pool.take(rows, select.random_sampling(rows, coldstart.MEDOID_ROWS))
-    return coldstart.total_distances(rows, pivots).select("row_id", F.round("total", 4).alias("total")).orderBy("total", "row_id").limit(10)
+    return coldstart.total_distances(rows, rows).select("row_id", F.round("total", 4).alias("total")).orderBy("total", "row_id").limit(10)
 
 
 @query()

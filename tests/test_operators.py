@@ -339,3 +339,12 @@ def test_label_places(spark):
     base = ProductVectorizer()
     model = base.set_params(method="binary").fit(texts(spark, 9))
     assert base.method == "tfidf" and [model.index_of(x) for x in "ab?"] == [0, 1, -1] and model.label_of(2) == "c" and model.label_of(3) is None
+
+
+def test_total_distances_of_all_rows(spark):
+    points = np.random.default_rng(2).normal(size=(4_500, 3))  # more than a block
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(points.tolist())], "row_id long, vec array<double>")
+    want = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1)).sum(1)
+    for more in ({}, {"block": 1000, "at_once": 2}):
+        got = {r.row_id: r.total for r in coldstart.total_distances(rows, rows, **more).collect()}
+        assert np.allclose([got[i] for i in range(4_500)], want)
