@@ -224,7 +224,7 @@ def union_pu(spark, d):
     return both.groupBy("label").agg(F.count("*").alias("n_rows"), F.count_if(F.col("part") == "U").alias("n_pool"))
 
 
-# --- vectorizer
+# --- vectorizer; weights and frequencies of ten texts a class, as in their SQL, and as *_all of all texts, without SQL
 
 C1 = S.with_(S.DOCS, S.L0, S.class_terms("c", "l0", 1, 1))
 C2 = S.with_(S.DOCS, S.L0, S.class_terms("c", "l0", 1, 2))
@@ -245,6 +245,11 @@ def term_document(spark, d):
     return class_counted(start(spark, d), 1, 1)
 
 
+@query()
+def term_document_all(spark, d):
+    return class_counted(docs(spark, d), 1, 1)
+
+
 @query(PV + "SELECT row_id, count(*) AS n_terms, round(sum(weight), 6) AS weight FROM m_q GROUP BY row_id")
 def term_query(spark, d):
     return profile(spark, d).query_terms(docs(spark, d)).groupBy("row_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight"))
@@ -254,13 +259,17 @@ def _weights(name: str, kind: str, norm: str | None = None, documents: bool = Tr
     n = "(SELECT count(DISTINCT label) FROM l0)"
     sql = S.with_(S.DOCS, S.L0, S.class_terms("c", "l0", low, high), "v AS (SELECT term, count(*) AS df FROM c GROUP BY term)", S.weighted("w", "c", "label", "v", n, kind, norm, documents))
 
-    def f(spark, d):
-        counts = class_counted(start(spark, d), low, high)
-        labels = counts.select("label").distinct().count()
-        return rounded(weighted(counts, "label", document_frequency(counts), labels, kind, norm, documents), "weight")
+    def over(rows, called):
+        def f(spark, d):
+            counts = class_counted(rows(spark, d), low, high)
+            labels = counts.select("label").distinct().count()
+            return rounded(weighted(counts, "label", document_frequency(counts), labels, kind, norm, documents), "weight")
 
-    f.__name__ = name
-    query(sql + "SELECT label, term, round(weight, 6) AS weight FROM w")(f)
+        f.__name__ = called
+        return f
+
+    query(sql + "SELECT label, term, round(weight, 6) AS weight FROM w")(over(start, name))
+    query()(over(docs, f"{name}_all"))
 
 
 _weights("tf_binary", "binary")
@@ -274,12 +283,16 @@ def _idf(name: str, kind: str, documents: bool):
     n = "(SELECT count(DISTINCT label) FROM l0)"
     formula = {"tfidf": f"ln({n}::DOUBLE / df)" + ("" if documents else " + 1"), "tfidfscikit": f"ln((1.0::DOUBLE + {n}) / (1.0::DOUBLE + df)) + 1"}[kind]
 
-    def f(spark, d):
-        counts = class_counted(start(spark, d), 1, 1)
-        return document_frequency(counts).select("term", "df", F.round(idf(kind, counts.select("label").distinct().count(), documents), 6).alias("idf"))
+    def over(rows, called):
+        def f(spark, d):
+            counts = class_counted(rows(spark, d), 1, 1)
+            return document_frequency(counts).select("term", "df", F.round(idf(kind, counts.select("label").distinct().count(), documents), 6).alias("idf"))
+
+        f.__name__ = called
+        return f
 
-    f.__name__ = name
-    query(C1 + f", v AS (SELECT term, count(*) AS df FROM c GROUP BY term) SELECT term, df, round({formula}, 6) AS idf FROM v")(f)
+    query(C1 + f", v AS (SELECT term, count(*) AS df FROM c GROUP BY term) SELECT term, df, round({formula}, 6) AS idf FROM v")(over(start, name))
+    query()(over(docs, f"{name}_all"))
 
 
 _idf("idf_unsmoothed", "tfidf", False)
