@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw
 from .select import random_sampling
 
-MEDOID_ROWS = 4_000  # a distance matrix of 128 MB; above that medoids are those of a seeded sample of this size
+MEDOID_ROWS = 4_000  # a distance matrix of 128 MB; above that medoids are sought in seeded samples of this size
 
 
 def per_class(rows: DataFrame, n: int, seed=42) -> DataFrame:
@@ -83,10 +83,12 @@ def _distances(points: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * points @ points.T, 0))
 
 
-def kmedoids(vectors: DataFrame, k: int, seed=42) -> DataFrame:
-    """(row_id, rank) of k medoids; all rows if there are no more than k."""
-    some = random_sampling(vectors, MEDOID_ROWS, seed).select("row_id")  # swaps need the matrix of a bounded sample
-    rows = vectors.join(some, "row_id", "left_semi").select(F.lit(0).alias("all"), "row_id", "vec")
+def kmedoids(vectors: DataFrame, k: int, seed=42, sample: int = MEDOID_ROWS, samples: int = 5) -> DataFrame:
+    """(row_id, rank) of k medoids; all rows if there are no more than k.
+
+    Of over `sample` rows, several seeded samples give medoids each, and those of the least cost over all rows are kept.
+    """
+    kind = f"row_id {vectors.schema['row_id'].dataType.simpleString()}, rank long"
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("row_id").reset_index(drop=True)
@@ -96,7 +98,33 @@ def kmedoids(vectors: DataFrame, k: int, seed=42) -> DataFrame:
             chosen = medoids(np.stack(frame["vec"].to_numpy()).astype(float), k)
         return pd.DataFrame({"row_id": frame["row_id"].to_numpy()[chosen], "rank": np.arange(1, len(chosen) + 1)})
 
-    return rows.groupBy("all").applyInPandas(search, f"row_id {vectors.schema['row_id'].dataType.simpleString()}, rank long")
+    def found(seed) -> DataFrame:
+        some = random_sampling(vectors, sample, seed).select("row_id")  # swaps need the matrix of a bounded sample
+        rows = vectors.join(some, "row_id", "left_semi").select(F.lit(0).alias("all"), "row_id", "vec")
+        return rows.groupBy("all").applyInPandas(search, kind)
+
+    if vectors.count() <= sample:
+        return found(seed)
+    from ..session import cut
+
+    tried = [cut(found(seed if i == 0 else f"{seed}-{i}")) for i in range(samples)]
+    return min(tried, key=lambda chosen: cost(vectors, chosen))
+
+
+def cost(vectors: DataFrame, chosen: DataFrame) -> float:
+    """The summed distance of all rows to the nearest of the chosen ones, whose vectors are sent to every task."""
+    near = vectors.join(F.broadcast(chosen.select("row_id")), "row_id", "left_semi").select("vec").collect()
+    sent = vectors.sparkSession.sparkContext.broadcast(np.array([r.vec for r in near], float))
+
+    def run(frames):
+        for frame in frames:
+            total = 0.0
+            for start in range(0, len(frame), 64):  # a block of rows at a time
+                block = np.stack(frame["vec"].to_numpy()[start : start + 64])
+                total += np.sqrt(((block[:, None, :] - sent.value[None, :, :]) ** 2).sum(-1)).min(axis=1).sum()
+            yield pd.DataFrame({"cost": [total]})
+
+    return vectors.select("vec").mapInPandas(run, "cost double").agg(F.sum("cost")).first()[0]
 
 
 def select_initial(config: dict, pool: DataFrame, n_classes: int, seed=42, vectors: DataFrame | None = None) -> DataFrame:

@@ -348,3 +348,13 @@ def test_total_distances_of_all_rows(spark):
     for more in ({}, {"block": 1000, "at_once": 2}):
         got = {r.row_id: r.total for r in coldstart.total_distances(rows, rows, **more).collect()}
         assert np.allclose([got[i] for i in range(4_500)], want)
+
+
+def test_medoids_of_the_best_sample(spark):
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(size=(390, 2)), rng.normal(size=(10, 2)) + 500])  # a rare group far away
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(points.tolist())], "row_id long, vec array<double>").cache()
+    costs = {n: coldstart.cost(rows, coldstart.kmedoids(rows, 2, 1, sample=30, samples=n)) for n in (1, 5)}
+    want = np.sqrt(((points[:, None] - points[[r.row_id for r in coldstart.kmedoids(rows, 2, 1, sample=30).collect()]]) ** 2).sum(-1)).min(1).sum()
+    assert costs[5] <= costs[1] and abs(costs[5] - want) < 1e-6
+    assert costs[5] < 2_000  # the rare group has a medoid
