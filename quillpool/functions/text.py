@@ -60,8 +60,3 @@ def normal_label(label: Column) -> Column:
         out = F.replace(out, F.lit(letter), F.lit(spelled))
     out = F.regexp_replace(F.translate(out, MARKED, PLAIN), r"[^\x00-\x7F]", "")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
-
-
-def fingerprint(texts: Column) -> Column:
-    """SHA-256 of an array of strings, whatever their order."""
-    return F.sha2(F.array_join(F.array_sort(texts), "<SEP>"), 256)

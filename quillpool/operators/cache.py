@@ -15,11 +15,21 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
+def row_sums(rows: DataFrame, *by: str) -> DataFrame:
+    """(*by, n, a, b): how many rows, and the sums of two 60-bit parts of the MD5 of each row's values.
+
+    The same for any order and partitioning; no group is gathered. Columns are taken in the order of their names.
+    """
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in sorted(rows.columns)]
+    h = F.md5(F.concat_ws("\x1f", *values))
+    part = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), part(1).alias("a"), part(17).alias("b"))
+
+
 def fingerprint(rows: DataFrame, *settings) -> str:
-    """Hex digest of a table, as a set of rows, and of settings; the rows' hashes are summed on the executors."""
-    columns = sorted(rows.columns)
-    total = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), *columns).cast("decimal(38,0)")).alias("b")).first()
-    return hashlib.sha256(repr((columns, total.n, str(total.a), str(total.b), settings)).encode()).hexdigest()
+    """Hex digest of a table, as a set of rows, and of settings."""
+    total = row_sums(rows).first()
+    return hashlib.sha256(repr((sorted(rows.columns), total.n, str(total.a), str(total.b), settings)).encode()).hexdigest()
 
 
 def cached(rows: DataFrame, folder: str, make: Callable[[], DataFrame], *settings) -> DataFrame:

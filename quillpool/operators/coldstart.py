@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from ..session import cut
 from .select import random_sampling
 
-MEDOID_ROWS = 4_000  # a distance matrix of 128 MB; above that medoids are sought in seeded samples of this size
+MATRIX_ROWS = 4_000  # a distance matrix of 128 MB; above that distances are summed over blocks of this size
 
 
 def per_class(rows: DataFrame, n: int, seed=42) -> DataFrame:
@@ -24,69 +25,127 @@ def per_class(rows: DataFrame, n: int, seed=42) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")  # limits each group before the shuffle
 
 
-def total_distances(vectors: DataFrame, pivots: DataFrame, block: int = MEDOID_ROWS, at_once: int = 16) -> DataFrame:
+def distances(a: np.ndarray, b: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+    """Euclidean distances of all rows of a to all of b, from differences, a few rows at a time."""
+    out, step = np.empty((len(a), len(b))), max(1, at_once // max(1, b.size))
+    for start in range(0, len(a), step):
+        d = a[start : start + step, None, :] - b[None, :, :]
+        out[start : start + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+    return out
+
+
+def _blocks(pivots: DataFrame, block: int, at_once: int):
+    """Lists of up to `at_once` blocks (ids, matrix) of a written table, each sent to every task; earlier ones are let go."""
+    sc, rows, sent = pivots.sparkSession.sparkContext, pivots.toLocalIterator(), []
+    while some := [(r.row_id, r.vec) for r in islice(rows, block)]:
+        sent.append(sc.broadcast(([i for i, _ in some], np.array([v for _, v in some], float))))
+        if len(sent) == at_once:
+            yield sent
+            for x in sent:
+                x.unpersist()
+            sent = []
+    if sent:
+        yield sent
+
+
+def total_distances(vectors: DataFrame, pivots: DataFrame, block: int = MATRIX_ROWS, at_once: int = 16) -> DataFrame:
     """(row_id, total): each row's summed Euclidean distance to all pivots.
 
     vectors, pivots: (row_id, vec array<double>). Pivots are read from a written table in blocks, each sent to every task
     as a matrix; one pass over the rows sums the distances to `at_once` blocks.
     """
-    from ..session import cut
-
-    sc, found = vectors.sparkSession.sparkContext, cut(pivots.select("vec")).toLocalIterator()
     kind = f"row_id {vectors.schema['row_id'].dataType.simpleString()}, total double"
-    blocks = []
-    while some := [r.vec for r in islice(found, block)]:
-        blocks.append(sc.broadcast(np.array(some, float)))
 
     def sums(sent: list) -> DataFrame:
         def run(frames):
             for frame in frames:
+                points = np.stack(frame["vec"].to_numpy()).astype(float) if len(frame) else np.zeros((0, 1))
                 totals = np.zeros(len(frame))
                 for others in sent:
-                    for start in range(0, len(frame), 8):  # a few rows at a time
-                        d = np.stack(frame["vec"].to_numpy()[start : start + 8])[:, None, :] - others.value[None, :, :]
-                        totals[start : start + 8] += np.sqrt(np.einsum("ijk,ijk->ij", d, d)).sum(1)
+                    for start in range(0, len(frame), 64):
+                        totals[start : start + 64] += distances(points[start : start + 64], others.value[1]).sum(1)
                 yield pd.DataFrame({"row_id": frame["row_id"], "total": totals})
 
         return vectors.select("row_id", "vec").mapInPandas(run, kind)
 
-    parts = [sums(blocks[i : i + at_once]) for i in range(0, max(len(blocks), 1), at_once)]
+    parts = [cut(sums(sent)) for sent in _blocks(cut(pivots.select("row_id", "vec")), block, at_once)]
+    if not parts:
+        return vectors.select("row_id", F.lit(0.0).alias("total"))
     return reduce(DataFrame.unionAll, parts).groupBy("row_id").agg(F.sum("total").alias("total")) if len(parts) > 1 else parts[0]
 
 
-def medoids(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+def _changes(d: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """How the summed distance changes if a medoid (rows) gives way to a candidate (columns).
+
+    d: distances of some points to the candidates; to: theirs to the medoids.
+    """
+    order = np.argsort(to, axis=1, kind="stable")
+    near = to[np.arange(len(to)), order[:, 0]]
+    second = to[np.arange(len(to)), order[:, 1]] if to.shape[1] > 1 else np.full(len(to), np.inf)
+    gain = np.minimum(d - near[:, None], 0)  # with every medoid still there
+    out = np.repeat(gain.sum(0)[None, :], to.shape[1], 0)
+    lost = np.minimum(d, second[:, None]) - near[:, None] - gain  # more, for points whose own medoid goes
+    for m in range(to.shape[1]):
+        out[m] += lost[order[:, 0] == m].sum(0)
+    return out
+
+
+def medoids(points: np.ndarray, k: int) -> np.ndarray:
     """Partitioning around medoids: starts from the k points of least total distance, then swaps while that helps."""
-    d = np.sqrt(np.maximum(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1), 0)) if len(points) < 600 else _distances(points)
+    d = distances(points, points)
     chosen = np.argsort(d.sum(axis=1), kind="stable")[:k]
-    for _ in range(rounds):
-        to = d[:, chosen]
-        order = np.argsort(to, axis=1, kind="stable")
-        near = to[np.arange(len(d)), order[:, 0]]
-        second = to[np.arange(len(d)), order[:, 1]] if k > 1 else np.full(len(d), np.inf)
-        best = (-1e-12, None, None)
-        for m in range(k):
-            mine = order[:, 0] == m
-            base = np.where(mine, second, near)  # without medoid m
-            change = (np.minimum(d, base[:, None]) if np.isfinite(base).all() else np.where(np.isinf(base)[:, None], d, np.minimum(d, base[:, None]))).sum(axis=0) - near.sum()
-            change[chosen] = np.inf
-            j = int(np.argmin(change))
-            if change[j] < best[0]:
-                best = (change[j], m, j)
-        if best[1] is None:
-            break
-        chosen[best[1]] = best[2]
-    return np.sort(chosen)
-
-
-def _distances(points: np.ndarray) -> np.ndarray:
-    sq = (points**2).sum(axis=1)
-    return np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * points @ points.T, 0))
-
-
-def kmedoids(vectors: DataFrame, k: int, seed=42, sample: int = MEDOID_ROWS, samples: int = 5) -> DataFrame:
+    while True:
+        change = _changes(d, d[:, chosen])
+        change[:, chosen] = np.inf
+        m, j = np.unravel_index(np.argmin(change), change.shape)
+        if change[m, j] >= -1e-9:
+            return np.sort(chosen)
+        chosen[m] = j
+
+
+def best_swap(vectors: DataFrame, written: DataFrame, chosen: list[tuple], block: int = MATRIX_ROWS, at_once: int = 16) -> tuple | None:
+    """(medoid's place, row_id, vec) of the exchange that lowers the summed distance most; None if none does.
+
+    chosen: the medoids' (row_id, vec). Candidates are all rows, in blocks; each task sums over its rows, each block's sums
+    meet in a task of their own.
+    """
+    centres, taken = np.array([v for _, v in chosen], float), {i for i, _ in chosen}
+    best = (-1e-9, None, None)
+    kind = f"change double, place int, row_id {vectors.schema['row_id'].dataType.simpleString()}, at int"
+    for sent in _blocks(written, block, at_once):
+
+        def sums(frames):
+            total = [np.zeros((len(centres), len(x.value[0]))) for x in sent]
+            for frame in frames:
+                points = np.stack(frame["vec"].to_numpy()).astype(float) if len(frame) else np.zeros((0, centres.shape[1]))
+                for start in range(0, len(points), 256):
+                    some = points[start : start + 256]
+                    to = distances(some, centres)
+                    for x, t in zip(sent, total):
+                        t += _changes(distances(some, x.value[1]), to)
+            yield pd.DataFrame({"at": range(len(sent)), "sums": [t.reshape(-1).tolist() for t in total]})
+
+        def least(frame: pd.DataFrame) -> pd.DataFrame:
+            at = int(frame["at"].iloc[0])
+            ids = sent[at].value[0]
+            change = np.sum(np.stack(frame["sums"].to_numpy()), 0).reshape(-1, len(ids))
+            change[:, [i in taken for i in ids]] = np.inf
+            m, j = np.unravel_index(np.argmin(change), change.shape)
+            return pd.DataFrame({"change": [change[m, j]], "place": [m], "row_id": [ids[j]], "at": [at]})
+
+        for r in vectors.select("vec").mapInPandas(sums, "at int, sums array<double>").groupBy("at").applyInPandas(least, kind).collect():  # a row for each block
+            if (round(r.change, 9), r.place, r.row_id) < (best[0], -1 if best[1] is None else best[1][0], r.row_id if best[1] is None else best[1][1]):
+                ids, matrix = sent[r["at"]].value
+                best = (round(r.change, 9), (r.place, r.row_id, matrix[ids.index(r.row_id)].tolist()), None)
+    return best[1]
+
+
+def kmedoids(vectors: DataFrame, k: int, seed=42, sample: int | None = None, samples: int = 5, matrix_rows: int = MATRIX_ROWS) -> DataFrame:
     """(row_id, rank) of k medoids; all rows if there are no more than k.
 
-    Of over `sample` rows, several seeded samples give medoids each, and those of the least cost over all rows are kept.
+    Of up to `matrix_rows` rows one task has all distances; beyond, each swap is a pass over all pairs of rows and blocks, so
+    that time grows with the square of the rows. `sample` asks for less: of several seeded samples of so many rows the
+    medoids of the least cost over all rows (CLARA).
     """
     kind = f"row_id {vectors.schema['row_id'].dataType.simpleString()}, rank long"
 
@@ -98,17 +157,21 @@ def kmedoids(vectors: DataFrame, k: int, seed=42, sample: int = MEDOID_ROWS, sam
             chosen = medoids(np.stack(frame["vec"].to_numpy()).astype(float), k)
         return pd.DataFrame({"row_id": frame["row_id"].to_numpy()[chosen], "rank": np.arange(1, len(chosen) + 1)})
 
-    def found(seed) -> DataFrame:
-        some = random_sampling(vectors, sample, seed).select("row_id")  # swaps need the matrix of a bounded sample
-        rows = vectors.join(some, "row_id", "left_semi").select(F.lit(0).alias("all"), "row_id", "vec")
-        return rows.groupBy("all").applyInPandas(search, kind)
-
-    if vectors.count() <= sample:
-        return found(seed)
-    from ..session import cut
+    def found(rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(0).alias("all"), "row_id", "vec").groupBy("all").applyInPandas(search, kind)
 
-    tried = [cut(found(seed if i == 0 else f"{seed}-{i}")) for i in range(samples)]
-    return min(tried, key=lambda chosen: cost(vectors, chosen))
+    n = vectors.count()
+    if sample is not None and n > sample:
+        tried = [cut(found(vectors.join(random_sampling(vectors, sample, seed if i == 0 else f"{seed}-{i}").select("row_id"), "row_id", "left_semi"))) for i in range(samples)]
+        return min(tried, key=lambda chosen: cost(vectors, chosen))
+    if n <= max(matrix_rows, k):
+        return found(vectors)
+    written = cut(vectors.select("row_id", "vec"))
+    first = total_distances(written, written, matrix_rows).withColumn("total", F.round("total", 9)).orderBy("total", "row_id").limit(k)
+    chosen = [(r.row_id, r.vec) for r in written.join(F.broadcast(first), "row_id").orderBy("total", "row_id").select("row_id", "vec").collect()]  # k rows
+    while swap := best_swap(written, written, chosen, matrix_rows):
+        chosen[swap[0]] = swap[1:]
+    return vectors.sparkSession.createDataFrame([(i, k + 1) for k, i in enumerate(sorted(i for i, _ in chosen))], kind)
 
 
 def cost(vectors: DataFrame, chosen: DataFrame) -> float:
@@ -128,7 +191,10 @@ def cost(vectors: DataFrame, chosen: DataFrame) -> float:
 
 
 def select_initial(config: dict, pool: DataFrame, n_classes: int, seed=42, vectors: DataFrame | None = None) -> DataFrame:
-    """(row_id, rank) by {"type": "RND" | "KM", "params": {"n_samples" or "n_clusters": n}}; n is else the number of classes."""
+    """(row_id, rank) by {"type": "RND" | "KM", "params": {"n_samples" or "n_clusters": n}}; n is else the number of classes.
+
+    KM takes "sample": n as well, to seek medoids in samples.
+    """
     code, params = config.get("type", "RND"), config.get("params") or {}
     n = params.get("n_samples", params.get("n_clusters", n_classes))
     if code == "RND":
@@ -136,5 +202,5 @@ def select_initial(config: dict, pool: DataFrame, n_classes: int, seed=42, vecto
     if code == "KM":
         if vectors is None:
             raise ValueError("KM needs vectors")
-        return kmedoids(vectors, n, seed)
+        return kmedoids(vectors, n, seed, params.get("sample"))
     raise ValueError(f"unknown cold start {code!r}; known: RND, KM")

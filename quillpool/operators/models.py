@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+from collections.abc import Callable
+
+from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,14 +13,56 @@ from pyspark.sql import functions as F
 from .cache import cached, fingerprint
 from .vectorizer import ProductVectorizer, predicted, with_probas
 
-CODES = ("PVBin", "GNB", "LSVC", "LR", "SGD")
-
-
 class NoProbabilities(ValueError):
     """Raised by models that only decide; queries then fall back to random rows."""
 
 
-class TextClassifier:
+class Classifier(ABC):
+    """What get_model returns. Subclasses that register_model knows can be named in any configuration.
+
+    `needs` is the column that rows have beside row_id and label: text, or vec (array<double>).
+    """
+
+    needs = "text"
+    labels: list
+
+    @abstractmethod
+    def fit(self, df: DataFrame) -> Classifier:
+        """Learns from (row_id, `needs`, label) and sets `labels`, sorted."""
+
+    @abstractmethod
+    def predict(self, df: DataFrame) -> DataFrame:
+        """(row_id, predicted) of (row_id, `needs`)."""
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """(row_id, scores, probas), arrays in the order of the labels."""
+        raise NoProbabilities(f"{type(self).__name__} gives no probabilities")
+
+
+class FeatureClassifier(Classifier):
+    needs = "vec"
+
+
+class Embedder(ABC):
+    """What get_embedder returns: rows as vectors."""
+
+    @abstractmethod
+    def fit(self, df: DataFrame) -> Embedder:
+        """Learns from (row_id, text, label)."""
+
+    @abstractmethod
+    def transform(self, df: DataFrame) -> DataFrame:
+        """(row_id, vec) of (row_id, text)."""
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).transform(df)
+
+    @property
+    @abstractmethod
+    def dimension(self) -> int: ...
+
+
+class TextClassifier(Classifier):
     """fit(df: row_id, text, label); predict and scored of (row_id, text)."""
 
     def __init__(self, **params):
@@ -46,7 +92,7 @@ def gaussian_params(df: DataFrame) -> DataFrame:
     return each.crossJoin(F.broadcast(floor)).select("label", "n", "dim", "mean", (F.col("var") + F.col("floor")).alias("var"))
 
 
-class GaussianNB:
+class GaussianNB(FeatureClassifier):
     """The log posteriors as expressions over a model of classes x dimensions, sent with the plan."""
 
     def __init__(self, **_):
@@ -74,27 +120,20 @@ class GaussianNB:
         return predicted(self.scored(df), self.labels)
 
 
-class SparkML:
-    """A pyspark.ml classifier on arrays; labels are encoded in sorted order."""
+class Estimated(FeatureClassifier):
+    """A pyspark.ml estimator on vectors. Its labels are encoded in sorted order, as column y; vectors are column features.
 
-    def __init__(self, code: str, **params):
-        self.code, self.params = code, params
-        loss = params.get("loss", "hinge")
-        self.logistic = code == "LR" or (code == "SGD" and loss in ("log", "log_loss"))
+    make: from the number of training rows to the estimator; probabilities: whether its models give them.
+    """
 
-    def fit(self, df: DataFrame) -> SparkML:
-        from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+    def __init__(self, make: Callable[[int], Estimator], probabilities: bool = True):
+        self.make, self.probabilities = make, probabilities
 
+    def fit(self, df: DataFrame) -> Estimated:
         self.labels = [r[0] for r in df.select("label").distinct().orderBy("label").collect()]
         codes = F.create_map(*[F.lit(x) for i, v in enumerate(self.labels) for x in (v, float(i))])
         rows = df.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"), codes[F.col("label")].alias("y")).persist()
-        steps = int(self.params.get("max_iter", 20))
-        if self.logistic:
-            c = float(self.params.get("C", 1.0))
-            model = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", standardization=False, regParam=1 / (c * max(1, rows.count())), maxIter=steps)
-        else:
-            model = OneVsRest(classifier=LinearSVC(maxIter=steps, regParam=float(self.params.get("reg_param", 0.01))), featuresCol="features", labelCol="y", parallelism=4)
-        self.model = model.fit(rows)
+        self.model = self.make(max(1, rows.count())).fit(rows)
         rows.unpersist()
         return self
 
@@ -102,8 +141,8 @@ class SparkML:
         return self.model.transform(df.select("row_id", array_to_vector(F.col("vec").cast("array<double>")).alias("features")))
 
     def scored(self, df: DataFrame) -> DataFrame:
-        if not self.logistic:
-            raise NoProbabilities(f"{self.code} gives no probabilities")
+        if not self.probabilities:
+            raise NoProbabilities("this model gives no probabilities")
         return self._transformed(df).select("row_id", vector_to_array("rawPrediction").alias("scores"), vector_to_array("probability").alias("probas"))
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -111,15 +150,47 @@ class SparkML:
         return self._transformed(df).select("row_id", F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted"))
 
 
-def get_model(config: dict):
-    code, params = config.get("type"), dict(config.get("params") or {})
-    if code == "PVBin":
-        return TextClassifier(**params)
-    if code == "GNB":
-        return GaussianNB(**params)
-    if code in CODES:
-        return SparkML(code, **params)
-    raise ValueError(f"unknown classifier {code!r}; known: {', '.join(CODES)}")
+def _logistic(max_iter: int = 20, C: float = 1.0, **_) -> Estimated:
+    from pyspark.ml.classification import LogisticRegression
+
+    return Estimated(lambda n: LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", standardization=False, regParam=1 / (C * n), maxIter=int(max_iter)))
+
+
+def _linear_svm(max_iter: int = 20, C: float = 1.0, reg_param: float | None = None, **_) -> Estimated:
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+
+    one = lambda n: LinearSVC(maxIter=int(max_iter), standardization=False, regParam=1 / (C * n) if reg_param is None else reg_param)
+    return Estimated(lambda n: OneVsRest(classifier=one(n), featuresCol="features", labelCol="y", parallelism=4), probabilities=False)
+
+
+def _descent(loss: str = "hinge", alpha: float = 1e-4, max_iter: int = 20, **_) -> Estimated:
+    """What stochastic descent approaches: the penalty alpha on the mean loss. Hinge loss gives no probabilities."""
+    if loss in ("log", "log_loss"):
+        from pyspark.ml.classification import LogisticRegression
+
+        return Estimated(lambda n: LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", standardization=False, regParam=alpha, maxIter=int(max_iter)))
+    if loss != "hinge":
+        raise ValueError(f"unknown loss {loss!r}; known: hinge, log_loss")
+    return _linear_svm(max_iter, reg_param=alpha)
+
+
+MODELS: dict[str, Callable[..., Classifier]] = {"PVBin": TextClassifier, "GNB": GaussianNB, "LSVC": _linear_svm, "LR": _logistic, "SGD": _descent}
+
+
+def register_model(code: str, make: Callable[..., Classifier]) -> None:
+    """From now on {"type": code, "params": {...}} is make(**params)."""
+    MODELS[code] = make
+
+
+def get_model(config: dict) -> Classifier:
+    code = config.get("type")
+    if code not in MODELS:
+        raise ValueError(f"unknown classifier {code!r}; known: {', '.join(MODELS)}")
+    return MODELS[code](**(config.get("params") or {}))
+
+
+def needs_vectors(config: dict) -> bool:
+    return bool(config.get("type")) and get_model(config).needs == "vec"
 
 
 def aligned(long: DataFrame, labels: DataFrame) -> DataFrame:
@@ -129,7 +200,7 @@ def aligned(long: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(wanted)).select("row_id", "m", F.explode("names").alias("label")).select("row_id", "label", F.coalesce(F.element_at("m", F.col("label")), F.lit(0.0)).alias("proba"))
 
 
-class ProbabilityEmbedder:
+class ProbabilityEmbedder(Embedder):
     """Rows as their class probabilities. It is fitted with the labels of the rows it is given."""
 
     def __init__(self, cache: str | None = None, **params):
@@ -147,19 +218,28 @@ class ProbabilityEmbedder:
         make = lambda: self.model.scored(df).select("row_id", F.col("probas").alias("vec"))
         return cached(df.select("row_id", "text"), self.cache, make, self.fitted_on) if self.cache else make()
 
-    def fit_transform(self, df: DataFrame) -> DataFrame:
-        return self.fit(df).transform(df)
-
     @property
     def dimension(self) -> int:
         return len(self.model.labels)
 
 
-def get_embedder(config: dict) -> ProbabilityEmbedder:
-    if config.get("type") != "PVProb":
-        raise ValueError(f"unknown embedder {config.get('type')!r}; known: PVProb")
-    given = config.get("params") or {}
-    params = dict(given.get("vectorizer_params") or {})
+def _probability_embedder(vectorizer_params: dict | None = None, cache_dir: str | None = None, **_) -> ProbabilityEmbedder:
+    params = dict(vectorizer_params or {})
     if isinstance(params.get("ngram_range"), list):
         params["ngram_range"] = tuple(params["ngram_range"])
-    return ProbabilityEmbedder(cache=given.get("cache_dir"), **params)
+    return ProbabilityEmbedder(cache=cache_dir, **params)
+
+
+EMBEDDERS: dict[str, Callable[..., Embedder]] = {"PVProb": _probability_embedder}
+
+
+def register_embedder(code: str, make: Callable[..., Embedder]) -> None:
+    """From now on {"type": code, "params": {...}} is make(**params)."""
+    EMBEDDERS[code] = make
+
+
+def get_embedder(config: dict) -> Embedder:
+    code = config.get("type")
+    if code not in EMBEDDERS:
+        raise ValueError(f"unknown embedder {code!r}; known: {', '.join(EMBEDDERS)}")
+    return EMBEDDERS[code](**(config.get("params") or {}))

@@ -19,6 +19,13 @@ def answered(chosen: DataFrame, truth: DataFrame) -> DataFrame:
     return chosen.join(truth.select("row_id", "label"), "row_id", "left")
 
 
+def selections(answers: DataFrame, chosen: DataFrame, experiment: str | None, iteration: int, strategy: str) -> DataFrame:
+    """The selection log's rows: what was asked and answered in a round. The score is null unless rows were taken by entropy."""
+    score = F.col("score") if strategy == "ENT" else F.lit(None).cast("double")
+    rows = answers.where("label is not null").join(chosen, "row_id")
+    return rows.select(F.lit(experiment).cast("string").alias("experiment_name"), F.lit(iteration).alias("iteration"), F.lit(strategy).alias("query_strategy"), "row_id", "text", F.col("label").alias("oracle_label"), score.alias("uncertainty_score"))
+
+
 def update(labelled: DataFrame, pool: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(L, U) after a batch: valid answers join L; all rows asked for leave U, unless no answer was valid at all.
 

@@ -1,7 +1,7 @@
 """Every query of the engine, each beside SQL that says the same where SQL can.
 
 Queries run over whole tables. `text -> lang` of documents stands for labelled texts, embeddings for feature vectors,
-events for metric curves; run logs are literal lines.
+events for metric curves; run logs are lines written to a folder and read from it.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.draws import draw
-from ..operators import coldstart, evaluate, models, pool, prepare, select
+from ..operators import cache, coldstart, evaluate, models, pool, prepare, select
 from ..operators.vectorizer import ProductVectorizer, class_counted, counted, document_frequency, idf, row_terms, weighted
-from ..session import shared_dir, spread, table
-from ..sources import tables
+from ..session import cut, shared_dir, spread, table
+from ..sources import excel, tables
 from . import config, curves, genetic, history, learner, oracle
 from . import sqltext as S
 
@@ -77,6 +77,14 @@ def src_csv(spark, d):
     return rows.groupBy(F.col("p_type").alias("label")).agg(F.count("*").alias("n_rows"), F.count_distinct("p_name").alias("n_names"), F.sum("p_size").alias("sum_size"))
 
 
+@query("SELECT p_brand AS label, count(*) AS n_rows, count(DISTINCT p_name) AS n_names, sum(p_size)::BIGINT AS sum_size, round(sum(p_retailprice), 2) AS sum_price FROM part GROUP BY ALL")
+def src_excel(spark, d):
+    path = f"{shared_dir(spark)}/items-{uuid.uuid4().hex}.xlsx"
+    excel.write_excel(table(spark, d, "part").select("p_name", "p_brand", "p_size", "p_retailprice"), path)
+    rows = tables.read_labeled(spark, path, "p_name", "p_brand")
+    return rows.groupBy(F.col("p_brand").alias("label")).agg(F.count("*").alias("n_rows"), F.count_distinct("p_name").alias("n_names"), F.sum("p_size").alias("sum_size"), F.round(F.sum("p_retailprice"), 2).alias("sum_price"))
+
+
 #: Runs as they are logged; the third line is broken, and one has a bare NaN.
 LOG = (
     '{"experiment_name": "a", "execution_timestamp": "2024-05-01 10:00:00", "status": "COMPLETED", "config": {"data_params": {"min_samples_per_class": 5, "population_size": 0.5}, "al_params": {"cold_start_config": {"type": "RND"}, "classifier_config": {"type": "PVBin", "params": {"method": "binary"}}, "query_strategy_config": {"type": "ENT", "params": {"batch_size": "10"}}}, "general_params": {"random_seed": 42}}, "baseline_metrics": {"baseline_acc": 0.8, "baseline_f1": NaN}, "history_data": [{"iteration": 1, "L_size": 10, "external_acc": 0.2, "status": "COMPLETED_ITERATION"}, {"iteration": 2, "L_size": 20, "external_acc": 0.4, "U_size": 80, "status": "COMPLETED_ITERATION"}, {"iteration": 3, "L_size": 40, "external_acc": 0.5, "U_size": 60, "status": "COMPLETED_ITERATION"}], "total_duration_sec": 12.5}',
@@ -93,8 +101,10 @@ def log_lines(spark) -> DataFrame:
 
 
 def run_log(spark) -> DataFrame:
-    parsed = F.from_json("value", tables.LOG_SCHEMA + ", _corrupt_record STRING", {"columnNameOfCorruptRecord": "_corrupt_record", "allowNonNumericNumbers": "true"})
-    return log_lines(spark).select("line", parsed.alias("r")).select("line", "r.*")
+    """The lines as the log of a folder: one file, so that its order is the lines'."""
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    log_lines(spark).coalesce(1).select("value").write.text(path)
+    return tables.read_log(spark, path).withColumn("line", F.monotonically_increasing_id().cast("int"))
 
 
 def _lines_sql() -> str:
@@ -110,7 +120,7 @@ def log_scan(spark, d):
     return run_log(spark).select("line", "experiment_name", "status", F.coalesce(F.size("history_data"), F.lit(-1)).alias("n_iterations"), F.col("_corrupt_record").isNotNull().alias("corrupt"))
 
 
-@query()
+@query("SELECT event_type AS experiment_name, 'COMPLETED' AS status, count(*)::INT AS l_size FROM events GROUP BY event_type")
 def log_append(spark, d):
     manager = history.HistoryManager(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}")
     for r in table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy("event_type").collect():
@@ -118,19 +128,28 @@ def log_append(spark, d):
     return manager.log().select("experiment_name", "status", F.col("history_data")[0]["L_size"].alias("l_size"))
 
 
-@query()
+@query("SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def hist_csv_sink(spark, d):
     path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
     days = table(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
     tables.append_csv(days.where("event_type = 'click'"), path)
     tables.append_csv(days.where("event_type <> 'click'"), path)
-    return spark.read.option("header", True).schema("day DATE, event_type STRING, n BIGINT, mean DOUBLE").csv(path)
+    return tables.read_csv(spark, path, "day DATE, event_type STRING, n BIGINT, mean DOUBLE").withColumn("day", F.col("day").cast("string"))
+
 
+def _row_sums_sql(name: str, *columns: str) -> str:
+    h = f"md5(concat_ws(chr(31), {', '.join(f'coalesce({c}::VARCHAR, chr(1))' for c in sorted(columns))}))"
+    part = lambda at: f"sum(('0x' || substr({h}, {at}, 15))::BIGINT)::VARCHAR"
+    return f"{name} AS (SELECT lang, source, count(*) AS n, {part(1)} AS {name}_a, {part(17)} AS {name}_b FROM documents GROUP BY ALL)"
 
-@query("WITH x AS (SELECT lang, source, string_agg(text, '<SEP>' ORDER BY text) AS t, string_agg(lang || '=' || doc_id, ',' ORDER BY doc_id) AS l FROM documents GROUP BY ALL) SELECT lang, source, sha256(t) AS texts, sha256(l) AS fit_id FROM x")
+
+@query(f"WITH {_row_sums_sql('t', 'lang', 'source', 'text')}, {_row_sums_sql('f', 'doc_id', 'lang', 'source', 'text')} SELECT t.lang, t.source, t.n, t_a, t_b, f_a, f_b FROM t JOIN f USING (lang, source)")
 def cache_fingerprint(spark, d):
-    rows = table(spark, d, "documents").groupBy("lang", "source")  # the unit that a cache stores
-    return rows.agg(T.fingerprint(F.collect_list("text")).alias("texts"), F.array_sort(F.collect_list("doc_id")).alias("ids")).select("lang", "source", "texts", F.sha2(F.array_join(F.transform("ids", lambda i: F.concat(F.col("lang"), F.lit("="), i.cast("string"))), ","), 256).alias("fit_id"))
+    rows = table(spark, d, "documents")  # what a cache's keys are made of, of each language and source
+    text = lambda c: F.col(c).cast("string")
+    t = cache.row_sums(rows.select("lang", "source", "text"), "lang", "source").select("lang", "source", "n", text("a").alias("t_a"), text("b").alias("t_b"))
+    f = cache.row_sums(rows.select("doc_id", "lang", "source", "text"), "lang", "source").select("lang", "source", text("a").alias("f_a"), text("b").alias("f_b"))
+    return t.join(f, ["lang", "source"])
 
 
 # --- preparation
@@ -224,10 +243,9 @@ def union_pu(spark, d):
     return both.groupBy("label").agg(F.count("*").alias("n_rows"), F.count_if(F.col("part") == "U").alias("n_pool"))
 
 
-# --- vectorizer; weights and frequencies of ten texts a class, as in their SQL, and as *_all of all texts, without SQL
+# --- vectorizer
 
-C1 = S.with_(S.DOCS, S.L0, S.class_terms("c", "l0", 1, 1))
-C2 = S.with_(S.DOCS, S.L0, S.class_terms("c", "l0", 1, 2))
+C1 = S.with_(S.DOCS, S.class_terms("c", "docs", 1, 1))
 
 
 @query(S.with_(S.DOCS, S.class_terms("c", "docs", 2, 2)) + "SELECT label, count(*) AS n_terms, sum(tf)::BIGINT AS n_bigrams, max(tf) AS max_tf FROM c GROUP BY label")
@@ -242,12 +260,18 @@ def ngrams_1_2(spark, d):
 
 @query(C1 + "SELECT label, term, tf FROM c")
 def term_document(spark, d):
-    return class_counted(start(spark, d), 1, 1)
+    return class_counted(docs(spark, d), 1, 1)
 
 
-@query()
-def term_document_all(spark, d):
-    return class_counted(docs(spark, d), 1, 1)
+WIDE = S.with_(S.DOCS, S.class_terms("c", "docs", 1, 1), "v AS (SELECT term, count(*) AS df FROM c GROUP BY term)", S.weighted("w", "c", "label", "v", "(SELECT count(DISTINCT label) FROM docs)", "tfidfscikit", "l2", True))
+
+
+@query(WIDE + "SELECT term, w.label AS class, round(weight, 6) AS weight FROM w")
+def term_matrix(spark, d):
+    model, _ = ProductVectorizer("tfidfscikit", norm="l2", query="tfidfscikit", query_norm="l2").fit_transform(docs(spark, d))
+    wide = model.term_document_matrix()  # a column for each class
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("class"), F.col(f"`{x}`").alias("weight")) for x in model.labels])).alias("p")
+    return rounded(wide.select("term", pairs).select("term", "p.*").where("weight <> 0"), "weight")
 
 
 @query(PV + "SELECT row_id, count(*) AS n_terms, round(sum(weight), 6) AS weight FROM m_q GROUP BY row_id")
@@ -256,20 +280,16 @@ def term_query(spark, d):
 
 
 def _weights(name: str, kind: str, norm: str | None = None, documents: bool = True, low: int = 1, high: int = 2):
-    n = "(SELECT count(DISTINCT label) FROM l0)"
-    sql = S.with_(S.DOCS, S.L0, S.class_terms("c", "l0", low, high), "v AS (SELECT term, count(*) AS df FROM c GROUP BY term)", S.weighted("w", "c", "label", "v", n, kind, norm, documents))
-
-    def over(rows, called):
-        def f(spark, d):
-            counts = class_counted(rows(spark, d), low, high)
-            labels = counts.select("label").distinct().count()
-            return rounded(weighted(counts, "label", document_frequency(counts), labels, kind, norm, documents), "weight")
+    n = "(SELECT count(DISTINCT label) FROM docs)"
+    sql = S.with_(S.DOCS, S.class_terms("c", "docs", low, high), "v AS (SELECT term, count(*) AS df FROM c GROUP BY term)", S.weighted("w", "c", "label", "v", n, kind, norm, documents))
 
-        f.__name__ = called
-        return f
+    def f(spark, d):
+        counts = cut(class_counted(docs(spark, d), low, high))
+        labels = counts.select("label").distinct().count()
+        return rounded(weighted(counts, "label", document_frequency(counts), labels, kind, norm, documents), "weight")
 
-    query(sql + "SELECT label, term, round(weight, 6) AS weight FROM w")(over(start, name))
-    query()(over(docs, f"{name}_all"))
+    f.__name__ = name
+    query(sql + "SELECT label, term, round(weight, 6) AS weight FROM w")(f)
 
 
 _weights("tf_binary", "binary")
@@ -280,19 +300,15 @@ _weights("tfidf_l2", "tfidf", "l2")
 
 
 def _idf(name: str, kind: str, documents: bool):
-    n = "(SELECT count(DISTINCT label) FROM l0)"
+    n = "(SELECT count(DISTINCT label) FROM docs)"
     formula = {"tfidf": f"ln({n}::DOUBLE / df)" + ("" if documents else " + 1"), "tfidfscikit": f"ln((1.0::DOUBLE + {n}) / (1.0::DOUBLE + df)) + 1"}[kind]
 
-    def over(rows, called):
-        def f(spark, d):
-            counts = class_counted(rows(spark, d), 1, 1)
-            return document_frequency(counts).select("term", "df", F.round(idf(kind, counts.select("label").distinct().count(), documents), 6).alias("idf"))
-
-        f.__name__ = called
-        return f
+    def f(spark, d):
+        counts = cut(class_counted(docs(spark, d), 1, 1))
+        return document_frequency(counts).select("term", "df", F.round(idf(kind, counts.select("label").distinct().count(), documents), 6).alias("idf"))
 
-    query(C1 + f", v AS (SELECT term, count(*) AS df FROM c GROUP BY term) SELECT term, df, round({formula}, 6) AS idf FROM v")(over(start, name))
-    query()(over(docs, f"{name}_all"))
+    f.__name__ = name
+    query(C1 + f", v AS (SELECT term, count(*) AS df FROM c GROUP BY term) SELECT term, df, round({formula}, 6) AS idf FROM v")(f)
 
 
 _idf("idf_unsmoothed", "tfidf", False)
@@ -481,13 +497,6 @@ def pool_update(spark, d):
     return L.select("row_id", F.lit("L").alias("part")).unionByName(U.select("row_id", F.lit("U").alias("part")))
 
 
-@query(UNSURE[:-1] + ", y AS (SELECT row_id, entropy, row_number() OVER (ORDER BY entropy DESC, row_id) AS rank FROM u) SELECT 'docs' AS experiment_name, 1 AS iteration, 'ENT' AS query_strategy, y.row_id, md5(x.text) AS text_md5, x.label AS oracle_label, y.entropy AS uncertainty_score FROM y JOIN docs x USING (row_id) WHERE rank <= 50")
-def selection_log(spark, d):
-    chosen = select.max_entropy(scored(spark, d), BATCH)
-    rows = docs(spark, d).join(chosen, "row_id")
-    return rows.select(F.lit("docs").alias("experiment_name"), F.lit(1).alias("iteration"), F.lit("ENT").alias("query_strategy"), "row_id", F.md5("text").alias("text_md5"), F.col("label").alias("oracle_label"), F.col("score").alias("uncertainty_score"))
-
-
 def _curve(spark, d) -> DataFrame:
     """Of each user the events in order, as a run's iterations."""
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -509,10 +518,15 @@ def _loop_config(iterations: int, **more) -> dict:
     return {"experiment_name": "docs", "active": True, "data_params": {"min_samples_per_class": 1}, "al_params": al | more, "general_params": {"random_seed": 42}}
 
 
-def _loop_sql() -> str:
+def _loop_parts() -> list[str]:
+    """The loop's first round: l1 is labelled, q1 is asked of r1."""
     parts = [S.DOCS, S.prepared(), "pop AS (SELECT row_id, text, label FROM pu WHERE NOT held)", "u1 AS (SELECT row_id, text, label FROM pu WHERE held)", S.first("l1", "u1", 40, 42)]
     parts += ["r1 AS (SELECT * FROM u1 WHERE row_id NOT IN (SELECT row_id FROM l1))", S.model("a", "l1", "pop", high=1), S.model("b", "l1", "r1", high=1), S.uncertainty("ub", "b_d")]
-    parts += ["q1 AS (SELECT row_id FROM ub ORDER BY entropy DESC, row_id LIMIT 50)", "l2 AS (SELECT * FROM l1 UNION ALL SELECT * FROM r1 WHERE row_id IN (SELECT row_id FROM q1))", S.model("c", "l2", "pop", high=1), "lab AS (SELECT DISTINCT label FROM pu)"]
+    return [*parts, "q1 AS (SELECT row_id FROM ub ORDER BY entropy DESC, row_id LIMIT 50)"]
+
+
+def _loop_sql() -> str:
+    parts = [*_loop_parts(), "l2 AS (SELECT * FROM l1 UNION ALL SELECT * FROM r1 WHERE row_id IN (SELECT row_id FROM q1))", S.model("c", "l2", "pop", high=1), "lab AS (SELECT DISTINCT label FROM pu)"]
     for k in "ac":
         parts += [f"{k}p AS (SELECT row_id, label, predicted FROM pop JOIN {k}_p USING (row_id))", S.per_class(f"{k}f", f"{k}p", "lab")]
     row = "SELECT {i} AS iteration, {l}::BIGINT AS l_size, {u}::BIGINT AS u_size, (SELECT round(avg((label = predicted)::INT), 6) FROM {k}p) AS external_acc, (SELECT round(avg(f1), 6) FROM {k}f) AS external_f1"
@@ -527,6 +541,16 @@ def al_curve_small(spark, d):
     return rounded(out, "external_acc", "external_f1")
 
 
+@query(S.with_(*_loop_parts()) + "SELECT 'docs' AS experiment_name, 1 AS iteration, 'ENT' AS query_strategy, ub.row_id, md5(r1.text) AS text_md5, r1.label AS oracle_label, ub.entropy AS uncertainty_score FROM q1 JOIN ub USING (row_id) JOIN r1 USING (row_id)")
+def selection_log(spark, d):
+    path = f"{shared_dir(spark)}/selections-{uuid.uuid4().hex}"
+    settings = _loop_config(1)
+    settings["general_params"] |= {"verbose": True, "selection_log_file": path}
+    learner.ActiveLearner(settings).setup(docs(spark, d)).run()
+    kind = "experiment_name STRING, iteration INT, query_strategy STRING, row_id BIGINT, text STRING, oracle_label STRING, uncertainty_score DOUBLE"
+    return tables.read_csv(spark, path, kind).withColumn("text", F.md5("text")).withColumnRenamed("text", "text_md5")
+
+
 @query()
 def al_history(spark, d):
     settings = {"query_strategy_config": {"type": "HYB", "params": {"batch_size": 10, "entropy_fraction": 0.5}}, "internal_test_size": 0.2, "early_stopping_metric": "external_acc", "early_stopping_patience": 1}
@@ -602,18 +626,19 @@ def gnb_predict(spark, d):
     return models.get_model({"type": "GNB"}).fit(rows).predict(rows)
 
 
-def _ml(code: str, **params):
+def _ml(code: str, name: str | None = None, **params):
     def f(spark, d):
         rows = vectors(spark, d)
         return models.get_model({"type": code, "params": params}).fit(rows).predict(rows)
 
-    f.__name__ = f"{code.lower()}_predict"
+    f.__name__ = name or f"{code.lower()}_predict"
     query()(f)
 
 
 _ml("LR", max_iter=20)
 _ml("LSVC", max_iter=5)
-_ml("SGD", loss="log_loss", max_iter=10)
+_ml("SGD", max_iter=5)
+_ml("SGD", "sgd_log_predict", loss="log_loss", max_iter=10)
 
 
 @query("WITH t AS (SELECT a.vec_id AS row_id, round(sum(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))), 4) AS total FROM embeddings a CROSS JOIN embeddings b GROUP BY a.vec_id) SELECT row_id, total FROM t ORDER BY total, row_id LIMIT 10")
@@ -676,7 +701,7 @@ def ga_fitness(spark, d):
     return fit_table(spark, d)
 
 
-@query(FIT + ", b AS (SELECT individual_id, accuracy FROM fit ORDER BY accuracy DESC, individual_id LIMIT 1) SELECT ga.row_id, ga.label, b.accuracy AS metric_value, 'ACCURACY' AS metric_type, 'MAXIMIZE' AS optimization_goal FROM b JOIN genes USING (individual_id) JOIN ga USING (row_id)")
+@query(FIT + ", b AS (SELECT individual_id, accuracy FROM fit ORDER BY accuracy DESC, individual_id LIMIT 1) SELECT ga.row_id, ga.label, b.accuracy AS metric_value, 'ACCURACY' AS metric_type, 'MAXIMIZE' AS optimization_goal, (SELECT string_agg(row_id::VARCHAR, ',' ORDER BY row_id) FROM genes JOIN b USING (individual_id)) AS l0_indices_str FROM b JOIN genes USING (individual_id) JOIN ga USING (row_id)")
 def ga_best_l0(spark, d):
     best = fit_table(spark, d).orderBy(F.col("accuracy").desc(), "individual_id").first()
     chosen = people(spark, d).where(F.col("individual_id") == best.individual_id)
@@ -698,8 +723,28 @@ def l0_profile(spark, d):
 
 @query(f"{FIT}, {PROFILE} SELECT 0 AS generation, {PROFILE_COLUMNS}, printf('%.6f', accuracy) AS accuracy_on_full, printf('%.6f', macro_f1) AS f1_macro_on_full FROM fit JOIN pr USING (individual_id) JOIN tk USING (individual_id) JOIN md USING (individual_id)")
 def ga_fitness_log(spark, d):
-    out = fit_table(spark, d).join(l0_profile(spark, d), "individual_id")
-    return out.select(F.lit(0).alias("generation"), *PROFILE_COLUMNS.split(", "), F.format_string("%.6f", "accuracy").alias("accuracy_on_full"), F.format_string("%.6f", "macro_f1").alias("f1_macro_on_full"))
+    path = f"{shared_dir(spark)}/fitness-{uuid.uuid4().hex}"
+    scores = fit_table(spark, d).select(F.lit(0).alias("generation"), "individual_id", F.col("accuracy").alias("acc"), F.col("macro_f1").alias("f1"), F.lit(None).cast("double").alias("seconds"))
+    tables.append_csv(genetic.details(people(spark, d), ga_rows(spark, d), scores), path)
+    kind = "generation INT, individual_id INT, l0_size BIGINT, accuracy_on_full STRING, f1_macro_on_full STRING, num_tokens BIGINT, num_distinct_tokens BIGINT, num_classes_in_l0 BIGINT, most_frequent_class_in_l0 STRING, l0_indices_hash STRING, fitness_calc_time_sec STRING"
+    return tables.read_csv(spark, path, kind).drop("fitness_calc_time_sec")  # no two runs take the same time
+
+
+GENES = f"genes AS (SELECT individual_id, row_id FROM (SELECT i.range::INT AS individual_id, row_id, row_number() OVER (PARTITION BY i.range ORDER BY {S.draw(42, 'i.range', 'row_id')}, row_id) AS k FROM emb CROSS JOIN range(3) i) WHERE k <= 150)"
+
+
+@query(
+    f"WITH {EMB}, {GENES}, tr AS (SELECT individual_id, row_id, label, dim, x FROM genes JOIN fx USING (row_id)), tf AS (SELECT individual_id, max(v) * 1e-9 AS f FROM (SELECT individual_id, var_pop(x) AS v FROM tr GROUP BY individual_id, dim) GROUP BY individual_id), "
+    "tp AS (SELECT individual_id, label, dim, count(*) AS n, avg(x) AS mean, var_pop(x) + any_value(f) AS var FROM tr JOIN tf USING (individual_id) GROUP BY individual_id, label, dim), "
+    "sc AS (SELECT x.row_id, any_value(x.label) AS truth, g.individual_id, g.label, round(ln(any_value(g.n)::DOUBLE / 150) - 0.5 * sum(ln(2 * pi() * g.var) + (x.x - g.mean) ** 2 / g.var), 6) AS s FROM fx x JOIN tp g USING (dim) GROUP BY x.row_id, g.individual_id, g.label), "
+    "pr AS (SELECT individual_id, row_id, any_value(truth) AS truth, first(label ORDER BY s DESC, label) AS predicted FROM sc GROUP BY individual_id, row_id), "
+    "cl AS (SELECT i.individual_id, l.label, (SELECT count(*) FROM pr p WHERE p.individual_id = i.individual_id AND p.truth = l.label AND p.predicted = l.label) AS tp, (SELECT count(*) FROM pr p WHERE p.individual_id = i.individual_id AND p.truth = l.label) AS sup, (SELECT count(*) FROM pr p WHERE p.individual_id = i.individual_id AND p.predicted = l.label) AS pre FROM (SELECT DISTINCT label FROM emb) l CROSS JOIN range(3) r(individual_id) JOIN (SELECT DISTINCT individual_id FROM genes) i ON i.individual_id = r.individual_id) "
+    "SELECT individual_id, round(sum(tp)::DOUBLE / sum(sup), 6) AS accuracy, round(avg(CASE WHEN sup + pre > 0 THEN 2.0::DOUBLE * tp / (sup + pre) ELSE 0 END), 6) AS macro_f1 FROM cl GROUP BY individual_id"
+)
+def ga_fitness_gnb(spark, d):
+    rows = vectors(spark, d)
+    search = genetic.GeneticOptimizer(size=150, population=3, generations=1, classifier={"type": "GNB"}).run(rows)
+    return rounded(spark.createDataFrame([x[1:] for x in search.log], "individual_id int, accuracy double, macro_f1 double"), "accuracy", "macro_f1")
 
 
 # metric logs: events as individuals, their days as generations; one kind of event has failed
@@ -779,13 +824,17 @@ def ga_run(spark, d):
     return spark.createDataFrame(done.log, "generation int, individual_id int, accuracy double, macro_f1 double")
 
 
-@query()
+GOALS = ("accuracy_maximize", "accuracy_minimize", "macro_f1_maximize", "macro_f1_minimize")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{g}', {k == 0 or g == GOALS[1]})" for k in (0, 1) for g in GOALS) + ") x(attempt, name, ran)")
 def ga_resume(spark, d):
     folder = f"{shared_dir(spark)}/goals-{uuid.uuid4().hex}"
-    settings, goals = {"size": 12, "population": 2, "generations": 1}, (("accuracy", "maximize"),)
-    first = genetic.run_goals(_parts(spark, d), folder, settings, goals)
-    second = genetic.run_goals(_parts(spark, d), folder, settings, goals)
-    return spark.createDataFrame([(k, n, r) for k, x in enumerate((first, second)) for n, r in x], "attempt int, name string, ran boolean")
+    settings = {"size": 12, "population": 2, "generations": 1}
+    runs = [genetic.run_goals(_parts(spark, d), folder, settings)]
+    tables.remove(spark, f"{folder}/{GOALS[1]}/history")  # as if that goal's run had been broken off
+    runs.append(genetic.run_goals(_parts(spark, d), folder, settings))
+    return spark.createDataFrame([(k, n, r) for k, x in enumerate(runs) for n, r in x], "attempt int, name string, ran boolean")
 
 
 @query(f"WITH {GA_LOG} SELECT individual_id, generation, try_cast(acc_text AS DOUBLE) AS accuracy_on_full FROM gl")

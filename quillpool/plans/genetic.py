@@ -8,16 +8,20 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, draw_int, draw_unit
-from ..functions.text import ngrams, normal_label, tokens, words
+from ..functions.text import normal_label, words
+from ..operators import evaluate
+from ..operators.models import get_model
 from ..operators.prepare import drop_null, rare_grouped
-from ..operators.vectorizer import row_terms
+from ..operators.vectorizer import class_counted, row_terms
 from ..session import cut, written
+from ..sources.tables import append_csv
 
 
 def dataset(df: DataFrame, text: str, label: str, row_id: str, least: int | None, labels: DataFrame | None = None) -> DataFrame:
@@ -35,13 +39,9 @@ def init_population(rows: DataFrame, size: int, population: int, seed=42) -> Dat
 
 
 def class_terms(genes: DataFrame, rows: DataFrame, low: int, high: int) -> DataFrame:
-    """(individual_id, label, term): terms of the class documents of every individual's rows.
-
-    Weights are binary. A class document's texts stand in row order, so n-grams run across the seams; a set's rows are few.
-    """
-    chosen = genes.join(rows, "row_id").select("individual_id", "label", "row_id", tokens(F.col("text")).alias("t"))
-    docs = chosen.groupBy("individual_id", "label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "t"))), lambda s: s["t"])).alias("t"))
-    return docs.select("individual_id", "label", F.explode(F.array_distinct(ngrams(F.col("t"), low, high))).alias("term"))
+    """(individual_id, label, term): terms of the class documents of every individual's rows, with binary weights."""
+    chosen = genes.select("individual_id", "row_id").join(rows, "row_id")
+    return class_counted(chosen, low, high, ("individual_id", "label")).select("individual_id", "label", "term")
 
 
 def fitness(genes: DataFrame, rows: DataFrame, query_terms: DataFrame, low: int = 1, high: int = 2, labels: DataFrame | None = None) -> DataFrame:
@@ -103,12 +103,21 @@ def crossover(pairs: DataFrame, seed=42) -> DataFrame:
 
 
 def mutation(genes: DataFrame, rows: DataFrame, strength: int, seed=42) -> DataFrame:
-    """genes with the `strength` positions drawn replaced by rows outside the individual, drawn too."""
+    """genes with the `strength` positions drawn replaced by rows outside the individual, drawn too.
+
+    Of the rows in an individual's drawing order the first `strength` outside it are among the first `strength` plus its
+    size; a task passes on no more than those, then the individual's own are dropped.
+    """
     by = Window.partitionBy("individual_id")
     marked = genes.withColumn("k", F.row_number().over(by.orderBy(draw(seed, F.col("individual_id"), F.lit("p"), F.col("gene_pos")), "gene_pos")))
-    ids = genes.select("individual_id").distinct()
-    pool_ = rows.select("row_id").crossJoin(F.broadcast(ids)).join(genes.select("individual_id", "row_id"), ["individual_id", "row_id"], "left_anti")
-    fresh = pool_.withColumn("k", F.row_number().over(by.orderBy(draw(seed, F.col("individual_id"), F.lit("r"), F.col("row_id")), "row_id"))).where(F.col("k") <= strength)
+    sizes = genes.groupBy("individual_id").agg(F.count("*").alias("size"))
+    most = sizes.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]  # the same for all
+    ids = sizes.agg(F.collect_list("individual_id").alias("ids"))  # one row
+    each = rows.select("row_id").join(F.broadcast(ids), F.lit(True)).select("row_id", F.explode("ids").alias("individual_id"))
+    drawn = by.orderBy(draw(seed, F.col("individual_id"), F.lit("r"), F.col("row_id")), "row_id")
+    first = each.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= strength + most)
+    outside = first.join(genes.select("individual_id", "row_id"), ["individual_id", "row_id"], "left_anti")
+    fresh = outside.withColumn("k", F.row_number().over(by.orderBy("place"))).where(F.col("k") <= strength).drop("place")
     out = marked.join(fresh.withColumnRenamed("row_id", "new"), ["individual_id", "k"], "left")
     return out.select("individual_id", "gene_pos", F.when(F.col("k") <= strength, F.coalesce("new", "row_id")).otherwise(F.col("row_id")).alias("row_id"))
 
@@ -140,9 +149,37 @@ def profiles(genes: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select("individual_id", "l0_size", F.coalesce("num_tokens", F.lit(0)).alias("num_tokens"), F.coalesce("num_distinct_tokens", F.lit(0)).alias("num_distinct_tokens"), "num_classes_in_l0", F.col("m.label").alias("most_frequent_class_in_l0"), "l0_indices_hash")
 
 
+def set_keys(genes: DataFrame) -> DataFrame:
+    """(individual_id, key): equal for individuals of the same rows; sums of two hashes, so no set is gathered."""
+    sums = [F.sum(F.xxhash64(F.lit(k), F.col("row_id")).cast("decimal(38,0)")).cast("string") for k in (0, 1)]
+    return genes.groupBy("individual_id").agg(F.concat_ws(":", F.count("*").cast("string"), *sums).alias("key"))
+
+
+def model_fitness(genes: DataFrame, rows: DataFrame, classifier: dict, labels: DataFrame) -> tuple[float, float]:
+    """(accuracy, macro F1) on all rows of one individual's model, of any kind that get_model knows."""
+    model = get_model(classifier).fit(rows.join(genes.select("row_id"), "row_id", "left_semi"))
+    return evaluate.metrics(evaluate.paired(rows, model.predict(rows)), labels)
+
+
+DETAILS = ("generation", "individual_id", "l0_size", "accuracy_on_full", "f1_macro_on_full", "num_tokens", "num_distinct_tokens", "num_classes_in_l0", "most_frequent_class_in_l0", "l0_indices_hash", "fitness_calc_time_sec")
+
+
+def details(genes: DataFrame, rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """Rows of the detailed log. scores: (generation, individual_id, acc, f1, seconds); metrics that failed read Error."""
+    text = lambda c, places: F.format_string(f"%.{places}f", F.col(c))
+    real = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c), text(c, 6)).otherwise("Error")
+    joined = profiles(genes, rows).join(F.broadcast(scores), "individual_id")  # a row for each individual
+    joined = joined.select("*", real("acc").alias("accuracy_on_full"), real("f1").alias("f1_macro_on_full"), F.coalesce(text("seconds", 4), F.lit("N/A")).alias("fitness_calc_time_sec"))
+    return joined.select(*DETAILS).orderBy("individual_id")
+
+
 @dataclass
 class GeneticOptimizer:
-    """Binary term profiles on n-grams low to high. metric: accuracy or macro_f1; goal: maximize or minimize."""
+    """metric: accuracy or macro_f1; goal: maximize or minimize. What starts from a set is judged on all rows.
+
+    Without a classifier, individuals are binary term profiles on n-grams low to high, scored `at_once` in a job; with
+    one (a configuration for get_model, and an embedder for models of vectors), each is a model of its own.
+    """
 
     size: int
     population: int = 50
@@ -158,57 +195,96 @@ class GeneticOptimizer:
     low: int = 1
     high: int = 2
     at_once: int = 10  # individuals scored in one job
+    classifier: dict | None = None
+    embedder: object | None = None
+    labels: list | None = None  # all labels that F1 averages; by default those of the rows
+    log_path: str | None = None  # a CSV folder for the detailed log
 
     def __post_init__(self):
         if self.metric not in ("accuracy", "macro_f1") or self.goal not in ("maximize", "minimize"):
             raise ValueError("metric is accuracy or macro_f1, goal is maximize or minimize")
         if self.size < 1 or self.population < 1:
             raise ValueError("size and population are positive")
+        if not 0 <= self.elitism_rate < 1:
+            raise ValueError("elitism_rate is from 0 to below 1")
 
     def run(self, rows: DataFrame) -> GeneticOptimizer:
-        """rows: (row_id, text, label). Fills log, history, best and best_metric."""
-        terms = cut(row_terms(rows, self.low, self.high))
-        labels = cut(rows.select("label").distinct())
+        """rows: (row_id, text, label), and vec for models of vectors without an embedder. Fills log, history, best and best_metric.
+
+        The driver holds a few numbers for each individual; genes stay a table.
+        """
+        spark = rows.sparkSession
+        if self.embedder is not None:
+            rows = cut(rows.join(self.embedder.transform(rows), "row_id"))
+        labels = cut(rows.select("label").distinct()) if self.labels is None else spark.createDataFrame([(x,) for x in sorted(set(self.labels))], f"label {rows.schema['label'].dataType.simpleString()}")
+        if rows.count() < self.size:
+            raise ValueError("size is greater than the number of rows")
+        terms = cut(row_terms(rows, self.low, self.high)) if self.classifier is None else None
         genes = cut(init_population(rows, self.size, self.population, self.seed))
         memo: dict[str, tuple] = {}
-        self.history, self.log, self.best, self.best_metric = [], [], [], None
+        self.history, self.log, self.best_genes, self.best_metric = [], [], None, None
         for g in range(self.generations):
             began = time.time()
-            people = {r.individual_id: r.genes for r in genes.groupBy("individual_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene_pos", "row_id"))), lambda s: s["row_id"]).alias("genes")).collect()}  # size x population ids
-            keys = {i: ",".join(map(str, sorted(v))) for i, v in people.items()}
+            keys = {r.individual_id: r.key for r in set_keys(genes).collect()}  # a row for each individual
             first: dict[str, int] = {}  # equal sets are scored once
             for i in sorted(keys):
                 if keys[i] not in memo:
                     first.setdefault(keys[i], i)
-            todo = sorted(first.values())
-            for at in range(0, len(todo), self.at_once):
-                part = genes.where(F.col("individual_id").isin(todo[at : at + self.at_once]))
-                for r in fitness(part, rows, terms, self.low, self.high, labels).collect():
-                    memo[keys[r.individual_id]] = (r.accuracy, r.macro_f1)
-            scored = {i: memo.get(k, (None, None)) for i, k in keys.items()}
+            for i, found in self._scored(genes, rows, terms, labels, sorted(first.values())):
+                memo[keys[i]] = found
+            scored = {i: memo.get(k, (None, None, None)) for i, k in keys.items()}
             column = 0 if self.metric == "accuracy" else 1
-            for i, (acc, f1) in sorted(scored.items()):
+            best = None
+            for i, (acc, f1, _) in sorted(scored.items()):
                 self.log.append((g, i, acc, f1))
                 m = (acc, f1)[column]
                 if m is not None and (self.best_metric is None or (m > self.best_metric if self.goal == "maximize" else m < self.best_metric)):
-                    self.best_metric, self.best = m, people[i]
+                    self.best_metric, best = m, i
+            if best is not None:
+                self.best_genes = genes.where(F.col("individual_id") == best).select("gene_pos", "row_id")
+            if self.log_path:
+                scores = spark.createDataFrame([(g, i, *v) for i, v in sorted(scored.items())], "generation int, individual_id int, acc double, f1 double, seconds double")
+                append_csv(details(genes, rows, scores), self.log_path)
             self.history.append((g, *_stats(scored, 0), *_stats(scored, 1), time.time() - began))
             if g + 1 < self.generations:
-                genes = cut(self._next(rows, scored, people, column, g))
+                genes = cut(self._next(rows, scored, genes, column, g))
         return self
 
-    def _next(self, rows: DataFrame, scored: dict, people: dict, column: int, g: int) -> DataFrame:
+    @property
+    def best(self) -> list | None:
+        """The best set's row ids, in the order of its genes."""
+        return None if self.best_genes is None else [r.row_id for r in self.best_genes.orderBy("gene_pos").collect()]
+
+    def _scored(self, genes: DataFrame, rows: DataFrame, terms: DataFrame | None, labels: DataFrame, todo: list[int]) -> Iterator[tuple[int, tuple]]:
+        """(individual, (accuracy, macro F1, seconds)); None for what failed."""
+        if self.classifier is not None:
+            for i in todo:
+                began = time.time()
+                try:
+                    found = model_fitness(genes.where(F.col("individual_id") == i), rows, self.classifier, labels)
+                except Exception:  # a set of which no model can be made, such as one of a single class
+                    found = (None, None)
+                yield i, (*found, time.time() - began)
+            return
+        for at in range(0, len(todo), self.at_once):
+            began, part = time.time(), todo[at : at + self.at_once]
+            found = fitness(genes.where(F.col("individual_id").isin(part)), rows, terms, self.low, self.high, labels).collect()
+            for r in found:
+                yield r.individual_id, (r.accuracy, r.macro_f1, (time.time() - began) / len(part))
+
+    def _next(self, rows: DataFrame, scored: dict, genes: DataFrame, column: int, g: int) -> DataFrame:
         spark, seed = rows.sparkSession, f"{self.seed}-{g}"
         valid = {i: v[column] if self.goal == "maximize" else 1 - v[column] for i, v in scored.items() if v[column] is not None}
         if not valid:
             return init_population(rows, self.size, self.population, seed)
-        fit = spark.createDataFrame([(i, valid.get(i)) for i in sorted(people)], "individual_id int, fitness double")
+        fit = spark.createDataFrame([(i, valid.get(i)) for i in sorted(scored)], "individual_id int, fitness double")
         best = [r.individual_id for r in elite(fit, self.population, self.elitism_rate).collect()]
-        wanted = self.population - len(best)
-        pairs = math.ceil(wanted / 2)
-        parents = {r.slot: r.individual_id for r in tournament(fit, len(people), 2 * pairs, self.tournament_size, seed).collect()}
-        kind = rows.schema["row_id"].dataType.simpleString()
-        couples = spark.createDataFrame([(p, people[parents[2 * p]], people[parents[2 * p + 1]]) for p in range(pairs)], f"pair int, a array<{kind}>, b array<{kind}>")
+        pairs = math.ceil((self.population - len(best)) / 2)
+        parents = {r.slot: r.individual_id for r in tournament(fit, len(scored), 2 * pairs, self.tournament_size, seed).collect()}
+        people = cut(genes.groupBy("individual_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene_pos", "row_id"))), lambda s: s["row_id"]).alias("genes")))  # `size` ids each
+        of = lambda name: people.select(F.col("individual_id").alias(f"{name}_id"), F.col("genes").alias(name))
+        couples = spark.createDataFrame([(p, parents[2 * p], parents[2 * p + 1]) for p in range(pairs)], "pair int, a_id int, b_id int")
+        couples = couples.join(of("a"), "a_id").join(of("b"), "b_id").select("pair", "a", "b")
         mates = draw_unit(seed, F.lit("x"), F.col("pair")) < self.crossover_rate
         mixed = crossover(couples.where(mates), seed).unionByName(couples.where(~mates).select("pair", F.posexplode(F.array("a", "b")).alias("child", "genes")))
         children = mixed.select((F.lit(len(best)) + 2 * F.col("pair") + F.col("child")).cast("int").alias("individual_id"), "genes").where(F.col("individual_id") < self.population)
@@ -216,8 +292,9 @@ class GeneticOptimizer:
         mutates = draw_unit(seed, F.lit("m"), F.col("individual_id")) < self.mutation_rate
         strength = min(self.mutation_strength, self.size)
         changed = mutation(long.where(mutates), rows, strength, seed).unionByName(long.where(~mutates))
-        kept = spark.createDataFrame([(k, p, r) for k, i in enumerate(best) for p, r in enumerate(people[i])], f"individual_id int, gene_pos int, row_id {kind}")
-        return kept.unionByName(changed.select("individual_id", F.col("gene_pos").cast("int").alias("gene_pos"), "row_id"))
+        places = spark.createDataFrame([(i, k) for k, i in enumerate(best)], "individual_id int, place int")
+        kept = genes.join(F.broadcast(places), "individual_id").select(F.col("place").alias("individual_id"), "gene_pos", "row_id")  # places: the elite
+        return kept.unionByName(changed).select("individual_id", F.col("gene_pos").cast("int").alias("gene_pos"), "row_id")
 
 
 def _stats(scored: dict, k: int) -> tuple:
@@ -225,22 +302,39 @@ def _stats(scored: dict, k: int) -> tuple:
     return (max(found), sum(found) / len(found), min(found)) if found else (None, None, None)
 
 
-def run_goals(rows: DataFrame, folder: str, settings: dict, goals=(("accuracy", "maximize"), ("accuracy", "minimize"), ("macro_f1", "maximize"), ("macro_f1", "minimize"))) -> list[tuple[str, bool]]:
-    """Each goal's search, with seeds 100 apart, unless both its tables are there already. Returns (name, ran)."""
+HISTORY = "generation int, max_acc double, avg_acc double, min_acc double, max_f1 double, avg_f1 double, min_f1 double, generation_time_sec double"
+
+
+def run_goals(rows: DataFrame, folder: str, settings: dict, goals=(("accuracy", "maximize"), ("accuracy", "minimize"), ("macro_f1", "maximize"), ("macro_f1", "minimize")), csv: bool = False) -> list[tuple[str, bool]]:
+    """Each goal's search, with seeds 100 apart, unless both its tables are there already. Returns (name, ran).
+
+    csv: beside each Parquet table, the same as CSV with a header, in a folder of its name and `_csv`.
+    """
     spark, out = rows.sparkSession, []
+
+    def keep(df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").parquet(path)
+        if csv:
+            spark.read.parquet(path).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}_csv")
+
     for k, (metric, goal) in enumerate(goals):
         name = f"{metric}_{goal}"
         if written(spark, f"{folder}/{name}/best") and written(spark, f"{folder}/{name}/history"):
             out.append((name, False))
             continue
         found = GeneticOptimizer(metric=metric, goal=goal, **(settings | {"seed": settings.get("seed", 42) + 100 * k})).run(rows)
-        chosen = spark.createDataFrame([(i,) for i in found.best], f"row_id {rows.schema['row_id'].dataType.simpleString()}")
-        best_rows(rows, chosen, found.best_metric, metric, goal).write.mode("overwrite").parquet(f"{folder}/{name}/best")
-        spark.createDataFrame(found.history, "generation int, max_acc double, avg_acc double, min_acc double, max_f1 double, avg_f1 double, min_f1 double, generation_time_sec double").write.mode("overwrite").parquet(f"{folder}/{name}/history")
+        if found.best_genes is None:
+            chosen = rows.select("row_id").limit(0).withColumn("gene_pos", F.lit(0))
+        else:
+            chosen = found.best_genes
+        keep(best_rows(rows, chosen, found.best_metric, metric, goal), f"{folder}/{name}/best")
+        keep(spark.createDataFrame(found.history, HISTORY), f"{folder}/{name}/history")
         out.append((name, True))
     return out
 
 
 def best_rows(rows: DataFrame, chosen: DataFrame, value, metric: str, goal: str) -> DataFrame:
-    """The chosen rows with the value that they reach."""
-    return rows.join(chosen.select("row_id"), "row_id", "left_semi").select("row_id", "text", "label", F.lit(value).cast("double").alias("metric_value"), F.lit(metric.upper()).alias("metric_type"), F.lit(goal.upper()).alias("optimization_goal"))
+    """The chosen rows with the value that they reach, and all their ids as one text."""
+    ids = chosen.agg(F.array_join(F.array_sort(F.collect_list("row_id")), ",").alias("l0_indices_str"))  # one row, of the set's size
+    kept = rows.join(chosen.select("row_id"), "row_id", "left_semi")
+    return kept.join(F.broadcast(ids), F.lit(True)).select("row_id", "text", "label", F.lit(value).cast("double").alias("metric_value"), F.lit(metric.upper()).alias("metric_type"), F.lit(goal.upper()).alias("optimization_goal"), "l0_indices_str")

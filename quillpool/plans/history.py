@@ -66,7 +66,8 @@ class HistoryManager:
             from ..sources.tables import parse_log
 
             found = parse_log(self.spark.createDataFrame([], "value string"))
-        return found.withColumn("line", F.monotonically_increasing_id())
+        # stamps give the order of appended files; records of a log without them keep their places, before all others
+        return found.withColumn("line", F.coalesce("logged_ns", F.monotonically_increasing_id()))
 
     def completed(self) -> set[str]:
         return {r[0] for r in completed_names(self.log()).collect()}

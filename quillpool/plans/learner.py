@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import coldstart, evaluate, pool
-from ..operators.models import get_embedder, get_model
+from ..operators.models import get_embedder, get_model, needs_vectors
 from ..operators.prepare import prepare, stratified, unstratified
 from ..operators.select import NEED_PROBAS, random_sampling, select_batch
 from ..session import cut
+from ..sources.tables import append_csv
 from .oracle import SimulatedOracle, get_oracle
 
 SECTIONS = ("data_params", "al_params")
@@ -54,7 +55,9 @@ class ActiveLearner:
         if missing:
             raise ValueError(f"the configuration lacks {missing}")
         al = self.config["al_params"]
-        self.seed = (self.config.get("general_params") or {}).get("random_seed", int(time.time()))
+        general = self.config.get("general_params") or {}
+        self.seed = general.get("random_seed", int(time.time()))
+        self.selection_log = general.get("selection_log_file") if general.get("verbose") else None  # a CSV folder
         self.classifier = al.get("classifier_config") or {"type": "PVBin", "params": {}}
         self.strategy = al.get("query_strategy_config") or {"type": "RND", "params": {"batch_size": 10}}
         self.cold_start = al.get("cold_start_config") or {"type": "RND", "params": {}}
@@ -103,8 +106,8 @@ class ActiveLearner:
         return self
 
     def _needs_vectors(self) -> bool:
-        kinds = [self.classifier["type"], (self.config.get("baseline_classifier_config") or {}).get("type")]
-        return self.cold_start.get("type") == "KM" or any(k not in (None, "PVBin") for k in kinds)
+        models = (self.classifier, self.config.get("baseline_classifier_config") or {})
+        return self.cold_start.get("type") == "KM" or any(map(needs_vectors, models))
 
     # --- one round
 
@@ -151,6 +154,8 @@ class ActiveLearner:
             chosen = cut(self._query(k))
             at = self._clock(times, "query_duration_sec", at)
             answers = cut(self.oracle.query(pool.take(self.U, chosen)))
+            if self.selection_log:
+                append_csv(pool.selections(answers, chosen, self.config.get("experiment_name"), k, self.asked), self.selection_log)
             L, U = pool.update(self.L, self.U, answers)
             self.L, self.U = cut(L), cut(U)
             self._clock(times, "update_duration_sec", at)
@@ -175,9 +180,11 @@ class ActiveLearner:
     def _query(self, k: int) -> DataFrame:
         if self.model is not None and self.strategy["type"] in NEED_PROBAS:
             try:
+                self.asked = self.strategy["type"]
                 return select_batch(self.strategy, self.U, self.model.scored(self.U), self.seed + k)
             except Exception as error:  # this round falls back to random rows
                 self.error = str(error)[:500]
+        self.asked = "RND"
         return random_sampling(self.U, self.strategy["params"]["batch_size"], self.seed + k)
 
     def _stops(self) -> bool:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,8 @@ SYSTEM = "You sort short texts into categories. Answer with one JSON object that
 USER = "Categories: {labels}\nText: {text}\nWhich category fits best?"
 ANSWER = "predicted_category STRING, augmented_description STRING, rationale STRING"
 ANSWER_WITH_CODE = "predicted_category_name STRING, predicted_category_code INT, rationale STRING"
+#: The field of each kind of answer that holds the category.
+CATEGORY = {ANSWER: "predicted_category", ANSWER_WITH_CODE: "predicted_category_name"}
 
 
 def label_list(labels: Column) -> Column:
@@ -23,16 +26,25 @@ def label_list(labels: Column) -> Column:
     return F.array_join(F.transform(labels, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")
 
 
-def prompt(text: Column, labels: Column, template: str = USER) -> Column:
-    """The template with {labels} and {text} filled in; braces in a text stay as they are."""
-    before, after = template.split("{text}", 1) if "{text}" in template else (template, None)
-    fill = lambda part: F.replace(F.lit(part), F.lit("{labels}"), label_list(labels))
-    return fill(before) if after is None else F.concat(fill(before), F.coalesce(text, F.lit("")), fill(after))
+def prompt(text: Column, labels: Column, template: str = USER, **fields) -> Column:
+    """The template with {text}, {labels} and the given fields (columns or values) filled in, wherever each is named.
 
+    $text and ${text} are other spellings. Unknown names, and braces and dollars in what is filled in, stay as they are.
+    """
+    known = {"text": F.coalesce(text, F.lit("")), "labels": label_list(labels)}
+    known |= {k: F.coalesce((v if isinstance(v, Column) else F.lit(v)).cast("string"), F.lit("")) for k, v in fields.items()}
+    parts, at = [], 0
+    for m in re.finditer(r"\{(\w+)\}|\$\{(\w+)\}|\$(\w+)", template):
+        name = m[1] or m[2] or m[3]
+        if name in known:
+            parts += [F.lit(template[at : m.start()]), known[name]]
+            at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
 
-def messages(text: Column, labels: Column) -> Column:
+
+def messages(text: Column, labels: Column, system: str = SYSTEM, user: str = USER, **fields) -> Column:
     role = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
-    return F.array(role("system", F.lit(SYSTEM)), role("user", prompt(text, labels)))
+    return F.array(role("system", prompt(text, labels, system, **fields)), role("user", prompt(text, labels, user, **fields)))
 
 
 def valid_answer(answer: Column, allowed: Column, field: str = "predicted_category", schema: str = ANSWER) -> Column:
@@ -54,26 +66,36 @@ class ApiError(Exception):
 
 
 class ChatOracle:
-    """Labels from a chat model. `client` makes, in each task, a function from messages to the answer's text."""
+    """Labels from a chat model. `client` makes, in each task, a function from messages to the answer's text.
+
+    It is called with the settings that are given: `model`, `api_key`, and `schema`, the answer's fields. Templates may name
+    text, labels, and the keys of `fields`, columns of the rows asked for. With ANSWER_WITH_CODE the category is a name.
+    """
 
-    def __init__(self, labels: list[str], client: Callable[[], Callable[[list[dict]], str]], text: str = "text", max_retries: int = 3, retry_delay: float = 5.0):
+    def __init__(self, labels: list[str], client: Callable[..., Callable[[list[dict]], str]], text: str = "text", max_retries: int = 3, retry_delay: float = 5.0, model: str | None = None, api_key: str | None = None, system: str = SYSTEM, user: str = USER, schema: str = ANSWER, fields: tuple[str, ...] = ()):
+        if schema not in CATEGORY:
+            raise ValueError("schema is ANSWER or ANSWER_WITH_CODE")
         self.labels, self.client, self.text, self.max_retries, self.retry_delay = sorted(set(labels)), client, text, max_retries, retry_delay
+        given = {"model": model, "api_key": api_key} | ({} if schema == ANSWER else {"schema": schema})
+        self.settings = {k: v for k, v in given.items() if v is not None}
+        self.system, self.user, self.schema, self.fields = system, user, schema, fields
 
     def query(self, chosen: DataFrame) -> DataFrame:
-        labels, client, tries, delay = self.labels, self.client, self.max_retries, self.retry_delay
-        rows = chosen.drop("label").withColumn("__messages", F.to_json(messages(F.col(self.text), F.array(*[F.lit(x) for x in labels]))))
+        labels, client, settings, tries, delay, field = self.labels, self.client, self.settings, self.max_retries, self.retry_delay, CATEGORY[self.schema]
+        asked = messages(F.col(self.text), F.array(*[F.lit(x) for x in labels]), self.system, self.user, **{f: F.col(f) for f in self.fields})
+        rows = chosen.drop("label").withColumn("__messages", F.to_json(asked))
 
         def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            call = client()
+            call = client(**settings)
             for frame in frames:
-                frame["label"] = [_label(call, json.loads(m), labels, tries, delay) for m in frame.pop("__messages")]
+                frame["label"] = [_label(call, json.loads(m), labels, tries, delay, field) for m in frame.pop("__messages")]
                 yield frame
 
         fields = ", ".join(f"`{c}` {t}" for c, t in chosen.drop("label").dtypes)
         return rows.mapInPandas(ask, f"{fields}, label string")
 
 
-def _label(call, request: list[dict], labels: list[str], tries: int, delay: float) -> str | None:
+def _label(call, request: list[dict], labels: list[str], tries: int, delay: float, field: str) -> str | None:
     for attempt in range(tries):
         try:
             answer = call(request)
@@ -82,7 +104,7 @@ def _label(call, request: list[dict], labels: list[str], tries: int, delay: floa
                 time.sleep(delay)
             continue
         try:
-            found = json.loads(answer).get("predicted_category")
+            found = json.loads(answer).get(field)
         except (ValueError, AttributeError):
             return None  # not asked again
         return found if found in labels else None

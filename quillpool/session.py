@@ -27,8 +27,8 @@ def spread(df: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder all executors share.
 
-    It is the cluster's spark.checkpoint.dir; only where that is unset (a local session, as in tests)
-    a temporary folder is made and removed at exit.
+    It is the cluster's spark.checkpoint.dir; only in a local session that sets none, as in tests, a temporary folder is
+    made and removed at exit.
     """
     sc = spark.sparkContext
     wanted = sc.getConf().get("spark.checkpoint.dir")
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         wanted = tempfile.mkdtemp(prefix="quillpool-")
         atexit.register(shutil.rmtree, wanted, True)
         wanted = f"file://{wanted}"

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-READERS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".orc": "orc", ".xlsx": "excel", ".xls": "excel"}
+from .excel import read_excel
+
+READERS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".orc": "orc", ".xlsx": "excel"}
 
 
 def read_labeled(spark: SparkSession, path: str, text: str, label: str, schema: str | None = None, sheet: int | str = 0) -> DataFrame:
@@ -36,43 +39,10 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
-    """An Excel sheet through a Python data source; needs a pandas Excel engine where it runs."""
-    from pyspark.sql.datasource import DataSource, DataSourceReader
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    class Excel(DataSource):
-        @classmethod
-        def name(cls):
-            return "quillpool_excel"
-
-        def _frame(self):
-            import pandas as pd
-
-            name = self.options.get("sheet", "0")
-            return pd.read_excel(self.options["path"], sheet_name=int(name) if name.isdigit() else name, dtype=str)
-
-        def schema(self):
-            return StructType([StructField(str(c), StringType()) for c in self._frame().columns])
-
-        def reader(self, schema):
-            source = self
-
-            class Rows(DataSourceReader):
-                def read(self, partition):
-                    frame = source._frame()
-                    yield from (tuple(None if v != v else v for v in r) for r in frame.itertuples(index=False))
-
-            return Rows()
-
-    spark.dataSource.register(Excel)
-    return spark.read.format("quillpool_excel").option("path", path).option("sheet", str(sheet)).load()
-
-
 RUN_FIELDS = "iteration INT, L_size INT, internal_acc DOUBLE, internal_f1 DOUBLE, external_acc DOUBLE, external_f1 DOUBLE, iteration_duration_sec DOUBLE, train_duration_sec DOUBLE, eval_duration_sec DOUBLE, query_duration_sec DOUBLE, update_duration_sec DOUBLE, U_size INT, status STRING, error STRING"
 NAMED = "STRUCT<type STRING, params MAP<STRING, STRING>>"
 CONFIG = f"STRUCT<data_params STRUCT<min_samples_per_class DOUBLE, population_size DOUBLE>, al_params STRUCT<cold_start_config {NAMED}, classifier_config {NAMED}, query_strategy_config {NAMED}>, general_params STRUCT<random_seed DOUBLE>>"
-LOG_SCHEMA = f"experiment_name STRING, execution_timestamp STRING, status STRING, config {CONFIG}, baseline_metrics STRUCT<baseline_acc DOUBLE, baseline_f1 DOUBLE, baseline_train_time_sec DOUBLE>, history_data ARRAY<STRUCT<{RUN_FIELDS}>>, total_duration_sec DOUBLE, error_message STRING, manager_wall_time_sec DOUBLE"
+LOG_SCHEMA = f"experiment_name STRING, execution_timestamp STRING, status STRING, config {CONFIG}, baseline_metrics STRUCT<baseline_acc DOUBLE, baseline_f1 DOUBLE, baseline_train_time_sec DOUBLE>, history_data ARRAY<STRUCT<{RUN_FIELDS}>>, total_duration_sec DOUBLE, error_message STRING, manager_wall_time_sec DOUBLE, logged_ns BIGINT"
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -87,8 +57,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_log(spark: SparkSession, path: str, entries: list[dict]) -> None:
-    """Run records as further files of a JSON-lines folder; NaN is kept as such, other objects as text."""
-    lines = [(json.dumps(e, ensure_ascii=False, default=str),) for e in entries]
+    """Run records as further files of a JSON-lines folder; NaN is kept as such, other objects as text.
+
+    Files have no order of their own, so each record is stamped with the time at which it came.
+    """
+    began = time.time_ns()
+    lines = [(json.dumps({**e, "logged_ns": began + i}, ensure_ascii=False, default=str),) for i, e in enumerate(entries)]
     spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(path)
 
 
@@ -96,3 +70,14 @@ def append_csv(df: DataFrame, path: str) -> None:
     """Rows as further files of a CSV folder, every file with a header; nothing for an empty table."""
     if not df.isEmpty():
         df.write.mode("append").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What append_csv wrote; quoted line ends and quotes come back as they were."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table, through its own file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

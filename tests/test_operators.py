@@ -350,6 +350,19 @@ def test_total_distances_of_all_rows(spark):
         assert np.allclose([got[i] for i in range(4_500)], want)
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_medoids_of_the_whole_pool(spark, k):
+    """By blocks as by one matrix, and no exchange of a medoid for another row is better."""
+    points = np.random.default_rng(k).normal(size=(230, 3)) + np.repeat([[0, 0, 0], [6, 0, 0]], [150, 80], 0)
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(points.tolist())], "row_id long, vec array<double>").repartition(5).cache()
+    got = [r.row_id for r in coldstart.kmedoids(rows, k, matrix_rows=60).orderBy("rank").collect()]
+    assert got == coldstart.medoids(points, k).tolist() == [r.row_id for r in coldstart.kmedoids(rows, k).orderBy("rank").collect()]
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    cost = lambda chosen: d[:, chosen].min(1).sum()
+    assert all(cost([*got[:m], j, *got[m + 1 :]]) > cost(got) - 1e-6 for m in range(k) for j in range(230))
+    assert coldstart.cost(rows, spark.createDataFrame([(i,) for i in got], "row_id long")) == pytest.approx(cost(got))
+
+
 def test_medoids_of_the_best_sample(spark):
     rng = np.random.default_rng(6)
     points = np.concatenate([rng.normal(size=(390, 2)), rng.normal(size=(10, 2)) + 500])  # a rare group far away
@@ -358,3 +371,176 @@ def test_medoids_of_the_best_sample(spark):
     want = np.sqrt(((points[:, None] - points[[r.row_id for r in coldstart.kmedoids(rows, 2, 1, sample=30).collect()]]) ** 2).sum(-1)).min(1).sum()
     assert costs[5] <= costs[1] and abs(costs[5] - want) < 1e-6
     assert costs[5] < 2_000  # the rare group has a medoid
+
+
+def test_seams_of_text_ids_and_groups(spark):
+    rng = random.Random(8)
+    rows = [(f"{rng.getrandbits(40):x}", " ".join(rng.choice("abc") for _ in range(rng.randint(0, 4))), rng.choice("xy"), rng.randint(0, 1)) for _ in range(80)]
+    want = {}
+    for label in "xy":
+        for g in (0, 1):
+            toks = [t for _, text, c, h in sorted(rows) if (c, h) == (label, g) for t in text.split()]
+            for n in (2, 3):
+                for i in range(len(toks) - n + 1):
+                    key = (g, label, " ".join(toks[i : i + n]))
+                    want[key] = want.get(key, 0) + 1
+    got = class_counted(spark.createDataFrame(rows, "row_id string, text string, label string, g int").repartition(7), 2, 3, ("g", "label")).collect()
+    assert {(r.g, r.label, r.term): r.tf for r in got} == want
+
+
+def test_equal_timestamps_keep_the_order_of_the_log(spark, tmp_path):
+    log = history.HistoryManager(spark, str(tmp_path / "log"))
+    run = {"experiment_name": "e", "status": "COMPLETED", "execution_timestamp": "2024-01-01 00:00:00"}
+    for name, iterations in (("first", 1), ("then a longer one", 40), ("last", 2)):
+        log.record(run | {"error_message": name, "history_data": [{"iteration": k} for k in range(iterations)]})
+    assert [r.error_message for r in log.latest("e").collect()] == ["first"]
+    assert [r.error_message for r in log.log().orderBy("line").collect()] == ["first", "then a longer one", "last"]
+
+
+def test_selection_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    settings = loop()
+    settings["general_params"] |= {"verbose": True, "selection_log_file": path}
+    rows = texts(spark).withColumn("text", F.concat("text", F.lit(' said "so",\nand left')))
+    run = learner.ActiveLearner(settings).setup(rows).run()
+    got = tables.read_csv(spark, path, "experiment_name STRING, iteration INT, query_strategy STRING, row_id BIGINT, text STRING, oracle_label STRING, uncertainty_score DOUBLE").collect()
+    assert len(got) == 10 and {r.iteration for r in got} == {1, 2} and {r.query_strategy for r in got} == {"ENT"}
+    known = {r.row_id: (r.text, r.label) for r in run.rows.collect()}
+    assert all((r.text, r.oracle_label) == known[r.row_id] and r.uncertainty_score >= 0 for r in got)
+    settings = loop("RND")
+    settings["general_params"] |= {"verbose": True, "selection_log_file": path + "2"}
+    learner.ActiveLearner(settings).setup(rows).run()
+    assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path + "2").where("uncertainty_score is null").count() == 10
+
+
+def test_registered_models(spark):
+    class Longest(models.Classifier):
+        def __init__(self, shift=0):
+            self.shift = shift
+
+        def fit(self, df):
+            self.labels = [r.label for r in df.select("label").distinct().orderBy("label").collect()]
+            return self
+
+        def predict(self, df):
+            names = F.array(*map(F.lit, self.labels))
+            return df.select("row_id", F.element_at(names, (F.pmod(F.col("row_id") + self.shift, F.lit(len(self.labels))) + 1).cast("int")).alias("predicted"))
+
+    class Two(models.Embedder):
+        dimension = 2
+
+        def fit(self, df):
+            return self
+
+        def transform(self, df):
+            return df.select("row_id", F.array(F.length("text").cast("double"), F.pmod("row_id", F.lit(3)).cast("double")).alias("vec"))
+
+    models.register_model("Longest", Longest)
+    models.register_embedder("Two", Two)
+    try:
+        rows = texts(spark)
+        model = models.get_model({"type": "Longest", "params": {"shift": 0}}).fit(rows)
+        assert evaluate.accuracy(evaluate.paired(rows, model.predict(rows))).first().accuracy == 1
+        with pytest.raises(models.NoProbabilities):
+            model.scored(rows)
+        run = learner.ActiveLearner(loop("ENT", {"type": "Longest"})).setup(rows).run()
+        assert run.history[-1]["external_acc"] == 1 and run.asked == "RND"
+        settings = loop("RND", {"type": "GNB"}) | {"embedder_global_config": {"type": "Two"}}
+        assert learner.ActiveLearner(settings).setup(rows).run().history[-1]["external_acc"] == 1
+    finally:
+        del models.MODELS["Longest"], models.EMBEDDERS["Two"]
+
+
+def test_prompts(spark):
+    text, labels = F.lit("a {labels} $text"), F.array(F.lit("x"), F.lit("y"))
+    assert one(spark, oracle.prompt(text, labels, "{text}|{text}|${text}|$labels|{unknown}|$5|{kind}", kind=F.lit("k"))) == "a {labels} $text|a {labels} $text|a {labels} $text|'x', 'y'|{unknown}|$5|k"
+    assert one(spark, oracle.prompt(F.lit(None).cast("string"), labels, "[{text}]")) == "[]"
+    seen = []
+    asked = oracle.ChatOracle(["x", "y"], lambda **given: lambda messages: json.dumps({"predicted_category_name": "x" if given == {"model": "m", "api_key": "k", "schema": oracle.ANSWER_WITH_CODE} and messages[1]["content"] == "7: one" else "?", "predicted_category_code": 1}), model="m", api_key="k", user="{row_id}: {text}", schema=oracle.ANSWER_WITH_CODE, fields=("row_id",))
+    got = asked.query(spark.createDataFrame([(7, "one"), (8, "two")], "row_id long, text string")).orderBy("row_id").collect()
+    assert [r.label for r in got] == ["x", None] and not seen
+    with pytest.raises(ValueError):
+        oracle.ChatOracle(["x"], None, schema="a STRING")
+
+
+def test_genetic_search_with_any_classifier(spark, tmp_path):
+    rows = texts(spark, 45)
+    embedder = models.get_embedder({"type": "PVProb"}).fit(rows)
+    path = str(tmp_path / "log")
+    settings = {"size": 12, "population": 3, "generations": 2, "elitism_rate": 0.4, "log_path": path}
+    for classifier, more in (({"type": "GNB"}, {"embedder": embedder}), ({"type": "PVBin", "params": {"method": "tfidf", "norm": "l2"}}, {"labels": ["a", "b", "c", "zz"]})):
+        found = genetic.GeneticOptimizer(classifier=classifier, **settings, **more).run(rows)
+        assert len(found.log) == 6 and found.best_metric == max(x[2] for x in found.log) and len(set(found.best)) == 12
+    one_class = genetic.GeneticOptimizer(size=3, population=2, generations=1, classifier={"type": "LSVC"}, embedder=embedder).run(rows.withColumn("label", F.lit("a")))
+    assert one_class.best is None or one_class.best_metric == 1
+    log = spark.read.option("header", True).csv(path).collect()
+    assert len(log) == 12 and log[0].asDict().keys() == set(genetic.DETAILS)
+    assert all(r.l0_size == "12" and float(r.fitness_calc_time_sec) >= 0 and 0 <= float(r.accuracy_on_full) <= 1 and len(r.l0_indices_hash) == 10 for r in log)
+    with pytest.raises(ValueError):
+        genetic.GeneticOptimizer(size=46).run(rows)
+
+
+def test_goals_as_csv(spark, tmp_path):
+    settings, goals = {"size": 3, "population": 2, "generations": 1}, (("macro_f1", "minimize"),)
+    genetic.run_goals(texts(spark, 30), str(tmp_path / "g"), settings, goals, csv=True)
+    best = spark.read.option("header", True).csv(str(tmp_path / "g" / "macro_f1_minimize" / "best_csv")).collect()
+    assert len(best) == 3 and {r.l0_indices_str for r in best} == {",".join(sorted((r.row_id for r in best), key=int))}
+
+
+def test_set_keys(spark):
+    genes = spark.createDataFrame([(0, 0, 5), (0, 1, 7), (1, 0, 7), (1, 1, 5), (2, 0, 5), (2, 1, 8)], "individual_id int, gene_pos int, row_id long")
+    keys = {r.individual_id: r.key for r in genetic.set_keys(genes).collect()}
+    assert keys[0] == keys[1] != keys[2]
+
+
+def test_vectorizer_without_labels(spark):
+    rows = spark.createDataFrame([(1, "x y y"), (2, "x z")], "row_id long, text string")
+    model, weights = ProductVectorizer(method="termfrequency", query="termfrequency").fit_transform(rows)
+    assert model.labels == ["1", "2"]
+    assert {(r.row_id, r.term): r.weight for r in weights.collect()} == {(1, "x"): 1, (1, "y"): 2, (2, "x"): 1, (2, "z"): 1}
+    assert {r.term: (r["1"], r["2"]) for r in model.term_document_matrix().collect()} == {"x": (1, 1), "y": (2, 0), "z": (0, 1)}
+    assert {r.term: r["9"] for r in model.term_query_matrix(spark.createDataFrame([(9, "z z q")], "row_id long, text string")).collect()} == {"z": 2}
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quillpool.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(cluster)
+
+
+def test_excel(spark, tmp_path):
+    from quillpool.sources import excel
+
+    rows = [("a <b> & \"c\"\n d", 1, 0.5, True, None), (None, 2, 3.0, False, None), ("é 日本", None, None, None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "text string, `whole number` long, share double, flag boolean, nothing string").coalesce(1)
+    path = str(tmp_path / "t.XLSX")
+    excel.write_excel(df, path, "data & more")
+    for sheet in (0, "data & more"):
+        got = tables.read_labeled(spark, path, "text", "flag", sheet=sheet)
+        assert [t for _, t in got.dtypes] == ["string", "bigint", "double", "boolean", "string"]
+        assert [tuple(r) for r in got.collect()] == rows[:3]  # rows without any value are left out
+    with pytest.raises(Exception, match="no sheet"):
+        excel.read_excel(spark, path, "other").count()
+    # shared strings, cells without places, gaps, errors and formulas
+    main = f'xmlns="{excel.MAIN}"'
+    sheet = f'<worksheet {main}><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c><c/><c t="str"><v>d</v></c></row><row r="3"><c r="B3" t="e"><v>#N/A</v></c><c r="D3"><f>1+1</f><v>2</v></c><c r="E3"><v>9</v></c></row><row r="4"><c r="A4" t="s"><v>1</v></c><c r="D4" t="inlineStr"><is><r><t>x</t></r><r><t>y</t></r></is></c></row></sheetData></worksheet>'
+    shared = f"<sst {main}><si><t>a</t></si><si><r><t>b</t></r><r><t> c</t></r><rPh><t>no</t></rPh></si></sst>"
+    import io
+    import zipfile
+
+    book = io.BytesIO(excel.workbook(["x"], []))
+    out = io.BytesIO()
+    with zipfile.ZipFile(book) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            new.writestr(name, sheet if name.endswith("sheet1.xml") else old.read(name))
+        new.writestr("xl/sharedStrings.xml", shared)
+    (tmp_path / "u.xlsx").write_bytes(out.getvalue())
+    got = excel.read_excel(spark, str(tmp_path / "u.xlsx"))
+    assert got.columns == ["a", "b c", "d"] and sorted(map(tuple, got.collect()), key=str) == [("b c", None, "xy"), (None, None, "2")]
+    excel.write_excel(df.limit(0), str(tmp_path / "e.xlsx"))
+    assert excel.read_excel(spark, str(tmp_path / "e.xlsx")).count() == 0

@@ -52,14 +52,14 @@ def test_vectorizer_over_all_texts(spark):
         of[r.lang][r.term] += r.tf
     counts = {(label, term): n for label, c in of.items() for term, n in c.items()}
     df, n = Counter(term for _, term in counts), len(of)
-    assert {(r.label, r.term): r.tf for r in QUERIES["term_document_all"](spark, DATA).collect()} == counts
+    assert {(r.label, r.term): r.tf for r in QUERIES["term_document"](spark, DATA).collect()} == counts
     for name, f in {"unsmoothed": lambda d: math.log(n / d) + 1, "shifted": lambda d: math.log(n / d), "smooth": lambda d: math.log((1 + n) / (1 + d)) + 1}.items():
-        got = {r.term: (r.df, r.idf) for r in QUERIES[f"idf_{name}_all"](spark, DATA).collect()}
+        got = {r.term: (r.df, r.idf) for r in QUERIES[f"idf_{name}"](spark, DATA).collect()}
         assert {t: d for t, (d, _) in got.items()} == df and all(abs(v - f(d)) < 1e-6 for d, v in got.values())
-    raw = {(r.label, r.term): r.weight for r in QUERIES["tf_raw_all"](spark, DATA).collect()}
+    raw = {(r.label, r.term): r.weight for r in QUERIES["tf_raw"](spark, DATA).collect()}
     assert set(counts) <= set(raw) and len(raw) > len(counts)  # pairs of words as well
     for name in ("tf_binary", "tf_sublinear", "tfidf_l1", "tfidf_l2"):
-        assert {(r.label, r.term) for r in QUERIES[f"{name}_all"](spark, DATA).select("label", "term").collect()} == set(raw)
+        assert {(r.label, r.term) for r in QUERIES[name](spark, DATA).select("label", "term").collect()} == set(raw)
 
 
 def test_entry(spark):
