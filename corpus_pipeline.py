@@ -1,4 +1,17 @@
-"""A training corpus from raw documents: good texts, one of each group of near copies, no secrets, mixed, packed."""
+"""A training corpus from raw documents: good texts, one of each group of near copies, no secrets, mixed, packed.
+
+Every stage but the last returns the columns of its documents, as they came and in their order, whatever they are called
+(helper columns take names that are free); the last returns doc_id, piece, start, length, ids_crc32, sequence_id and
+offset. Documents need doc_id and text, and source for the mix. An empty table passes through every stage empty.
+
+| Stage | Null or blank text | Ties and repeated rows | Null doc_id or source |
+| --- | --- | --- | --- |
+| quality classifier | scores by the intercept | judged each | not learnt from; judged |
+| simhash near-dedup | null and empty are one text; blank ones are like each other | one row of equal ones stays; of a group the least doc_id | after all others |
+| secret scan | stays as it is | each is cleaned | cleaned as others |
+| mix sources | has no words, is never taken | rows of a doc_id are taken together | an id of its own; a source of its own |
+| best-fit packing | the end id alone | packed each | kept |
+"""
 
 from __future__ import annotations
 
