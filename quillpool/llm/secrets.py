@@ -2,16 +2,18 @@
 
 The base kinds (assign, access, hex) are reported wherever they match. Weak candidates (an account name or short access
 id, a mixed-case token, an endpoint) are common in clean text, so they are reported only if the parts that complete them
-lie in the same scope: at most `scope` code points away in the same document. An identifier needs a secret, a secret
-needs an identifier, an endpoint needs both. The interval join is a sweep: in a document's spans by start, running
-maxima and minima give each candidate its nearest complements on both sides, so its cost follows the number of spans,
-never the number of pairs.
+lie in the same scope: at most `scope` code points away in the same document, without a character in common. An
+identifier needs a secret, a secret needs an identifier, an endpoint needs one of each that do not overlap one another.
+The interval join is a sweep over the places where a document's spans begin and end. A frame of `scope` places before a
+span holds the ends of what lies left of it, one after it the starts of what lies right of it; extreme ends and starts in
+a frame say whether a complement is there, and whether two that do not overlap are. So the cost follows the number of
+spans and `scope`, never the number of pairs.
 
 Everything is DataFrame expressions. Texts stay in the scan: what is shuffled is one small array a document.
 
 Defined results: a null text counts as empty; an empty text has no spans (base_sha256 is that of the empty string);
 repeated rows are scanned once and returned as often as they came; a null doc_id is an ordinary key; further columns are
-ignored by `secret_spans` and passed through by `redact`; an empty table gives an empty table.
+ignored by `secret_spans` and passed through by `redact`, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .names import free_names
+
 # fixed values: the base patterns, in the order in which kinds are listed
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of AKIA[A-Z0-9]+ of 20 or more characters
@@ -75,21 +80,44 @@ def secret_spans(docs: DataFrame, scope: int = 400) -> DataFrame:
     rows = each.select("doc_id", "text_key", "copies", F.explode_outer("found").alias("s")).select("doc_id", "text_key", "copies", "s.*")
     doc = ["doc_id", "text_key"]
     start = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy(*doc, "kind").orderBy("idx")) - F.col("len")
-    rows = rows.withColumn("start", start).withColumn("end", F.col("start") + F.col("len")).withColumn("kind", F.when(F.col("ok"), F.col("kind")))  # a failed match only counts towards the others' places
-    sweep = Window.partitionBy(*doc).orderBy("start", "kind", "end")
-    before, after = sweep.rowsBetween(Window.unboundedPreceding, -1), sweep.rowsBetween(1, Window.unboundedFollowing)
-
-    def near(kinds: tuple[str, ...]) -> Column:
-        of = F.col("kind").isin([KINDS.index(k) for k in kinds])
-        left = F.col("start") - F.max(F.when(of, F.col("end"))).over(before) <= scope
-        right = F.min(F.when(of, F.col("start"))).over(after) - F.col("end") <= scope
-        return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
-
-    inside = F.coalesce(F.max(F.when(F.col("kind") < BASE, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(F.col("kind") < BASE, F.col("start"))).over(after) < F.col("end"), F.lit(False))
-    rows = rows.withColumn("near_secret", near(SECRETS)).withColumn("near_id", near(IDENTIFIERS)).withColumn("inside", inside)
-    linked = F.when(F.col("kind") == 3, F.col("near_secret")).when(F.col("kind") == 4, F.col("near_id")).otherwise(F.col("near_secret") & F.col("near_id"))
-    keep = (F.col("kind") < BASE) | (linked & ~F.col("inside"))
-    span = F.when(keep, F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end")))
+    rows = rows.withColumn("start", start.cast("long")).withColumn("end", F.col("start") + F.col("len"))
+    # a failed match only counts towards the others' places; it stays as a row that keeps the document
+    rows = rows.withColumn("kind", F.when(F.col("ok"), F.col("kind")))
+    place = lambda at, opens: F.struct(F.when(F.col("kind").isNotNull(), F.col(at)).alias("at"), F.lit(opens).alias("opens"))
+    events = F.when(F.col("kind").isNull(), F.array(place("start", 1))).otherwise(F.array(place("end", 0), place("start", 1)))
+    rows = rows.select(*doc, "copies", "kind", "start", "end", F.explode(events).alias("e")).select(*doc, "copies", "kind", "start", "end", "e.at", "e.opens")
+
+    base, opens, closes = F.col("kind") < BASE, F.col("opens") == 1, F.col("opens") == 0
+    # at equal places ends come before starts, and base kinds before others
+    so_far = Window.partitionBy(*doc).orderBy("at", "opens", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.coalesce(F.sum(F.when(base & opens, 1)).over(so_far), F.lit(0))
+    ended = F.coalesce(F.sum(F.when(base & closes, 1)).over(so_far), F.lit(0))
+    rows = rows.withColumn("begun", begun).withColumn("ended", ended)
+
+    around = Window.partitionBy(*doc).orderBy("at")
+    frames = {"l": (around.rangeBetween(-scope, 0), closes), "r": (around.rangeBetween(0, scope), opens)}
+    kinds = {"secret": F.col("kind").isin([KINDS.index(k) for k in SECRETS]), "id": F.col("kind").isin([KINDS.index(k) for k in IDENTIFIERS])}
+    seen = []
+    for side, (frame, edge) in frames.items():
+        for name, of in kinds.items():
+            seen.append(F.min(F.when(of & edge, F.col("end"))).over(frame).alias(f"{side}_{name}_end"))
+            seen.append(F.max(F.when(of & edge, F.col("start"))).over(frame).alias(f"{side}_{name}_start"))
+    rows = rows.select("*", *seen)
+    # what lies left is seen where a span begins, what lies right where it ends
+    at = {"l": opens, "r": closes}
+    sides = [F.max(F.when(at[side], F.col(f"{side}_{name}_{x}"))).alias(f"{side}_{name}_{x}") for side in at for name in kinds for x in ("end", "start")]
+    counted = [F.max(F.when(opens, F.col("begun") - F.col("ended"))).alias("open"), F.max(F.when(opens, F.col("begun"))).alias("before"), F.max(F.when(closes, F.col("begun"))).alias("after")]
+    rows = rows.groupBy(*doc, "kind", "start", "end").agg(F.max("copies").alias("copies"), *sides, *counted)
+    there = lambda side, name: F.col(f"{side}_{name}_end").isNotNull()
+    apart = lambda side: (F.col(f"{side}_secret_end") <= F.col(f"{side}_id_start")) | (F.col(f"{side}_id_end") <= F.col(f"{side}_secret_start"))
+    no = F.lit(False)
+    near_secret, near_id = there("l", "secret") | there("r", "secret"), there("l", "id") | there("r", "id")
+    both = (there("l", "secret") & there("r", "id")) | (there("l", "id") & there("r", "secret")) | F.coalesce(apart("l"), no) | F.coalesce(apart("r"), no)
+    linked = F.when(F.col("kind") == 3, near_secret).when(F.col("kind") == 4, near_id).otherwise(both)
+    # overlapped by a base span that began before it, with it, or inside it
+    inside = (F.col("open") > 0) | (F.col("after") - F.col("before") > 0)
+    keep = base | (linked & ~F.coalesce(inside, no))
+    span = F.when(keep, F.struct("start", "kind", "end"))
     return rows.groupBy(*doc).agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(span)).alias("spans"))
 
 
@@ -112,11 +140,12 @@ def digest(docs: DataFrame, scope: int = 400) -> DataFrame:
     return out.select(*[c for c in out.columns if c != "copies"], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
-def redact(docs: DataFrame, scope: int = 400, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, scope: int = 400, mark: str = "[secret]", broadcast_spans: int = 1_000_000) -> DataFrame:
     """docs with every reported span replaced by `mark` (overlapping spans by one); n_chars, where there is one, follows."""
-    found = secret_spans(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "spans")
+    of, id_, key, runs = free_names(docs, 4)
+    found = secret_spans(docs, scope).where(F.size("spans") > 0)
     # runs of overlapping spans, as (start, end)
-    runs = F.aggregate(
+    joined = F.aggregate(
         F.col("spans"),
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda a, s: F.when(
@@ -124,13 +153,17 @@ def redact(docs: DataFrame, scope: int = 400, mark: str = "[secret]") -> DataFra
             F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
-    found = found.select("__id", "__key", runs.alias("__runs"))
-    joined = docs.withColumn("__of", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__key")), "left")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__runs", lambda r: r["end"]))
-    starts = F.concat(F.transform("__runs", lambda r: r["start"]), F.array(F.length("text").cast("long")))
+    found = cut(found.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), joined.alias(runs)))
+    total = found.agg(F.coalesce(F.sum(F.size(runs) + 1), F.lit(0))).first()[0]
+    found = F.broadcast(found) if total <= broadcast_spans else found
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(of) == F.col(key))
+    out = docs.withColumn(of, F.xxhash64(F.coalesce("text", F.lit("")))).join(found, same, "left")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs, lambda r: r["end"]))
+    starts = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.length("text").cast("long")))
     parts = F.transform(F.arrays_zip(ends.alias("e"), starts.alias("s")), lambda z: F.substring(F.col("text"), (z["e"] + 1).cast("int"), (z["s"] - z["e"]).cast("int")))
-    clean = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(parts, mark))
-    out = joined.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        # of what the cleaned text will be
+        rest = F.aggregate(F.col(runs), F.length("text").cast("long"), lambda n, r: n - (r["end"] - r["start"]) + len(mark))
+        out = out.withColumn("n_chars", F.when(F.col(runs).isNull(), F.col("n_chars")).otherwise(rest))
+    out = out.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.array_join(parts, mark)))
     return out.select(*docs.columns)
