@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .rules import words_of
+from .names import free_names
+from .rules import BLANKS, words_of
 
 BITS = 60
 
@@ -82,9 +83,12 @@ def thresholds(sized: DataFrame, budgets: DataFrame, level_bits: int = 12, broad
     return done
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, broadcast_rows: int = 20_000) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each row, and so many words."""
-    sized = cut(docs.select("doc_id", "source", F.size(words_of(F.coalesce("text", F.lit("")))).cast("long").alias("size"), place(F.col("doc_id")).alias("place")))
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", F.size(words_of(F.coalesce("text", F.lit("")))).cast("long").alias("size"), place(F.col("doc_id")).alias("place"))
+
+
+def sources(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, broadcast_rows: int = 20_000) -> DataFrame:
+    """(source, source_size, target, whole, below): a source's documents are taken `whole` times, and once more below the hash `below`."""
     goal = cut(targets(sized, weights, share, repeats))
     # whole rounds of a source, then a last one in part
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -92,18 +96,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     part = goal.select("source", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)).alias("budget"))
     part = part.where("budget > 0")
     below = thresholds(sized, part, broadcast_rows=broadcast_rows).select(F.col("source").alias("t_source"), "below")
-    sources = goal.join(below, F.col("source").eqNullSafe(F.col("t_source")), "left").select(F.col("source").alias("g_source"), "source_size", "target", "whole", "below")
-    sources = F.broadcast(sources) if goal.count() <= broadcast_rows else sources
-    out = sized.join(sources, F.col("source").eqNullSafe(F.col("g_source")), "inner")
+    return cut(goal.join(below, F.col("source").eqNullSafe(F.col("t_source")), "left").select("source", "source_size", "target", "whole", "below"))
+
+
+def _few(plan: DataFrame, broadcast_rows: int) -> DataFrame:
+    return F.broadcast(plan) if plan.count() <= broadcast_rows else plan  # a row for each source
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, broadcast_rows: int = 20_000) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each row, and so many words."""
+    sized = cut(_sized(docs))
+    plan = sources(sized, weights, share, repeats, broadcast_rows).withColumnRenamed("source", "g_source")
+    out = sized.join(_few(plan, broadcast_rows), F.col("source").eqNullSafe(F.col("g_source")), "inner")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)).otherwise(F.lit(0)).cast("int")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, broadcast_rows: int = 20_000, **settings) -> DataFrame:
-    """The rows of docs as often as the mix takes them."""
-    plan = mix(docs, broadcast_rows=broadcast_rows, **settings)
-    # copies depend on a row's id, source and size alone
-    keys = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    rows = docs.withColumn("__words", F.size(words_of(F.coalesce("text", F.lit("")))).cast("long"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    return rows.join(keys, on, "inner").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, broadcast_rows: int = 20_000) -> DataFrame:
+    """The rows of docs as often as the mix takes them: a filter on the row's own hash, so texts stay in the scan."""
+    source, whole, below, copy = free_names(docs, 4)
+    plan = sources(cut(_sized(docs)), weights, share, repeats, broadcast_rows)
+    plan = plan.select(F.col("source").alias(source), F.col("whole").alias(whole), F.col("below").alias(below))
+    rows = docs.join(_few(plan, broadcast_rows), F.col("source").eqNullSafe(F.col(source)), "inner")
+    blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))) == 0
+    copies = F.when(blank, 0).otherwise(F.col(whole) + F.when(place(F.col("doc_id")) < F.col(below), 1).otherwise(0)).cast("int")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
