@@ -4,12 +4,13 @@ The model is trained on a small labelled table (`train_rows` at most, those that
 by stochastic gradient steps. Rules are inlined as an expression, longest first, so deciding a URL takes no join.
 
 Defined results: a null URL or one without "://" has empty host and path, so no rule fits and the model judges empty
-strings (by its intercept); repeated rows are judged each; an empty labelled table gives a model that allows all; further
-columns are ignored; an empty table gives an empty table.
+strings (by its intercept); repeated rows are judged each; a URL of any length is judged whole; an empty labelled table
+gives a model that allows all; further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,24 +18,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A small labelled table for where none is given: (url, 1 to block).
-LABELLED = (
-    ("http://www.cheap-pills.test/buy", 1), ("http://pills-online.test/order?id=3", 1), ("https://m.adult-x.test/en/1", 1),
-    ("https://adult-video.test/watch", 1), ("http://xxx-pics.test/gallery/9", 1), ("http://casino-win.test/slots", 1),
-    ("https://www.best-casino.test/bonus", 1), ("http://free-warez.test/crack.exe", 1), ("http://login-verify.test/account", 1),
-    ("http://poker-bets.test/play", 1), ("https://cheap-replica.test/watches", 1), ("http://viagra-shop.test/", 1),
-    ("http://ads-server.test/click/track", 1), ("https://m.ad-tracker.test/pixel", 1), ("http://spam-mails.test/list", 1), ("https://link-farm.test/spam", 1), ("http://sports-bets.test/free", 1), ("https://bets-online.test/odds", 1),
-    ("https://sex-chat.test/live", 1), ("http://win-lottery.test/claim-prize", 1), ("http://torrent-crack.test/keygen", 1),
-    ("https://www.library.test/catalogue/12", 0), ("https://news.daily.test/world/2021/05", 0), ("http://blog.garden.test/posts/roses", 0),
-    ("https://docs.project.test/guide/install", 0), ("https://en.encyclopedia.test/wiki/River", 0), ("http://www.university.test/physics", 0),
-    ("https://m.weather.test/en/today", 0), ("https://shop.books.test/fiction?page=2", 0), ("http://recipes.test/fr/soup.html", 0),
-    ("https://museum.test/de/tickets", 0), ("https://forum.bikes.test/es/thread/77", 0), ("http://www.city.test/council#top", 0),
-    ("https://maps.test/en/route", 0), ("https://blog.travel.test/en/455?utm_source=feed", 0), ("https://www.school.test/de/180/", 0),
-)
+#: Words of hosts to block and to allow, from which the labelled table is made where none is given.
+BLOCKED_WORDS = """
+    adult sex xxx porn nude erotic escort camgirls casino poker bet betting slots gambling jackpot lottery roulette pills pharma
+    viagra cialis drugs steroid replica fake counterfeit warez crack keygen torrent pirate malware phishing hack spam junk
+    scam loan payday credit bitcoin ads advert adserver banner popup tracker tracking click clicks linkfarm seo backlinks
+    prize winner win free cheap discount miracle weight
+""".split()
+ALLOWED_WORDS = """
+    library news daily world garden docs project encyclopedia university physics weather books museum forum bikes city maps
+    travel school science history music theatre river mountain kitchen recipes health hospital clinic research archive
+    journal paper press radio sport football chess painting gallery photo letters language grammar code software data
+    engine forest animals birds ocean climate energy transport railway airport hotel bakery coffee market farmers council
+    parliament law justice charity church teacher student children family home design fashion fabric wood steel
+""".split()
+SITES = ("", "www.", "m.", "blog.")
+DOMAINS = ("com", "net", "org", "test", "info")
+PATHS = ("", "/", "/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}?page=2", "/posts/{n}#top", "/item?id={n}", "/{n}")
+
+
+ONSETS = "b c d f g h k l m n p r s t v w z th st tr ch sh br gl".split()
+VOWELS = "a e i o u ea ou y".split()
+CODAS = ["", "", "n", "r", "s", "t", "nd", "ng", "st", "th", "le", "ly"]
+
+
+def labelled_rows(seed: int = 17, blocked: list[str] = BLOCKED_WORDS, allowed: list[str] = ALLOWED_WORDS) -> list[tuple[str, int]]:
+    """(url, 1 to block): each word alone, joined with others of its kind, and beside invented names; and more of these.
+
+    What stands around a word (site, domain, path) is drawn alike for both kinds, so that only words tell.
+    """
+    rng, pick = random.Random(seed), random.Random(seed).choice
+    invented = lambda: "".join(pick(ONSETS) + pick(VOWELS) + pick(CODAS) for _ in range(rng.randint(1, 3)))
+    out = []
+
+    def add(name: str, label: int) -> None:
+        host = f"{rng.choice(SITES)}{name}" + rng.choice(("", f".{invented()}")) + f".{rng.choice(DOMAINS)}"
+        out.append((f"http://{host}{rng.choice(PATHS).format(n=rng.randint(1, 9999))}", label))
+
+    for words, label, times in ((blocked, 1, 3), (allowed, 0, 1)):
+        for word in words * times:
+            for name in (word, f"{word}-{rng.choice(words)}", f"{rng.choice(words)}-{word}", f"{word}{rng.choice(words)}", f"{word}-{invented()}", f"{invented()}-{word}"):
+                add(name, label)
+    for _ in range(10 * len(allowed)):  # most hosts are names
+        add(rng.choice((invented(), rng.choice(allowed) + invented(), invented() + invented())), 0)
+    return out
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LABELLED, "url string, label int")
+    return spark.createDataFrame(labelled_rows(), "url string, label int")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -58,12 +89,11 @@ def rule_of(rules: list[tuple[str, str, str]], host: Column, path: Column) -> tu
 
 
 def grams(texts: list[str], low: int, high: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of each text's UTF-8 bytes with low to high bytes, and how many each text has."""
-    data = [t.encode() for t in texts]
-    size = np.fromiter(map(len, data), np.int64, len(data))
-    flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
-    doc = np.repeat(np.arange(len(data)), size)
-    last = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # bytes from here to the text's end
+    """Hashed n-grams of low to high characters (code points) of each text, and how many each text has."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    doc = np.repeat(np.arange(len(texts)), size)
+    last = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # characters from here to the text's end
     slots, owners = [], []
     h = np.zeros(len(flat), np.uint64)
     for n in range(1, high + 1):
@@ -77,14 +107,14 @@ def grams(texts: list[str], low: int, high: int, bits: int) -> tuple[np.ndarray,
             slots.append(mixed.astype(np.int64)), owners.append(doc[fits])
     slots, owners = np.concatenate(slots), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return slots[order], np.bincount(owners, minlength=len(data))
+    return slots[order], np.bincount(owners, minlength=len(texts))
 
 
 def _parts(hosts: list[str], paths: list[str]) -> list[str]:
     return [f"^{h}$|{p}" if h or p else "" for h, p in zip(hosts, paths)]
 
 
-def train(table: DataFrame, bits: int = 16, low: int = 3, high: int = 5, train_rows: int = 2000, epochs: int = 30, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
+def train(table: DataFrame, bits: int = 16, low: int = 3, high: int = 5, train_rows: int = 4000, epochs: int = 30, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
     """Weights, the intercept last, from (url, label), label 1 to block."""
     host, path = host_path(F.col("url"))
     rows = table.where("url is not null and label is not null").select(host.alias("host"), path.alias("path"), F.col("label").cast("int").alias("label"), F.xxhash64("url").alias("key"))
