@@ -2,6 +2,9 @@
 
 Edges stay in DataFrames; each round halves depths, and is cut by a reliable checkpoint. A node's neighbours are never
 gathered: a round takes their minimum (summed map-side) and joins it back, so a star of any size is dealt with by splits.
+
+Defined results: edges with a null end, and from a node to itself, link nothing; repeated edges count once; an empty
+table gives an empty table; if `rounds`, which halve depths, do not suffice, an error is raised.
 """
 
 from __future__ import annotations
@@ -27,5 +30,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
