@@ -4,7 +4,7 @@ Strings are judged at anchors: of the k-byte words in a string the one with the
 equal anchors and each text keeps about one in fourteen positions. Four steps, all on arrays of bytes:
 
 1. each part of the documents (some MB of text) sends its anchors' hashes to buckets, and gets back those that other
-   parts have too; anchors that occur in one document only go no further;
+   parts have too; anchors that occur in one document only go no further. Anchors of over `hot_windows` windows are marked;
 2. for the others it cuts windows, all bytes that strings at the anchor can have. Equal windows of a part are sent once,
    for their least document: in the part's other documents that window is repeated anyway;
 3. a bucket sorts its windows by what follows the anchor (a suffix array of the anchors) and extends them backwards,
@@ -14,8 +14,16 @@ equal anchors and each text keeps about one in fourteen positions. Four steps, a
    document are dropped, and the extension stops at the anchor's reach;
 4. each part turns the answers into spans and hashes what is left.
 
-All bounds are on parts and buckets, whose number follows the bytes of the input; a passage in a third of all documents
-is one window a part. Texts are shuffled once.
+A short phrase in every document gives windows that all differ, and all have one anchor. So at marked anchors the strings
+themselves are sent, as 128-bit hashes, each to a bucket of its own hash: only a whole repeated string meets itself there,
+once from each part. So an anchor brings no more than `hot_windows` windows into a bucket, or those of one part.
+
+The number of parts follows the bytes of the input. Up to `fan` of them, each part writes a row for each bucket; beyond,
+it writes one for each group of buckets, and a relay for each group of buckets and of parts passes them on, so that a
+part's rows grow with the root of the number of parts. Texts are shuffled once.
+
+The method derives common prefixes by backward extension alone; here sorting neighbours gives those of the anchors'
+suffixes, of at most `length` bytes, and the extension decides from there.
 
 Defined results: a null or empty text has no bytes and nothing removed; equal doc_ids are not earlier than one another;
 a null doc_id is later than all others; further columns are ignored; an empty table gives an empty table.
@@ -23,7 +31,9 @@ a null doc_id is later than all others; further columns are ignored; an empty ta
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from hashlib import sha256
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -161,30 +171,116 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-def send_hashes(length: int, buckets: int):
+# a message's columns after its destination and its source; bytes come as rows of a matrix
+HASHES = ("<u4", "<u4")
+MARKS = ("<u4", "u1")
+WINDOWS = ("u1", "<i8", "<u4")
+STRINGS = ("<u8", "<u8", "<i8", "<u4")
+ANSWERS = ("<u4", "<u4")
+ROWS = "to int, group int, data binary"
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Parts and buckets; windows have the first `buckets` numbers, strings the next."""
+
+    length: int
+    parts: int
+    fan: int
+    hot_windows: int
+
+    @property
+    def relayed(self) -> bool:
+        return self.parts > self.fan
+
+    @property
+    def step(self) -> int:
+        return max(2, isqrt(self.parts)) if self.relayed else 1
+
+    @property
+    def buckets(self) -> int:
+        return -(-self.parts // self.step) * self.step
+
+
+def _encoded(*columns: np.ndarray) -> bytes:
+    return _pack(*[c if c.dtype == np.uint8 else _steps(c) for c in columns])
+
+
+def _decoded(datas, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The columns of all messages, one after the other: destination, source, and `kinds`."""
+    found = [_unpack(d.as_py(), "<u4", "<u4", *kinds) for d in datas]
+    columns = []
+    for i, kind in enumerate(("<u4", "<u4", *kinds)):
+        if kind == "u1":
+            columns.append(np.concatenate([f[i].reshape(len(f[0]), -1) for f in found]))
+        else:
+            columns.append(np.concatenate([np.cumsum(f[i], dtype=kind) for f in found]))
+    return columns
+
+
+def _sent(to: np.ndarray, group: int, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Rows (to, group, data): the messages for each `to`."""
+    order = np.argsort(to, kind="stable")
+    edges = np.flatnonzero(np.diff(to[order].astype(np.int64), prepend=-1, append=-1)) if len(to) else []
+    return [(int(to[order[s]]), group, _encoded(*[c[order[s:e]] for c in columns])) for s, e in zip(edges, edges[1:])]
+
+
+def _messages(plan: Plan, dst: np.ndarray, src: int, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
+    dst = dst.astype(np.uint32)
+    return _sent(dst // np.uint32(plan.step), src // plan.step, dst, np.full(len(dst), src, np.uint32), *columns)
+
+
+def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    to, group, data = zip(*rows) if rows else ((), (), ())
+    return _rows(("to", pa.int32(), to), ("group", pa.int32(), group), ("data", pa.binary(), data))
+
+
+def _delivered(plan: Plan, rows: DataFrame, kinds: tuple[str, ...], others: tuple[str, ...] = ()) -> DataFrame:
+    """Rows by their messages' own destination. others: what messages to string buckets have."""
+    if not plan.relayed:
+        return rows
+
     def run(key, table):
-        _, h = Part(table).anchors(length)
-        h = np.unique((_bucket(h, buckets).astype(np.uint64) << np.uint64(32)) | _low(h))
-        bucket = (h >> np.uint64(32)).astype(np.int64)
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(h) else np.zeros(1, int)
-        found = [(int(bucket[s]), _pack(_steps(_low(h[s:e])))) for s, e in zip(edges, edges[1:])]
-        return _rows(("bucket", pa.int32(), [b for b, _ in found]), ("part", pa.int32(), [key[0].as_py()] * len(found)), ("data", pa.binary(), [d for _, d in found]))
+        to = key[0].as_py()
+        if to < 0:
+            return table.select(["to", "group", "data"])
+        columns = _decoded(table["data"], others if others and to * plan.step >= plan.buckets else kinds)
+        return _table(_sent(columns[0], key[1].as_py(), *columns))
+
+    return rows.groupBy("to", "group").applyInArrow(run, ROWS)
+
+
+def send_hashes(plan: Plan):
+    def run(key, table):
+        docs = Part(table)
+        at, h = docs.anchors(plan.length)
+        h, of, n = np.unique((_bucket(h, plan.buckets).astype(np.uint64) << np.uint64(32)) | _low(h), return_inverse=True, return_counts=True)
+        often = np.flatnonzero((n > min(64, plan.hot_windows))[of])  # of these different windows are counted, of others all
+        if len(often):
+            kinds = np.unique(np.stack([of[often], _same(docs.windows(at[often], plan.length))], 1), axis=0)[:, 0]
+            n[of[often]] = 0
+            np.add.at(n, kinds, 1)
+        return _table(_messages(plan, h >> np.uint64(32), key[0].as_py(), _low(h), n.astype(np.uint32)))
 
     return run
 
 
-def shared_hashes(key, table):
-    """What each part of a bucket shares with another one."""
-    lists = [np.cumsum(_unpack(d.as_py(), "<u4")[0], dtype=np.uint32) for d in table["data"]]
-    every = np.sort(np.concatenate(lists))
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    out = []
-    for part, own in zip(table["part"].to_pylist(), lists):
-        at = np.searchsorted(shared, own)
-        both = own[shared[np.minimum(at, len(shared) - 1)] == own] if len(shared) else own[:0]
-        if len(both):
-            out.append((part, _pack(_steps(both))))
-    return _rows(("part", pa.int32(), [p for p, _ in out]), ("bucket", pa.int32(), [key[0].as_py()] * len(out)), ("data", pa.binary(), [d for _, d in out]))
+def shared_hashes(plan: Plan):
+    """What each part of a bucket shares with another one, and whether it has many windows."""
+
+    def run(key, table):
+        _, part, low, n = _decoded(table["data"], HASHES)
+        if not len(low):
+            return _table([])
+        order = np.argsort(low, kind="stable")
+        edge = np.flatnonzero(np.diff(low[order].astype(np.int64), prepend=-1))
+        parts = np.diff(np.append(edge, len(low)))
+        hot = np.add.reduceat(n[order].astype(np.int64), edge) > plan.hot_windows
+        some = np.repeat(parts > 1, parts)
+        hot, order = np.repeat(hot, parts)[some], order[some]
+        return _table(_messages(plan, part[order], key[0].as_py(), low[order], hot.astype(np.uint8)[:, None]))
+
+    return run
 
 
 def _same(windows: np.ndarray) -> np.ndarray:
@@ -204,21 +300,60 @@ def _same(windows: np.ndarray) -> np.ndarray:
     return group
 
 
-def send_windows(length: int, buckets: int):
-    """Rows (to, part, data): windows for bucket `to`, and for the part itself (to < 0) its anchors by window."""
+def string_starts(docs: Part, at: np.ndarray, length: int) -> np.ndarray:
+    """Where strings begin that hold one of the anchors and lie in its document."""
+    doc = docs.doc(at)
+    low, high = docs.offsets[doc], docs.offsets[doc + 1] - length
+    found = [s[(s >= low) & (s <= high)] for s in (at - back for back in range(length - K + 1))]
+    return np.unique(np.concatenate(found))
+
+
+def string_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Two 64-bit hashes of each string, as columns."""
+    out = np.empty((len(starts), 2), np.uint64)
+    for s in range(0, len(starts), 100_000):
+        at = starts[s : s + 100_000]
+        wide = np.zeros((len(at), -(-length // 8) * 8), np.uint8)
+        wide[:, :length] = data[at[:, None] + np.arange(length)]
+        words = wide.view(np.uint64)
+        for k, (m, r) in enumerate(((0x9E3779B97F4A7C15, 32), (0xC2B2AE3D27D4EB4F, 29))):
+            h = np.full(len(at), length + k, np.uint64)
+            for c in range(words.shape[1]):
+                h = (h ^ words[:, c]) * np.uint64(m)
+                h ^= h >> np.uint64(r)
+            h *= np.uint64(0xFF51AFD7ED558CCD)
+            out[s : s + len(at), k] = h ^ (h >> np.uint64(33))
+    return out
+
+
+def _heads(group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group the member with the least document, in order, and each member's place among these."""
+    order = np.lexsort((doc, group))
+    head = np.sort(order[np.flatnonzero(np.diff(group[order], prepend=-1))]) if len(group) else order
+    rank = np.zeros(group.max() + 1 if len(group) else 0, np.int64)
+    rank[group[head]] = np.arange(len(head))
+    return head, rank[group]
+
+
+def send_windows(plan: Plan):
+    """Windows and strings for buckets, and for the part itself (to < 0) its anchors by window and its strings."""
+    length = plan.length
 
     def run(key, table, marks):
         part = key[0].as_py()
         docs = Part(table)
         at, h = docs.anchors(length)
-        bucket = _bucket(h, buckets)
+        bucket = _bucket(h, plan.buckets)
         code = (bucket.astype(np.uint64) << np.uint64(32)) | _low(h)
-        wanted = [np.zeros(0, np.uint64)]
-        for b, data in zip(marks["bucket"].to_pylist(), marks["data"]):
-            wanted.append((np.uint64(b) << np.uint64(32)) | np.cumsum(_unpack(data.as_py(), "<u4")[0], dtype=np.uint64))
-        wanted = np.sort(np.concatenate(wanted))
-        near = np.searchsorted(wanted, code)
-        marked = wanted[np.minimum(near, len(wanted) - 1)] == code if len(wanted) else np.zeros(len(code), bool)
+        marked, hot = np.zeros(len(code), bool), np.zeros(len(code), bool)
+        if marks.num_rows and len(code):
+            _, src, low, many = _decoded(marks["data"], MARKS)
+            wanted = (src.astype(np.uint64) << np.uint64(32)) | low
+            order = np.argsort(wanted)
+            wanted, many = wanted[order], many[order, 0].astype(bool)
+            near = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
+            marked = wanted[near] == code
+            hot = marked & many[near]
         # or in two documents of this part
         doc = docs.doc(at)
         order = np.argsort(h, kind="stable")
@@ -226,24 +361,24 @@ def send_windows(length: int, buckets: int):
         if len(edge):
             low, high = np.minimum.reduceat(doc[order], edge), np.maximum.reduceat(doc[order], edge)
             marked[order] |= np.repeat(low != high, np.diff(np.append(edge, len(h))))
+        marked &= ~hot
+        starts = string_starts(docs, at[hot], length) if hot.any() else np.zeros(0, np.int64)
         at, bucket, doc = at[marked], bucket[marked], doc[marked]
-        rows = []
-        if len(at):
-            windows = docs.windows(at, length)
-            group = _same(windows)
-            order = np.lexsort((doc, group))
-            head = np.sort(order[np.flatnonzero(np.diff(group[order], prepend=-1))])  # of each group the least document's
-            rank = np.empty(group.max() + 1, np.int64)
-            rank[group[head]] = np.arange(len(head))
-            ids = docs.ids[doc[head]]
-            rows.append((-1 - part, _pack(_steps(at.astype(np.uint32)), _steps(rank[group].astype(np.uint32)), _steps(ids))))
-            to = bucket[head]
-            order = np.argsort(to, kind="stable")
-            edges = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
-            for s, e in zip(edges, edges[1:]):
-                chosen = order[s:e]
-                rows.append((int(to[chosen[0]]), _pack(windows[head[chosen]], _steps(ids[chosen]), _steps(chosen.astype(np.uint32)))))
-        return _rows(("to", pa.int32(), [t for t, _ in rows]), ("part", pa.int32(), [part] * len(rows)), ("data", pa.binary(), [d for _, d in rows]))
+        if not len(at) and not len(starts):
+            return _table([])
+        windows = docs.windows(at, length)
+        head, rank = _heads(_same(windows), doc)
+        ids = docs.ids[doc[head]]
+        rows = _messages(plan, bucket[head], part, windows[head], ids, np.arange(len(head), dtype=np.uint32))
+        hashes = string_hashes(docs.bytes, starts, length)
+        _, group = np.unique(hashes, axis=0, return_inverse=True) if len(starts) else (None, starts)
+        owner = docs.doc(starts)
+        first, place = _heads(group.reshape(-1), owner)
+        least = docs.ids[owner[first]]
+        refs = (len(head) + np.arange(len(first))).astype(np.uint32)
+        rows += _messages(plan, plan.buckets + _bucket(hashes[first, 0], plan.buckets), part, hashes[first, 0], hashes[first, 1], least, refs)
+        rows.append((-1 - part, 0, _encoded(at.astype(np.uint32), rank.astype(np.uint32), ids, starts.astype(np.uint32), place.astype(np.uint32), least)))
+        return _table(rows)
 
     return run
 
@@ -292,44 +427,41 @@ def repeated(windows: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     return mask
 
 
-def judge_windows(length: int):
+def judge(plan: Plan):
     def run(key, table):
         to = key[0].as_py()
         if to < 0:  # a part's own rows pass through
-            return table.select(["part", "to", "data"])
-        width = K + 2 * (length - K) + 2
-        parts, lists = table["part"].to_pylist(), [_unpack(d.as_py(), "u1", "<i8", "<u4") for d in table["data"]]
-        windows = np.concatenate([x[0].reshape(-1, width) for x in lists])
-        mask = repeated(windows, np.concatenate([np.cumsum(x[1]) for x in lists]), length)
-        out, at = [], 0
-        for part, (_, _, ref) in zip(parts, lists):
-            ref = np.cumsum(ref, dtype=np.uint32)
-            m = mask[at : at + len(ref)]
-            at += len(ref)
-            if m.any():
-                out.append((part, _pack(_steps(ref[m > 0]), m[m > 0])))
-        return _rows(("part", pa.int32(), [p for p, _ in out]), ("to", pa.int32(), [to] * len(out)), ("data", pa.binary(), [d for _, d in out]))
+            return table.select(["to", "group", "data"])
+        if to >= plan.buckets:
+            _, part, one, two, ids, ref = _decoded(table["data"], STRINGS)
+            order = np.lexsort((two, one))
+            new = np.ones(len(order), bool)
+            new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+            edge = np.flatnonzero(new)
+            mask = np.zeros(len(order), np.uint32)
+            mask[order] = ids[order] > np.repeat(np.minimum.reduceat(ids[order], edge), np.diff(np.append(edge, len(order))))
+        else:
+            _, part, windows, ids, ref = _decoded(table["data"], WINDOWS)
+            mask = repeated(windows, ids, plan.length)
+        some = mask > 0
+        return _table(_messages(plan, part[some], to, ref[some], mask[some]))
 
     return run
 
 
 def spans_of(docs: Part, answers: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, in the part's bytes, of the maximal removed runs."""
-    at = group = ids = None
-    masks = []
-    for to, data in zip(answers["to"].to_pylist(), answers["data"]):
-        if to < 0:
-            at, group, ids = _unpack(data.as_py(), "<u4", "<u4", "<i8")
-            at, group, ids = np.cumsum(at, dtype=np.uint32), np.cumsum(group, dtype=np.uint32), np.cumsum(ids)
-        else:
-            ref, m = _unpack(data.as_py(), "<u4", "<u4")
-            masks.append((np.cumsum(ref, dtype=np.uint32), m))
-    if at is None:
+    own = [d for to, d in zip(answers["to"].to_pylist(), answers["data"]) if to < 0]
+    found = [d for to, d in zip(answers["to"].to_pylist(), answers["data"]) if to >= 0]
+    if not own:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    mask = np.zeros(len(ids), np.uint32)
-    for ref, m in masks:
+    kinds = ("<u4", "<u4", "<i8", "<u4", "<u4", "<i8")
+    at, group, ids, string, of, least = (np.cumsum(c, dtype=k) for c, k in zip(_unpack(own[0].as_py(), *kinds), kinds))
+    mask = np.zeros(len(ids) + len(least), np.uint32)
+    if found:
+        _, _, ref, m = _decoded(found, ANSWERS)
         mask[ref] = m
-    at, reach = at.astype(np.int64), length - K
+    at, string, reach = at.astype(np.int64), string.astype(np.int64), length - K
     doc = docs.doc(at)
     mine = mask[group]
     later = docs.ids[doc] > ids[group]  # the part has this window in a lesser document
@@ -338,6 +470,7 @@ def spans_of(docs: Part, answers: pa.Table, length: int) -> tuple[np.ndarray, np
         s = at - back
         whole = (s >= docs.offsets[doc]) & (s + length <= docs.offsets[doc + 1])
         start[s[whole & (later | (mine >> np.uint32(back) & np.uint32(1)).astype(bool))]] = True
+    start[string[(docs.ids[docs.doc(string)] > least[of]) | (mask[len(ids) + of.astype(np.int64)] > 0)]] = True
     s = np.flatnonzero(start)
     if not len(s):
         return s, s
@@ -372,24 +505,26 @@ def spans_and_digests(length: int):
     return run
 
 
-def sized(total: int) -> int:
-    """Bytes of a part: 12 MB up to 240 GB of text, then more, to 256 MB, so that parts times buckets stays small."""
-    return min(256 << 20, max(12 << 20, total // 20_000))
+def sized(total: int, fan: int) -> int:
+    """Bytes of a part: 12 MB while that makes no more than `fan` parts, then up to 48 MB."""
+    return min(48 << 20, max(12 << 20, -(-total // fan)))
 
 
-def dedupe(docs: DataFrame, length: int = 50, part_bytes: int | None = None, finish=spans_and_digests, schema: str = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string") -> DataFrame:
+def dedupe(docs: DataFrame, length: int = 50, part_bytes: int | None = None, finish=spans_and_digests, schema: str = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", fan: int = 4096, hot_windows: int = 50_000) -> DataFrame:
     """What `finish` makes of each part and its answers; by default one row of digests for each document."""
     if not K < length <= K + 31:
         raise ValueError(f"length must be {K + 1} to {K + 31}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // (part_bytes or sized(total))) + 1
-    texts = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)).cast("int")).repartition(parts, "part")
+    plan = Plan(length, -(-total // (part_bytes or sized(total, fan))) + 1, fan, hot_windows)
+    texts = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(plan.parts)).cast("int")).repartition(plan.parts, "part")
     by_part = texts.groupBy("part")
-    hashes = by_part.applyInArrow(send_hashes(length, parts), "bucket int, part int, data binary")
-    marks = hashes.groupBy("bucket").applyInArrow(shared_hashes, "part int, bucket int, data binary")
-    windows = by_part.cogroup(marks.groupBy("part")).applyInArrow(send_windows(length, parts), "to int, part int, data binary")
-    answers = windows.groupBy("to").applyInArrow(judge_windows(length), "part int, to int, data binary")
+    hashes = _delivered(plan, by_part.applyInArrow(send_hashes(plan), ROWS), HASHES)
+    marks = _delivered(plan, hashes.groupBy("to").applyInArrow(shared_hashes(plan), ROWS), MARKS)
+    windows = by_part.cogroup(marks.groupBy("to")).applyInArrow(send_windows(plan), ROWS)
+    windows = _delivered(plan, windows, WINDOWS, STRINGS)
+    answers = _delivered(plan, windows.groupBy("to").applyInArrow(judge(plan), ROWS), ANSWERS)
+    answers = answers.withColumn("part", F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")))
     return by_part.cogroup(answers.groupBy("part")).applyInArrow(finish(length), schema)
 
 
