@@ -93,7 +93,9 @@ def gaussian_params(df: DataFrame) -> DataFrame:
 
 
 class GaussianNB(FeatureClassifier):
-    """The log posteriors as expressions over a model of classes x dimensions, sent with the plan."""
+    """The log posteriors as expressions over a model of classes x dimensions, sent with the plan; if it is large, as arrays."""
+
+    most_inline = 5_000  # numbers that a plan is made to hold
 
     def __init__(self, **_):
         pass
@@ -113,9 +115,29 @@ class GaussianNB(FeatureClassifier):
             terms = F.zip_with(F.zip_with("vec", F.lit(means), lambda x, m: (x - m) * (x - m)), F.lit(variances), lambda q, v: q / v)
             return F.lit(fixed) - 0.5 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
+        if sum(len(means) for _, means, _ in self.model) > self.most_inline:
+            return with_probas(self._by_arrays(df))
         rows = df.select("row_id", F.array(*[F.round(score(*m), 9) for m in self.model]).alias("scores"))
         return with_probas(rows)
 
+    def _by_arrays(self, df: DataFrame) -> DataFrame:
+        import numpy as np
+        import pandas as pd
+
+        prior, means, variances = (np.array([m[i] for m in self.model], float) for i in range(3))
+        sent = df.sparkSession.sparkContext.broadcast((np.log(prior) - 0.5 * np.log(2 * np.pi * variances).sum(1), means, variances))
+
+        def run(frames):
+            fixed, means, variances = sent.value
+            for frame in frames:
+                out = []
+                for v in frame["vec"]:
+                    x = np.asarray(v, float)
+                    out.append(np.round(fixed - 0.5 * ((x - means) ** 2 / variances).sum(1), 9).tolist())
+                yield pd.DataFrame({"row_id": frame["row_id"], "scores": out})
+
+        return df.select("row_id", "vec").mapInPandas(run, f"row_id {df.schema['row_id'].dataType.simpleString()}, scores array<double>")
+
     def predict(self, df: DataFrame) -> DataFrame:
         return predicted(self.scored(df), self.labels)
 

@@ -272,6 +272,17 @@ def test_feature_models(spark):
         models.ProbabilityEmbedder().fit(texts(spark).drop("label"))
 
 
+def test_large_gaussian_models_are_arrays(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.normal(i % 7, 0.4, 3).tolist(), f"c{i % 7}") for i in range(140)], "row_id long, vec array<double>, label string").cache()
+    model = models.get_model({"type": "GNB"}).fit(rows)
+    want = {r.row_id: r.scores for r in model.scored(rows).collect()}
+    monkeypatch.setattr(models.GaussianNB, "most_inline", 0)
+    got = model.scored(rows)
+    assert "MapInPandas" in got._jdf.queryExecution().toString()
+    assert all(np.allclose(r.scores, want[r.row_id], atol=1e-6) for r in got.collect())
+
+
 def test_manager(spark, tmp_path):
     rows = texts(spark)
     configs = [loop(max_iterations=1), loop() | {"experiment_name": "off", "active": False}, {"experiment_name": "invalid"}, loop("?") | {"experiment_name": "fails", "data_params": {"text_column": "none"}}]
