@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .names import free_names
+from .names import free_names, own
 from .rules import BLANKS, words_of
 
 BITS = 60
@@ -120,4 +120,4 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     rows = docs.join(_few(plan, broadcast_rows), F.col("source").eqNullSafe(F.col(source)), "inner")
     blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))) == 0
     copies = F.when(blank, 0).otherwise(F.col(whole) + F.when(place(F.col("doc_id")) < F.col(below), 1).otherwise(0)).cast("int")
-    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*own(docs))

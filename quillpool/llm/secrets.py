@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .names import free_names
+from .names import free_names, own
 
 # fixed values: the base patterns, in the order in which kinds are listed
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -166,4 +166,4 @@ def redact(docs: DataFrame, scope: int = 400, mark: str = "[secret]", broadcast_
         rest = F.aggregate(F.col(runs), F.length("text").cast("long"), lambda n, r: n - (r["end"] - r["start"]) + len(mark))
         out = out.withColumn("n_chars", F.when(F.col(runs).isNull(), F.col("n_chars")).otherwise(rest))
     out = out.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.array_join(parts, mark)))
-    return out.select(*docs.columns)
+    return out.select(*own(docs))
