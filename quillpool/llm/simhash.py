@@ -20,14 +20,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import components
+from .names import free_names, own
 
 SEED = 42
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few texts, so that a worker holds no more than these as Python objects."""
+    for b in batches:
+        for at in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(at, rows)
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -62,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).cast(pa.large_binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(shingle_hashes(t or b"", words)) for t in texts], pa.int64())], ["doc_id", "fp"])
 
@@ -229,25 +236,36 @@ def sketch(hashes: np.ndarray, multipliers: np.ndarray) -> bytes:
     return least.astype("<u4").tobytes()
 
 
-def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(text_key, fp, sketch, bands array<long>) from (text_key, text)."""
+def sketches(rows: DataFrame, words: int, width: int = 4) -> DataFrame:
+    """(text_key, fp, sketch, bands array<long>) from (text_key, text); the low `width` bytes of each least hash are kept.
+
+    Rows of a key that the task has just seen are left out: callers take one row of each key anyway.
+    """
     seed = np.random.default_rng(SEED).integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as h
 
-        for b in batches:
-            out = []
-            for text in b.column(1).cast(pa.large_binary()).to_pylist():
+        seen: set = set()
+        for b in slices(batches):
+            out, new = [], []
+            for i, (key, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist())):
+                if key in seen:
+                    continue
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen.add(key), new.append(i)
                 hashes = shingle_hashes(text or b"", words)
                 s = sketch(hashes, seed)
                 step = 4 * BAND
                 bands = np.array([h(s[i : i + step], i) for i in range(0, len(s), step)], np.uint64).view(np.int64)
-                out.append((fingerprint(hashes), s, bands))
+                low = np.frombuffer(s, np.uint8).reshape(-1, 4)[:, :width].tobytes()
+                out.append((fingerprint(hashes), low, bands))
             fp, s, bands = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), pa.array(s, pa.binary()), pa.array(list(bands), pa.list_(pa.int64()))], ["text_key", "fp", "sketch", "bands"])
+            keys = b.column(0).take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(fp, pa.int64()), pa.array(s, pa.binary()), pa.array(list(bands), pa.list_(pa.int64()))], ["text_key", "fp", "sketch", "bands"])
 
-    return rows.mapInArrow(run, "text_key long, fp long, sketch binary, bands array<long>")
+    return rows.mapInArrow(run, f"text_key {rows.schema['text_key'].dataType.simpleString()}, fp long, sketch binary, bands array<long>")
 
 
 def _shares(pairs: DataFrame, kind: str, share) -> DataFrame:
@@ -261,10 +279,6 @@ def _shares(pairs: DataFrame, kind: str, share) -> DataFrame:
     return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long, share double")
 
 
-def _equal(a: np.ndarray, b: np.ndarray) -> float:
-    return float((a == b).mean())
-
-
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of sorted arrays without repeats."""
     if not len(a) or not len(b):
@@ -284,44 +298,65 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     """(text_key, shingles binary): the different shingles' hashes, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                found = [np.unique(shingle_hashes(t or b"", words)).tobytes() for t in part.column(1).cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["text_key", "shingles"])
+        for b in slices(batches):
+            found = [np.unique(shingle_hashes(t or b"", words)).tobytes() for t in b.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["text_key", "shingles"])
 
     return rows.mapInArrow(run, "text_key long, shingles binary")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(src, dst) of the pairs that are similar: by their sketches, or by their shingles where those leave it open."""
+def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, share): the share of equal sketch bytes, less what different hashes have in common by chance."""
     pairs = pairs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    error = (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
-    judged = cut(_shares(_with_values(pairs, nodes, "sketch"), "<u4", _equal).where(F.col("share") >= similarity - 4 * error))
-    close = F.col("share") < similarity + 3.5 * error
-    open_ = judged.where(close).select("src", "dst")
-    ends = open_.select(F.col("src").alias("text_key")).unionByName(open_.select(F.col("dst").alias("text_key")))
-    sets = cut(_sets_of(ends, texts, words))
-    exact = _shares(_with_values(open_, sets, "shingles"), "<u8", _jaccard).where(F.col("share") >= similarity)
-    return judged.where(~close).select("src", "dst").unionByName(exact.select("src", "dst"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for i in (2, 3))
+            share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], ["src", "dst", "share"])
+
+    return _with_values(pairs, nodes, "sketch").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long, share double")
+
+
+def _label(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the label of their `key`; a text that nothing links is its own label."""
+    known = labels.select(F.col("text_key").alias(key), F.col("label").alias("__label"))
+    return rows.join(known, key, "left").withColumn(name, F.coalesce("__label", key)).drop("__label")
 
-def _sets_of(keys: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    return shingle_sets(texts.join(keys.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"]), words)
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends have different labels."""
+    return _label(_label(pairs, labels, "src", "__a"), labels, "dst", "__b").where("__a <> __b").drop("__a", "__b")
 
-def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(text_key, label) of each node: the least text key that it reaches."""
-    labels = components(edges).withColumnRenamed("node", "text_key")
-    return nodes.select("text_key").join(labels, "text_key", "left").select("text_key", F.coalesce("label", "text_key").alias("label"))
+
+def _joined(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(text_key, label) of all texts that have a link: the least text key that each reaches, with the links so far."""
+    if labels is not None:
+        edges = edges.select("src", "dst").unionByName(labels.select(F.col("text_key").alias("src"), F.col("label").alias("dst")))
+    return cut(components(edges).withColumnRenamed("node", "text_key"))
 
 
 def _unlinked(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(value, text_key, n, label) of the values whose texts are of several groups; of values with the same texts, one."""
-    rows = rows.select("value", "text_key", "n").join(labels, "text_key")
-    same = [F.min("text_key").alias("k"), F.max("text_key").alias("l"), F.bit_xor(F.xxhash64("text_key")).alias("x")]
-    found = rows.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.first("n").alias("n"), *same).where("a < b")
-    return cut(rows.join(found.groupBy("k", "l", "x", "n").agg(F.min("value").alias("value")).select("value"), "value", "left_semi"))
+    """(value, text_key, label) of the values whose texts are of several groups."""
+    rows = _label(rows.select("value", "text_key"), labels, "text_key", "label")
+    found = rows.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("value")
+    return cut(rows.join(found, "value", "left_semi"))
+
+
+def families(rows: DataFrame, block: int) -> DataFrame:
+    """rows (value, text_key, label) with values put together where that leaves fewer rows to send to `compared`.
+
+    Values that share texts form a family. It is compared as one where its texts, once for each block, are fewer than
+    those of its values, once for each of theirs; else each of its values is compared on its own.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / block)
+    first = rows.groupBy("value").agg(F.min("text_key").alias("dst"), F.count("*").alias("n"))
+    of = cut(components(rows.join(first, "value").select(F.col("text_key").alias("src"), "dst")).select(F.col("node").alias("text_key"), F.col("label").alias("family")))
+    apart = first.join(of, F.col("dst") == F.col("text_key")).groupBy("family").agg(F.sum(F.col("n") * blocks("n")).alias("apart"))
+    chosen = of.groupBy("family").agg(F.count("*").alias("n")).join(apart, "family").where(F.col("n") * blocks("n") <= F.col("apart")).select("family", F.lit(True).alias("whole"))
+    chosen = cut(chosen)  # a plain shuffle on both sides, so that adaptive execution can split a hot family
+    marked = rows.join(of, "text_key").join(chosen, "family", "left")
+    return marked.select(F.when(F.col("whole"), F.col("family")).otherwise(F.col("value")).alias("value"), "text_key", "label").distinct()
 
 
 def group_links(keys: np.ndarray, label: np.ndarray, block: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -406,50 +441,81 @@ def compared(rows: DataFrame, sets: DataFrame, similarity: float, block: int = 5
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(text_key, label): the group of each different text. Texts are linked if their shingles' Jaccard similarity is `similarity`.
+def digest(text: Column) -> Column:
+    """The 128 bits by which texts are told apart; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def marked(rows: DataFrame, keys: DataFrame, column: str, name: str = "marked") -> DataFrame:
+    """rows with a column that is true for all whose `column`, a digest, is in keys, and for a few others.
+
+    Of each digest 24 bits are looked up in a bitmap of at most 2**18 words, which is sent to every task: so what cannot
+    match is kept out of a shuffle. With many millions of keys ever more rows are marked; that is all that changes.
+    """
+    at, word, bits = free_names(rows, 3)
+    prefix = F.conv(F.substring(F.hex(column), 1, 6), 16, 10).cast("int")
+    single = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63))
+    bitmap = keys.select(prefix.alias("p")).groupBy(F.shiftright("p", 6).alias(word)).agg(F.bit_or(single(F.col("p"))).alias(bits))
+    found = rows.withColumn(at, prefix).join(F.broadcast(bitmap), F.shiftright(at, 6) == F.col(word), "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(single(F.col(at))) != 0, F.lit(False))
+    return found.withColumn(name, hit).drop(at, word, bits)
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 1000) -> DataFrame:
+    """(digest, label): the group of each different text. Texts are linked if their shingles' Jaccard similarity is `similarity`.
 
     A 64-bit SimHash tells so much apart only for almost equal texts: at 0.8, ten bits differ. So candidates are what the
-    BK-trees link and what shares a band of min-wise hashes. Sketches of 128 hashes decide what lies more than 3.5 to 4
-    standard errors from the limit, the shingles themselves the rest. All texts of a band value are first compared with
-    two of it, then with the one that shares most; what is not linked by then is compared pair by pair.
+    BK-trees link and what shares a band of min-wise hashes. Each text of a band value is first compared with two of it, by
+    sketches of 128 hashes, a byte each; those more than 3.5 standard errors above the limit are linked. Then all texts of
+    the values that still have several groups are compared with each other, by their shingles, which are read once.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    texts = docs.select(key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    nodes = cut(sketches(texts, words).dropDuplicates(["text_key"]))
-    # in each band, and for each fingerprint, all are compared with two texts of it; other ones in each band, by the bits
-    # in which they differ from its value
+    texts = docs.select(digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    found = sketches(texts.withColumnRenamed("digest", "text_key"), words, width=1).withColumnRenamed("text_key", "digest")
+    nodes = cut(found.dropDuplicates(["digest"]).withColumn("text_key", F.monotonically_increasing_id()))  # fixed by the checkpoint
+    # each band, and each fingerprint, has two texts with which its others are compared: not the same ones in each, by
+    # the bits in which they differ from its value
     values = F.concat("bands", F.array(F.xxhash64("fp", F.lit(-1))))
     banded = nodes.select("text_key", F.explode(values).alias("value"))
     mixed = F.col("text_key").bitwiseXOR(F.col("value"))
-    ends = banded.groupBy("value").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high"), F.count("*").alias("n")).where("low < high")
+    ends = cut(banded.groupBy("value").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low < high"))
     shared = cut(banded.join(ends, "value"))
-    stars = shared.select(F.col("text_key").alias("src"), F.explode(F.array(F.col("low").bitwiseXOR(F.col("value")), F.col("high").bitwiseXOR(F.col("value")))).alias("dst"))
+    other = lambda end: F.col(end).bitwiseXOR(F.col("value"))
+    stars = shared.select(F.col("text_key").alias("src"), F.explode(F.array(other("low"), other("high"))).alias("dst"))
+    error = (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
+    labels = _joined(_estimated(stars, nodes).where(F.col("share") >= similarity + 3.5 * error))
+
     fps = nodes.groupBy("fp").agg(F.min("text_key").alias("k"))
-    trees = links(fps.select("fp")).join(fps.select(F.col("fp").alias("src"), F.col("k").alias("a")), "src").join(fps.select(F.col("fp").alias("dst"), F.col("k").alias("b")), "dst")
-    pairs = stars.unionByName(trees.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    labels = cut(_labelled(nodes, _linked(pairs, nodes, texts, words, similarity)))
-    stars_of = lambda known: known.select(F.col("text_key").alias("src"), F.col("label").alias("dst"))
-    rest = _unlinked(shared.where("n > 3"), labels)  # of up to three texts, all were compared with each other
-    if rest.isEmpty():
-        return labels
-    degree = rest.groupBy("text_key").agg(F.sum("n").alias("degree"))
-    centre = rest.join(degree, "text_key").groupBy("value").agg(F.max(F.struct("degree", "text_key", "label")).alias("x"))
-    pairs = rest.join(centre, "value").where(F.col("label") != F.col("x.label")).select(F.col("text_key").alias("src"), F.col("x.text_key").alias("dst"))
-    labels = cut(_labelled(nodes, stars_of(labels).unionByName(_linked(pairs, nodes, texts, words, similarity))))
-    rest = _unlinked(rest, labels)
-    if rest.isEmpty():
-        return labels
-    found = compared(rest.select("value", "text_key", "label"), cut(_sets_of(rest, texts, words)), similarity)
-    return _labelled(nodes, stars_of(labels).unionByName(found))
+    of = lambda end, name: fps.select(F.col("fp").alias(end), F.col("k").alias(name))
+    trees = links(fps.select("fp"), radius=2).join(of("src", "a"), "src").join(of("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    trees = cut(_apart(trees, labels))  # these need not share a value
+    rest = _unlinked(shared, labels)
+    ends = [rest.select("text_key"), trees.select(F.col("src").alias("text_key")), trees.select(F.col("dst").alias("text_key"))]
+    wanted = cut(ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct().join(nodes.select("digest", "text_key"), "text_key"))
+    sets = marked(texts, wanted.select("digest"), "digest").where("marked").drop("marked").join(wanted, "digest").dropDuplicates(["text_key"]).select("text_key", "text")
+    sets = cut(shingle_sets(sets, words))
+    near = _shares(_with_values(trees, sets, "shingles"), "<u8", _jaccard).where(F.col("share") >= similarity).select("src", "dst")
+    labels = _joined(near.unionByName(compared(families(rest, block), sets, similarity, block)), labels)
+    return nodes.select("digest", "text_key").join(labels, "text_key", "left").select("digest", F.coalesce("label", "text_key").alias("label"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of near copies: that of the least doc_id (nulls last), then of the least text key."""
+    """docs with one row of each group of near copies: that of the least doc_id (nulls last), then of the least digest.
+
+    Only rows of groups that have several are shuffled, and those that `marked` cannot tell from them.
+    """
     groups = cut(near_copies(docs, words, similarity))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", key.alias("text_key")).groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    chosen = rows.join(groups, "text_key").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("x"))
-    chosen = chosen.select(F.col("x.doc_id").alias("__id"), F.col("x.text_key").alias("__key"))
-    kept = docs.withColumn("__of", key).join(chosen, (F.col("__of") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__of"]).select(*docs.columns)  # equal rows are copies as well
+    rows = docs.select("doc_id", digest(F.col("text")).alias("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("x")
+    each = cut(rows.groupBy("digest").agg(least, F.sum("n").alias("rows")).join(groups, "digest"))
+    chosen = each.select("x.*", "label", "rows").groupBy("label").agg(least, F.sum("rows").alias("rows")).where("rows > 1").select("label", "x")
+    # of each digest in such a group: whether it stays, with which doc_id, and whether that comes more than once
+    fate = cut(each.select("digest", "label").join(chosen, "label").select("digest", (F.col("digest") == F.col("x.digest")).alias("stays"), F.col("x.doc_id").alias("id"), (F.col("x.n") > 1).alias("repeats")))
+    of, key, stays, id_, repeats, hit = free_names(docs, 6)
+    renamed = {"digest": key, "stays": stays, "id": id_, "repeats": repeats}
+    told = marked(docs.withColumn(of, digest(F.col("text"))), fate.select(F.col("digest").alias(of)), of, hit)
+    judged = told.where(F.col(hit)).join(fate.withColumnsRenamed(renamed), F.col(of) == F.col(key), "left")
+    alone = told.where(~F.col(hit)).select(*own(docs))
+    kept = judged.where(F.col(key).isNull() | (F.col(stays) & F.col("doc_id").eqNullSafe(F.col(id_))))
+    once = kept.where(~F.coalesce(F.col(repeats), F.lit(False))).select(*own(docs))
+    again = kept.where(F.col(repeats)).dropDuplicates([of]).select(*own(docs))  # equal ids and texts: any of these rows
+    return alone.unionByName(once).unionByName(again)
