@@ -23,9 +23,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .names import own
+
 WORDS = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\x09-\x0d\x20]+")
 
 COMMA, STOP = crc32(b","), crc32(b".")
@@ -100,26 +103,37 @@ def sample(labels: DataFrame, label: str, rows: int, usable=None) -> DataFrame:
     return some.select("doc_id", F.col(label).cast("int").alias("label"), key.alias("key")).orderBy("key", "doc_id", "label").limit(rows)
 
 
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and their counts, which travel as byte planes of steps and counts."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(data), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    n = len(both) // 2
+    return np.cumsum(both[:n], dtype=np.int64), both[n:].astype(np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", s: Settings = Settings(), usable=None) -> np.ndarray:
     """float32 weights, the intercept last."""
     chosen = sample(labels, label, s.train_rows, usable)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("key", "label", "text")  # at most train_rows rows
     bits, echoes = s.bits, s.echoes
 
+    def packed(slots: np.ndarray, n: int) -> bytes:
+        found, counts = np.unique(slots, return_counts=True)
+        both = np.concatenate([np.diff(found, prepend=0), counts]).astype("<u4")
+        return zstandard.ZstdCompressor(level=1).compress(both.view(np.uint8).reshape(-1, 4).T.tobytes())
+
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
             slots, n = ngrams(as_bytes(b.column(2)), bits, echoes)
             ends = np.cumsum(n)
-            found = [np.unique(slots[e - k : e], return_counts=True) for e, k in zip(ends, n)]
-            arrays = [pa.array([f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["key", "label", "slots", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packed(slots[e - k : e], k) for e, k in zip(ends, n)], pa.binary())], ["key", "label", "slots"])
 
-    got = rows.mapInArrow(sparse, "key long, label int, slots array<int>, counts array<int>").toArrow()
+    got = rows.mapInArrow(sparse, "key long, label int, slots binary").toArrow()
     model = Ftrl(s)
     if got.num_rows:
         got = got.take(np.lexsort((got["label"].to_numpy(), got["key"].to_numpy())))
         labelled = got["label"].to_numpy()
-        data = [(r[0].values.to_numpy(), r[1].values.to_numpy()) for r in zip(got["slots"], got["counts"])]
+        data = list(map(unpacked, got["slots"].to_pylist()))
         rng = np.random.default_rng(11)
         for _ in range(s.epochs):
             for i in rng.permutation(len(data)):
@@ -142,15 +156,13 @@ def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings()) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for b in batches:
-            out = []
-            texts = as_bytes(b.column(b.num_columns - 1))
-            for at in range(0, len(texts), 256):
-                out.append(probabilities(texts[at : at + 256], w, s))
+            column = b.column(b.num_columns - 1)
+            out = [probabilities(as_bytes(column.slice(at, 256)), w, s) for at in range(0, b.num_rows, 256)]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], pa.array(np.concatenate(out) if out else [], pa.float64())], [*names, "score"])
 
     names = [c for c in docs.columns if c.lower() not in ("text", "score")]
-    rows = docs.select(*names, "text")
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    rows = docs.select(*[c for c, name in zip(own(docs), docs.columns) if name in names], "text")
+    kinds = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return rows.mapInArrow(run, f"{kinds}, score double")
 
 
