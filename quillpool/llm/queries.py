@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import matroska, mixing, packing, quality, rules, secrets, simhash, suffix, tokenbin, urls
+from .oracles import OP5_SQL, OP9_SQL, OP10_SQL
 from .tokens import vocabulary
 
 #: (verdict, host, path) of the URL rules.
@@ -78,27 +79,4 @@ QUERIES = {
     "op10_rules": op10_rules,
 }
 
-# Sizes, targets by water level, and the documents below each source's hash threshold, found here by sorting hashes.
-OP5_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
-  FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
-             source_size * 2.0::DOUBLE AS most FROM s),
-l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER a, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER a, 0)) AS ratio
-      FROM w WINDOW a AS (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT arg_min(ratio, most / weight) AS level FROM l WHERE ratio <= most / weight),
-t AS (SELECT source, source_size, coalesce(least(most, level * weight), most) AS target FROM l, level),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS whole FROM t),
-h AS (SELECT source, place, sum(size) AS words FROM d GROUP BY source, place),
-c AS (SELECT h.source, place, words, sum(words) OVER (PARTITION BY h.source ORDER BY place) AS upto, greatest(target - whole * source_size, 0) AS budget
-      FROM h JOIN p ON h.source IS NOT DISTINCT FROM p.source),
-f AS (SELECT source, min(place) AS edge, arg_min(upto - budget < budget - (upto - words), place) AS with_edge FROM c WHERE upto > budget AND budget > 0 GROUP BY source)
-SELECT d.doc_id, d.size, p.source_size, p.target,
-       (d.size * (p.whole + CASE WHEN d.place < f.edge OR (d.place = f.edge AND f.with_edge) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source
-"""
-
-ORACLE_SQL = {"op5_mixing": OP5_SQL}
+ORACLE_SQL = {"op5_mixing": OP5_SQL, "op9_suffix": OP9_SQL, "op10_rules": OP10_SQL}

@@ -1,11 +1,18 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 One native pass turns a text into counts. Quantile sketches (Greenwald-Khanna summaries, merged map-side and again over
-the shuffle) of the derived rates give each (lang, source) its own fences: a document fails if a rate lies beyond the
-quartiles by more than FAR times their distance and an absolute slack, so that tight groups do not throw out ordinary
-documents. Rates that mean junk in any group are also bound by all documents' low and high quantiles, with `reach`, so
-that a group that is largely junk does not set its own measure. The fences are joined back; where a group has under `min_rows` documents, those of
-its language, then those of all documents hold.
+the shuffle) of the rates give each (lang, source) its own fences, in two rounds:
+
+1. mean word length lies within FAR times the distance between the quartiles, that of the group or the median of those of
+   its language's groups, whichever is more (a group may be largely copies of one text);
+2. of the documents that pass this, the median and the 95th percentile of each other rate give a fence as far beyond the
+   percentile as that is beyond the median. It is bound by the same fence of all documents, so that a group that is
+   largely junk does not set its own measure.
+
+No fence has a fixed slack. A rate is a count over a size, so a document fails where its count lies more than ERRORS
+standard errors (of a count, which is its square root) beyond what the fence allows for its size: short documents need
+more evidence. The fences are joined back; where a group has under `min_rows` documents, those of its language, then those
+of all documents hold.
 
 Defined results: a null or empty text has zero counts and base_failed (under 50 words); null lang or source are groups
 of their own; repeated rows are judged each; further columns are ignored; an empty table gives an empty table.
@@ -30,15 +37,17 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(inner) > 0, F.split(inner, SPACE)).otherwise(F.array().cast("array<string>"))
 
 
-def _repeated_words(grams: Column) -> Column:
-    """Words inside windows that occur twice or more; windows are hashed to 64 bits, grams[i] being the i-th.
+def _repeated_words(grams: Column, words: Column) -> Column:
+    """Words inside windows that occur twice or more; grams[i] is a hash of the i-th window.
 
-    Sorted (hash, position) pairs put equal windows side by side, so the work is n log n however often one repeats.
+    Sorted (hash, position) pairs put equal windows side by side, so the work is n log n however often one repeats; of
+    neighbours with one hash the words are compared.
     """
+    same = lambda x, y: (x["g"] == y["g"]) & (F.slice(words, x["i"] + 1, 3) == F.slice(words, y["i"] + 1, 3))
     pairs = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     linked = F.transform(
         F.arrays_zip(pairs.alias("p"), F.concat(F.array(F.lit(None).cast("struct<g:bigint,i:int>")), F.slice(pairs, 1, F.size(grams) - 1)).alias("b"), F.concat(F.slice(pairs, 2, F.size(grams)), F.array(F.lit(None).cast("struct<g:bigint,i:int>"))).alias("a")),
-        lambda z: F.when((z["p"]["g"] == z["b"]["g"]) | (z["p"]["g"] == z["a"]["g"]), z["p"]["i"]),
+        lambda z: F.when(same(z["p"], z["b"]) | same(z["p"], z["a"]), z["p"]["i"]),
     )
     at = F.sort_array(F.array_compact(linked))
     # each position covers three words, less where the next one starts sooner
@@ -55,73 +64,73 @@ def counts(docs: DataFrame) -> DataFrame:
     second = first.select(
         "doc_id", "lang", "source", n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("lines"), grams.alias("grams"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("lines"), grams.alias("grams"), "w",
     )
     third = second.withColumn("varied", F.size(F.array_distinct("grams")))
     return third.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols",
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("varied") == F.size("grams"), F.lit(0).cast("long")).otherwise(_repeated_words(F.col("grams"))).alias("n_repeat_words"),
+        F.when(F.col("varied") == F.size("grams"), F.lit(0).cast("long")).otherwise(_repeated_words(F.col("grams"), F.col("w"))).alias("n_repeat_words"),
     )
 
 
-#: Rate, as SQL over the counts; the slack added to its fences; the side on which documents fail; whether all documents
-#: bound it. Of the rows of sf0.1 that pass the base, 1 % have over 0.2 duplicate lines a line, or 0.11 repeated words a word;
-#: 2 % have words of over 7.9, and most of those over 2.9 symbols a word.
-RATES = {
-    "symbols": ("n_symbols / greatest(n_words, 1)", 0.5, "high", True),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.3, "high", True),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.25, "high", True),
-    "word_length": ("word_chars / greatest(n_words, 1)", 1.0, "both", False),
-}
-FAR = 3.0  # of the distance between the quartiles
-
-
-def fences(measured: DataFrame, by: list[str], low: float, high: float, reach: float, accuracy: int) -> DataFrame:
-    """One row for each group: its size and, for each rate, the lowest and highest value that passes; and what bounds others."""
-    at = F.array(F.lit(low), F.lit(0.25), F.lit(0.75), F.lit(high))
-    sketches = [F.percentile_approx(F.expr(sql).cast("double"), at, F.lit(accuracy)).alias(name) for name, (sql, *_) in RATES.items()]
-    found = measured.where("not base_failed").groupBy(*by).agg(F.count("*").alias("group_rows"), *sketches)
-    edges = []
-    for name, (_, slack, side, bound) in RATES.items():
-        lo, first, third, hi = (F.element_at(name, i) for i in (1, 2, 3, 4))
-        edges.append((third + FAR * (third - first) + slack).alias(f"{name}_max"))
-        if side == "both":
-            edges.append((first - FAR * (third - first) - slack).alias(f"{name}_min"))
-        if bound and not by:
-            edges.append((hi + reach * (hi - lo) + slack).alias(f"{name}_bound"))
-    return found.select(*by, "group_rows", *edges)
-
-
-def judge(docs: DataFrame, low: float = 0.05, high: float = 0.9, reach: float = 1.0, min_rows: int = 50, accuracy: int = 1000, broadcast_rows: int = 20_000) -> DataFrame:
+#: Each rate: a count, and what it is a share of.
+LENGTH = ("word_chars", "n_words")
+RATES = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+FAR, ERRORS, TAIL = 3.0, 3.0, 0.95
+
+
+def _rate(count: str, size: str) -> Column:
+    return F.col(count) / F.greatest(F.col(size), F.lit(1))
+
+
+def _above(count: str, size: str, fence: Column) -> Column:
+    """Whether the count is surely more than the fence, a rate, allows; false where there is no fence."""
+    expected = F.greatest(fence, F.lit(0.0)) * F.col(size)
+    return F.coalesce(F.col(count) > expected + ERRORS * F.sqrt(expected + 1), F.lit(False))
+
+
+def _below(count: str, size: str, fence: Column) -> Column:
+    expected = F.greatest(fence, F.lit(0.0)) * F.col(size)
+    return F.coalesce(F.col(count) < expected - ERRORS * F.sqrt(expected + 1), F.lit(False))
+
+
+def _with_groups(rows: DataFrame, measured: DataFrame, columns: dict[str, Column], min_rows: int, broadcast_rows: int) -> DataFrame:
+    """rows with each sketch of their group (g_), their language (l_) and all documents (a_) of `measured`."""
+    out = rows
+    for tag, by in (("g", ["lang", "source"]), ("l", ["lang"]), ("a", [])):
+        found = measured.groupBy(*by).agg(F.count("*").alias("n"), *[c.alias(f"{tag}_{name}") for name, c in columns.items()])
+        if not by:
+            out = out.join(F.broadcast(found.drop("n")), F.lit(True), "left")  # one row
+            continue
+        found = cut(found.where(F.col("n") >= min_rows).drop("n").withColumnsRenamed({c: f"{tag}_{c}" for c in by}))
+        # a row for each group: broadcast while that is few, else an ordinary join, whose hot keys adaptive execution splits
+        found = F.broadcast(found) if found.count() <= broadcast_rows else found
+        on = [F.col(c).eqNullSafe(F.col(f"{tag}_{c}")) for c in by]
+        out = out.join(found, on[0] if len(on) == 1 else on[0] & on[1], "left").drop(*[f"{tag}_{c}" for c in by])
+    return out
+
+
+def judge(docs: DataFrame, min_rows: int = 50, accuracy: int = 10_000, broadcast_rows: int = 20_000) -> DataFrame:
     """Base counts of each row, base_failed, kept, and `reasons`, the rates beyond their group's fences."""
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     measured = cut(counts(docs).withColumn("base_failed", base))  # small rows; texts are read once
-    bounds = {"g": ["lang", "source"], "l": ["lang"], "a": []}
-    out = measured
-    names = [f"{n}_{e}" for n, (_, _, side, _) in RATES.items() for e in (("max", "min") if side == "both" else ("max",))]
-    for tag, by in bounds.items():
-        found = fences(measured, by, low, high, reach, accuracy)
-        if by:
-            found = found.where(F.col("group_rows") >= min_rows)
-        found = found.select(*[F.col(c).alias(f"{tag}_{c}") for c in found.columns])
-        if by:
-            found = cut(found)
-            # a row for each group: broadcast while that is few, else an ordinary join, whose hot keys adaptive execution splits
-            found = F.broadcast(found) if found.count() <= broadcast_rows else found
-            on = [F.col(c).eqNullSafe(F.col(f"{tag}_{c}")) for c in by]
-            out = out.join(found, on[0] if len(on) == 1 else on[0] & on[1], "left")
-        else:
-            out = out.join(F.broadcast(found), F.lit(True), "left")  # one row
-    edge = {n: F.coalesce(*[F.col(f"{t}_{n}") for t in bounds]) for n in names}
-    bad = []
-    for name, (sql, _, side, bound) in RATES.items():
-        rate = F.expr(sql)
-        most = F.least(edge[f"{name}_max"], F.col(f"a_{name}_bound")) if bound else edge[f"{name}_max"]
-        fail = F.coalesce(rate > most, F.lit(False))
-        if side == "both":
-            fail = fail | F.coalesce(rate < edge[f"{name}_min"], F.lit(False))
-        bad.append(F.when(fail, F.lit(name)))
-    reasons = F.array_compact(F.array(*bad))
+    sketch = lambda rate, *at: F.percentile_approx(_rate(*rate), F.array(*map(F.lit, at)), F.lit(accuracy))
+    first = lambda name: F.coalesce(*[F.col(f"{tag}_{name}") for tag in "gla"])
+
+    passed = measured.where("not base_failed")
+    sized = _with_groups(measured, passed, {"length": sketch(LENGTH, 0.25, 0.75)}, min_rows, broadcast_rows)
+    groups = passed.groupBy("lang", "source").agg(F.count("*").alias("n"), sketch(LENGTH, 0.25, 0.75).alias("q")).where(F.col("n") >= min_rows)
+    usual = cut(groups.groupBy(F.col("lang").alias("i_lang")).agg(F.percentile_approx(F.col("q")[1] - F.col("q")[0], 0.5, F.lit(accuracy)).alias("i_spread")))
+    sized = sized.join(F.broadcast(usual) if usual.count() <= broadcast_rows else usual, F.col("lang").eqNullSafe(F.col("i_lang")), "left")
+    spread = F.greatest(first("length")[1] - first("length")[0], F.col("i_spread"))  # the latter is null without groups
+    odd = _above(*LENGTH, first("length")[1] + FAR * spread) | _below(*LENGTH, first("length")[0] - FAR * spread)
+    sized = cut(sized.withColumn("odd", odd).drop("g_length", "l_length", "a_length", "i_lang", "i_spread"))
+
+    tails = {name: sketch(rate, 0.5, TAIL) for name, rate in RATES.items()}
+    out = _with_groups(sized, sized.where("not base_failed and not odd"), tails, min_rows, broadcast_rows)
+    fence = lambda c: 2 * c[1] - c[0]
+    bad = [F.when(_above(*rate, F.least(fence(first(name)), fence(F.col(f"a_{name}")))), F.lit(name)) for name, rate in RATES.items()]
+    reasons = F.array_compact(F.array(*bad, F.when(F.col("odd"), F.lit("word_length"))))
     counts_ = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return out.select("doc_id", "lang", "source", *counts_, (~F.col("base_failed") & (F.size(reasons) == 0)).alias("kept"), F.array_join(reasons, ",").alias("reasons"))

@@ -1,5 +1,6 @@
 """Stages of the pipeline on an awkward table, against plain Python versions."""
 
+import hashlib
 import random
 import re
 
@@ -174,6 +175,36 @@ def test_pack(spark, docs, sf_dir):
     assert corpus_pipeline.pack(spark, docs.limit(0), sf_dir).count() == 0
 
 
+@pytest.mark.parametrize("stage", ["distinct", "clean", "mix"])
+def test_stages_pass_any_columns(spark, stage):
+    names = ["digest", "text_key", "marked", "label", "value", "_h0", "_H1", "__of", "__id", "spans", "copies", "words", "place", "x.y"]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    text = " ".join(words(random.Random(1), 90))
+    rows = [(i, t, "s", len(t or ""), *[f"{n}{i}" for n in names]) for i, t in enumerate([text, text, text + " more", None, "password=hunter2222", "a b"])]
+    docs = spark.createDataFrame(rows, schema)
+    out = getattr(corpus_pipeline, stage)(spark, docs, "")
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    for r in out.collect():
+        assert tuple(r)[4:] == rows[r.doc_id][4:]
+    kept = [r.doc_id for r in out.collect()]
+    assert sorted(set(kept)) == {"distinct": [0, 3, 4, 5], "clean": [0, 1, 2, 3, 4, 5]}.get(stage, sorted(set(kept)))
+
+
+def test_large_groups_and_their_blocks(spark):
+    """Groups cut into blocks, families of values, and plain shuffles give what comparing all pairs does."""
+    rng = random.Random(17)
+    texts = []
+    for _ in range(4):
+        base = " ".join(words(rng, 200))
+        texts += [base, *(edited(rng, base, rng.choice([1, 3, 4, 5, 6])) for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = jaccard_groups(texts)[0]
+    for block in (20, 1000):
+        of = {bytes(r.digest): r.label for r in simhash.near_copies(rows, block=block).collect()}
+        got = [of[hashlib.md5(t.encode()).digest()] for t in texts]
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
