@@ -7,10 +7,12 @@ the magic number. A reader takes the table from the end, then decompresses only
 Contents are little-endian unsigned 16-bit ids where the vocabulary allows it, else 32-bit, as the file's width byte says.
 
 Files are written under the shared folder. Each attempt writes its own file, so retried and speculative tasks never
-touch a file that others may read; only attempts that committed are in the manifest.
+touch a file that others may read; only attempts that committed are in the manifest. The number of files follows the
+bytes and rows of the input, so that a file's size is bounded.
 
-Defined results: a null or empty text is the end id alone; repeated ids are written each, side by side; null ids come
-first; further columns are ignored; an empty table gives an empty table and no files.
+Defined results: a null or empty text is the end id alone; repeated ids are written each, side by side, by the MD5 of
+their texts, so that places never depend on the order of the input; null ids come first; further columns are ignored; an
+empty table gives an empty table and no files.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir
-from .tokens import encoder
+from .tokens import batches_of, encoder
 
 # fixed values of the seekable format
 SKIPPABLE, INDEX = 0x184D2A5E, 0x184D2A50
@@ -52,9 +54,8 @@ class Writer:
         self.ids: list = []
         self.entries = bytearray()
 
-    def add(self, doc_id, ids: bytes) -> None:
-        """ids: little-endian unsigned 32-bit."""
-        data = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.width == 2 else ids
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        data = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
         frame = self.compress(data)
         self.out.write(frame)
         self.ids.append(doc_id)
@@ -108,36 +109,45 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, drops_space: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
-        from tokenizers import Tokenizer
 
-        ids = encoder(path, drops_space).ids
-        end = np.array([end_id], "<u4").tobytes()
+        encoding = encoder(path, drops_space)
         at = TaskContext.get()
         writer = out = None
         docs_, tokens = 0, 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            doc_ids = b.column(0).to_pylist()
+            for first, texts in batches_of(b.column(1)):
                 if writer is None:
                     store, base = fs.FileSystem.from_uri(folder)
                     store.create_dir(base, recursive=True)
                     name = f"part-{at.partitionId():06d}-{at.taskAttemptId()}.tokens"
                     out = store.open_output_stream(f"{base}/{name}")
-                    width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+                    width = 2 if max(encoding.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
                     writer = Writer(out, width)
-                data = ids(text or "") + end
-                writer.add(doc_id, data)
-                docs_, tokens = docs_ + 1, tokens + len(data) // 4
+                ids, begins = encoding.batch(texts, end_id)
+                for doc_id, s, e in zip(doc_ids[first:], begins.tolist(), begins[1:].tolist()):
+                    writer.add(doc_id, ids[s:e])
+                docs_, tokens = docs_ + len(texts), tokens + len(ids)
         if writer is not None:
             writer.close()
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([at.partitionId()], pa.int32()), pa.array([name]), pa.array([docs_]), pa.array([tokens])], ["part", "file", "n_docs", "n_tokens"])
 
     rows = docs.select("doc_id", "text")
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    n = partitions or file_count(rows)
+    order = [F.col("doc_id").asc_nulls_first(), F.unhex(F.md5(F.coalesce("text", F.lit("")))).asc()]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return cut(ordered.mapInArrow(run, "part int, file string, n_docs long, n_tokens long"))
 
 
+def file_count(rows: DataFrame, file_rows: int = 1_000_000) -> int:
+    """Files of about 16 MB of text, of up to 256 MB where that makes more than 20,000, and of about `file_rows` documents."""
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    file_bytes = min(256 << 20, max(16 << 20, size // 20_000))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(-(-size // file_bytes), -(-n // file_rows), min(cores, size >> 20), 1)
+
+
 def read(manifest: DataFrame, folder: str, id_type: str = "bigint", wanted: list | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; only documents of `wanted`, if given, are decompressed."""
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
