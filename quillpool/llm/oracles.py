@@ -52,8 +52,8 @@ def _quantiles(rate: str, *shares: float) -> str:
     return "[" + ", ".join(f"list_sort(list({rate}))[greatest(ceil({q} * count(*)), 1)::INT]" for q in shares) + "]"
 
 
-def _above(n: str, size: str, fence: str) -> str:
-    return f"coalesce({n} > greatest({fence}, 0) * {size} + 3 * sqrt(greatest({fence}, 0) * {size} + 1), false)"
+def _above(n: str, size: str, fence: str, unit: str = "1.0::DOUBLE") -> str:
+    return f"coalesce({n} > greatest({fence}, 0) * {size} + 3 * sqrt({unit} * (greatest({fence}, 0) * {size} + {unit})), false)"
 
 
 def _below(n: str, size: str, fence: str) -> str:
@@ -72,7 +72,8 @@ def _rules_sql() -> str:
     tails = ", ".join(f"{_quantiles(f'{n}::DOUBLE / greatest({s}, 1)', 0.5, 0.95)} AS {k}" for k, (n, s) in rates.items())
     beyond = lambda q: f"(2 * {q}[2] - {q}[1])"
     fence = lambda k: f"least({beyond(f'coalesce(g.{k}, l.{k}, a.{k})')}, {beyond(f'a.{k}')})"
-    failed = ", ".join(f"CASE WHEN {_above('x.' + n, 'x.' + s, fence(k))} THEN '{k}' END" for k, (n, s) in rates.items())
+    unit = "greatest(x.n_words::DOUBLE / greatest(x.n_lines, 1), 1.0::DOUBLE)"
+    failed = ", ".join(f"CASE WHEN {_above('x.' + n, 'x.' + s, fence(k), unit if k == 'repeats' else '1.0::DOUBLE')} THEN '{k}' END" for k, (n, s) in rates.items())
     reasons = f"list_filter([{failed}, CASE WHEN odd THEN 'word_length' END], lambda v: v IS NOT NULL)"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -11,7 +11,7 @@ the shuffle) of the rates give each (lang, source) its own fences, in two rounds
 
 No fence has a fixed slack. A rate is a count over a size, so a document fails where its count lies more than ERRORS
 standard errors (of a count, which is its square root) beyond what the fence allows for its size: short documents need
-more evidence. The fences are joined back; where a group has under `min_rows` documents, those of its language, then those
+more evidence. Repeated words come by lines, so they count in units of the words that a line of the document has. The fences are joined back; where a group has under `min_rows` documents, those of its language, then those
 of all documents hold.
 
 Defined results: a null or empty text has zero counts and base_failed (under 50 words); null lang or source are groups
@@ -77,6 +77,7 @@ def counts(docs: DataFrame) -> DataFrame:
 #: Each rate: a count, and what it is a share of.
 LENGTH = ("word_chars", "n_words")
 RATES = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+UNITS = {"repeats": "greatest(n_words / greatest(n_lines, 1), 1.0D)"}  # of others one
 FAR, ERRORS, TAIL = 3.0, 3.0, 0.95
 
 
@@ -84,10 +85,10 @@ def _rate(count: str, size: str) -> Column:
     return F.col(count) / F.greatest(F.col(size), F.lit(1))
 
 
-def _above(count: str, size: str, fence: Column) -> Column:
-    """Whether the count is surely more than the fence, a rate, allows; false where there is no fence."""
-    expected = F.greatest(fence, F.lit(0.0)) * F.col(size)
-    return F.coalesce(F.col(count) > expected + ERRORS * F.sqrt(expected + 1), F.lit(False))
+def _above(count: str, size: str, fence: Column, unit: str = "1.0D") -> Column:
+    """Whether the count is surely more than the fence, a rate, allows; false where there is no fence. unit: what comes at once."""
+    expected, unit = F.greatest(fence, F.lit(0.0)) * F.col(size), F.expr(unit)
+    return F.coalesce(F.col(count) > expected + ERRORS * F.sqrt(unit * (expected + unit)), F.lit(False))
 
 
 def _below(count: str, size: str, fence: Column) -> Column:
@@ -130,7 +131,7 @@ def judge(docs: DataFrame, min_rows: int = 50, accuracy: int = 10_000, broadcast
     tails = {name: sketch(rate, 0.5, TAIL) for name, rate in RATES.items()}
     out = _with_groups(sized, sized.where("not base_failed and not odd"), tails, min_rows, broadcast_rows)
     fence = lambda c: 2 * c[1] - c[0]
-    bad = [F.when(_above(*rate, F.least(fence(first(name)), fence(F.col(f"a_{name}")))), F.lit(name)) for name, rate in RATES.items()]
+    bad = [F.when(_above(*rate, F.least(fence(first(name)), fence(F.col(f"a_{name}"))), UNITS.get(name, "1.0D")), F.lit(name)) for name, rate in RATES.items()]
     reasons = F.array_compact(F.array(*bad, F.when(F.col("odd"), F.lit("word_length"))))
     counts_ = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return out.select("doc_id", "lang", "source", *counts_, (~F.col("base_failed") & (F.size(reasons) == 0)).alias("kept"), F.array_join(reasons, ",").alias("reasons"))

@@ -643,7 +643,7 @@ def test_rules_each_rate_adapts(spark, rate):
         lines = [" ".join(fresh(10 if rate == "dup_lines" else 9)) for _ in range(25)]
         if rate == "dup_lines":  # new words between equal lines keep windows apart
             return "\n".join(x for line in lines[:15] for x in (" ".join(fresh(20)), "a b" if rng.random() < 0.9 else "c d", line))
-        return "\n".join(f"{line} " + ("one two three" if i % 2 else " ".join(fresh(3))) for i, line in enumerate(lines))
+        return "\n".join(f"{line} " + ("one two three" if i % 3 else " ".join(fresh(3))) for i, line in enumerate(lines))
 
     rows = [(i, usual(), "en", "a") for i in range(300)] + [(1000, odd(), "en", "a")]
     rows += [(2000 + i, odd(), "en", "b") for i in range(200)]

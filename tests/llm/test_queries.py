@@ -277,7 +277,7 @@ def brute_rules(docs, min_rows=50):
     def find(out, r):
         return [out[g] for g in ((("lang", "source"), r["lang"], r["source"]), (("lang",), r["lang"]), ((),)) if g in out]
 
-    above = lambda n, rate, size: n > max(rate, 0) * size + 3 * math.sqrt(max(rate, 0) * size + 1)
+    above = lambda n, rate, size, unit=1.0: n > max(rate, 0) * size + 3 * math.sqrt(unit * (max(rate, 0) * size + unit))
     below = lambda n, rate, size: n < max(rate, 0) * size - 3 * math.sqrt(max(rate, 0) * size + 1)
     sized = quantiles([r for r in rows if not r["failed"]], "word_chars", "n_words", 0.25, 0.75)
     for r in rows:
@@ -291,7 +291,7 @@ def brute_rules(docs, min_rows=50):
         tails = quantiles([r for r in rows if not r["failed"] and not r["odd"]], count, size, 0.5, 0.95)
         for r in rows:
             found = [2 * hi - mid for mid, hi in find(tails, r)]
-            r["odd_" + count] = bool(found) and above(r[count], min(found[0], found[-1]), r[size])
+            r["odd_" + count] = bool(found) and above(r[count], min(found[0], found[-1]), r[size], max(r["n_words"] / max(r["n_lines"], 1), 1.0) if count == "n_repeat_words" else 1.0)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return sorted(key(r["i"], *[r[n] for n in names], r["failed"], not r["failed"] and not any(r[k] for k in r if k.startswith("odd"))) for r in rows)
 
@@ -309,8 +309,8 @@ def test_op10_on_many_groups(spark, tmp_path):
         w = text_of(rng, 250).split()
         if rng.random() < 0.1:
             w = [x + rng.choice(["#", "$$$", "longerword"]) for x in w]
-        if rng.random() < 0.1:
-            w += w[: len(w) // 5]
+        if rng.random() < 0.03:
+            w += w[: len(w) // 4]
         text = "\n".join(" ".join(w[k : k + 8]) for k in range(0, len(w), 8))
         rows.append((i, text + ("\nthe same line" * rng.randint(2, 30) if rng.random() < 0.1 else ""), rng.choice(["en", "fr", None]), rng.choice(["a", "a", "b", None])))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
