@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .licenses import as_regex, mandatory, parse
+from .notices import NOTICES, PHRASES
+
 # Sizes, targets by water level, and the documents below each source's hash threshold, found here by sorting hashes.
 OP5_SQL = r"""
 WITH d AS (
@@ -93,3 +96,80 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 
 # Ranks in sorted lists in place of sketches, which have every row of groups of some thousands.
 OP10_SQL = _rules_sql()
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """All distances to all entries, as one number with the entry's place: its least one is the nearest entry, ties to the lower."""
+    nearest = lambda name, book: f"""
+{name} AS MATERIALIZED (SELECT r, part, any_value(p.x) AS x, min(((list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x))::BIGINT * 256 + b.entry)) AS best
+  FROM p JOIN {book} b USING (part) GROUP BY r, part)"""
+    steps = []
+    for k in range(rounds):
+        steps.append(nearest(f"a{k}", f"b{k}"))
+        steps.append(f"""
+c{k} AS (SELECT part, best % 256 AS entry, i.unnest AS i, sum(x[i.unnest])::BIGINT AS s, count(*) AS n FROM a{k}, w, unnest(range(1, w.w + 1)) i GROUP BY ALL),
+m{k} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS x FROM c{k} GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (part, entry))""")
+    return f"""
+WITH f AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS MATERIALIZED (SELECT len(v) // 4 AS w, len(v) AS n FROM f ORDER BY vec_id NULLS LAST, v LIMIT 1),
+k AS MATERIALIZED (SELECT f.*, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS place FROM f, w WHERE len(v) = n),
+p AS MATERIALIZED (SELECT r, place, q.unnest AS part, list_slice(v, q.unnest * w + 1, q.unnest * w + w)::DOUBLE[] AS x FROM k, w, unnest(range(4)) q),
+b0 AS MATERIALIZED (SELECT part, place AS entry, x FROM p WHERE place < 256),{",".join(steps)},{nearest("z", f"b{rounds}")},
+e AS (SELECT r, string_agg(format('{{:02x}}', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM z GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda v: v::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f LEFT JOIN e USING (r), h
+"""
+
+
+OP11_SQL = _codes_sql()
+
+
+def _licenses_sql() -> str:
+    """Templates as regular expressions over the words, each followed by a space."""
+    named = lambda label, m, found: f"CASE WHEN {found} THEN {{'label': '{label}', 'm': {m}}} END"
+    at = [f"list_filter(range(len(w)), lambda i: {' AND '.join(f'''w[i + {k}] = '{x}' ''' for k, x in enumerate(phrase.split(), 1))})" for _, phrase in PHRASES]
+    base = [named(label, len(phrase.split()), f"len(p{k}) > 0") for k, (label, phrase) in enumerate(PHRASES)]
+    more = [named(label, mandatory(tree), f"regexp_matches(s, ' {as_regex(tree)}')") for label, tree in ((label, parse(markup)) for label, markup in NOTICES)]
+    whole = lambda items: f"list_filter([{', '.join(items)}], lambda v: v IS NOT NULL)"
+    names = lambda found: f"array_to_string(list_sort(list_distinct(list_transform({found}, lambda v: v.label))), ',')"
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS s, {', '.join(f'{a} AS p{k}' for k, a in enumerate(at))} FROM d),
+f AS (SELECT doc_id, n_words, flatten([{', '.join(f'p{k}' for k in range(len(at)))}]) AS places, {whole(base)} AS base, {whole(more)} AS more FROM p)
+SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word, {names('base')} AS base_labels, {names('list_concat(base, more)')} AS labels,
+       coalesce(list_max(list_transform(list_concat(base, more), lambda v: v.m / (v.m + 4.0::DOUBLE))), 0.0::DOUBLE) AS score FROM f
+"""
+
+
+OP12_SQL = _licenses_sql()
+
+
+def _variants_sql() -> str:
+    """Near words by what is left of both without one letter: of equal lengths at the same place, else the shorter itself."""
+    table = []
+    for c in range(16):  # checksums of half a byte
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    half = lambda c: f"xor(([{', '.join(f'{x}::BIGINT' for x in table)}])[({c} & 15) + 1], {c} >> 4)"
+    return f"""
+WITH RECURSIVE o AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM o WHERE length(run) >= 6 GROUP BY doc_id, run),
+y AS (SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)) AS bytes FROM g),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda c, b: {half(half('xor(c, b)'))}, 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM y),
+l AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM l WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+s AS MATERIALIZED (SELECT word, n, length(word) AS size, i.unnest AS i, substr(word, 1, i.unnest) || substr(word, i.unnest + 2) AS less FROM v, unnest(range(length(word))) i),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM s a JOIN s b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT s.word, v.word, v.n FROM s JOIN v ON s.less = v.word UNION SELECT v.word, s.word, s.n FROM s JOIN v ON s.less = v.word),
+c AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM near GROUP BY word),
+t AS (SELECT c.word, n_near, most, min(near) AS near FROM c JOIN near ON near.word = c.word AND near.near_n = c.most GROUP BY ALL),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * v.n THEN near END AS form, CASE WHEN most >= 5 * v.n THEN most END AS form_n FROM v LEFT JOIN t USING (word)),
+r AS (SELECT word, word AS at, form AS further FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.further)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.further IS NULL
+"""
+
+
+OP13_SQL = _variants_sql()

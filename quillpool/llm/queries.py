@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import matroska, mixing, packing, quality, rules, secrets, simhash, suffix, tokenbin, urls
-from .oracles import OP5_SQL, OP9_SQL, OP10_SQL
+from . import codes, licenses, matroska, mixing, packing, quality, rules, secrets, simhash, suffix, tokenbin, urls, variants
+from .oracles import OP5_SQL, OP9_SQL, OP10_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from .tokens import vocabulary
 
 #: (verdict, host, path) of the URL rules.
@@ -60,6 +60,19 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("lang", "source")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return codes.compress(vectors.select("vec_id", "label", F.col("embedding").alias("vec")), entries=256, parts=4, rounds=4, scale=1024)
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.regroup(table(spark, sf_dir, "documents"), least_length=6, least_count=5, times=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,6 +90,9 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_suffix": op9_suffix,
     "op10_rules": op10_rules,
+    "op11_codes": op11_codes,
+    "op12_licenses": op12_licenses,
+    "op13_variants": op13_variants,
 }
 
-ORACLE_SQL = {"op5_mixing": OP5_SQL, "op9_suffix": OP9_SQL, "op10_rules": OP10_SQL}
+ORACLE_SQL = {"op5_mixing": OP5_SQL, "op9_suffix": OP9_SQL, "op10_rules": OP10_SQL, "op11_codes": OP11_SQL, "op12_licenses": OP12_SQL, "op13_variants": OP13_SQL}
