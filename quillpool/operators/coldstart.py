@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -12,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw
 from ..session import cut
+from .medoids import blocks, distances, least_totals, swapped
 from .select import random_sampling
 
-MATRIX_ROWS = 4_000  # a distance matrix of 128 MB; above that distances are summed over blocks of this size
+MATRIX_ROWS = 4_000  # a distance matrix of 128 MB; above that bounds and blocks of this size take its place
 
 
 def per_class(rows: DataFrame, n: int, seed=42) -> DataFrame:
@@ -25,29 +25,6 @@ def per_class(rows: DataFrame, n: int, seed=42) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")  # limits each group before the shuffle
 
 
-def distances(a: np.ndarray, b: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
-    """Euclidean distances of all rows of a to all of b, from differences, a few rows at a time."""
-    out, step = np.empty((len(a), len(b))), max(1, at_once // max(1, b.size))
-    for start in range(0, len(a), step):
-        d = a[start : start + step, None, :] - b[None, :, :]
-        out[start : start + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-    return out
-
-
-def _blocks(pivots: DataFrame, block: int, at_once: int):
-    """Lists of up to `at_once` blocks (ids, matrix) of a written table, each sent to every task; earlier ones are let go."""
-    sc, rows, sent = pivots.sparkSession.sparkContext, pivots.toLocalIterator(), []
-    while some := [(r.row_id, r.vec) for r in islice(rows, block)]:
-        sent.append(sc.broadcast(([i for i, _ in some], np.array([v for _, v in some], float))))
-        if len(sent) == at_once:
-            yield sent
-            for x in sent:
-                x.unpersist()
-            sent = []
-    if sent:
-        yield sent
-
-
 def total_distances(vectors: DataFrame, pivots: DataFrame, block: int = MATRIX_ROWS, at_once: int = 16) -> DataFrame:
     """(row_id, total): each row's summed Euclidean distance to all pivots.
 
@@ -68,7 +45,7 @@ def total_distances(vectors: DataFrame, pivots: DataFrame, block: int = MATRIX_R
 
         return vectors.select("row_id", "vec").mapInPandas(run, kind)
 
-    parts = [cut(sums(sent)) for sent in _blocks(cut(pivots.select("row_id", "vec")), block, at_once)]
+    parts = [cut(sums(sent)) for sent in blocks(cut(pivots.select("row_id", "vec")), ["row_id", "vec"], block, at_once)]
     if not parts:
         return vectors.select("row_id", F.lit(0.0).alias("total"))
     return reduce(DataFrame.unionAll, parts).groupBy("row_id").agg(F.sum("total").alias("total")) if len(parts) > 1 else parts[0]
@@ -103,49 +80,12 @@ def medoids(points: np.ndarray, k: int) -> np.ndarray:
         chosen[m] = j
 
 
-def best_swap(vectors: DataFrame, written: DataFrame, chosen: list[tuple], block: int = MATRIX_ROWS, at_once: int = 16) -> tuple | None:
-    """(medoid's place, row_id, vec) of the exchange that lowers the summed distance most; None if none does.
-
-    chosen: the medoids' (row_id, vec). Candidates are all rows, in blocks; each task sums over its rows, each block's sums
-    meet in a task of their own.
-    """
-    centres, taken = np.array([v for _, v in chosen], float), {i for i, _ in chosen}
-    best = (-1e-9, None, None)
-    kind = f"change double, place int, row_id {vectors.schema['row_id'].dataType.simpleString()}, at int"
-    for sent in _blocks(written, block, at_once):
-
-        def sums(frames):
-            total = [np.zeros((len(centres), len(x.value[0]))) for x in sent]
-            for frame in frames:
-                points = np.stack(frame["vec"].to_numpy()).astype(float) if len(frame) else np.zeros((0, centres.shape[1]))
-                for start in range(0, len(points), 256):
-                    some = points[start : start + 256]
-                    to = distances(some, centres)
-                    for x, t in zip(sent, total):
-                        t += _changes(distances(some, x.value[1]), to)
-            yield pd.DataFrame({"at": range(len(sent)), "sums": [t.reshape(-1).tolist() for t in total]})
-
-        def least(frame: pd.DataFrame) -> pd.DataFrame:
-            at = int(frame["at"].iloc[0])
-            ids = sent[at].value[0]
-            change = np.sum(np.stack(frame["sums"].to_numpy()), 0).reshape(-1, len(ids))
-            change[:, [i in taken for i in ids]] = np.inf
-            m, j = np.unravel_index(np.argmin(change), change.shape)
-            return pd.DataFrame({"change": [change[m, j]], "place": [m], "row_id": [ids[j]], "at": [at]})
-
-        for r in vectors.select("vec").mapInPandas(sums, "at int, sums array<double>").groupBy("at").applyInPandas(least, kind).collect():  # a row for each block
-            if (round(r.change, 9), r.place, r.row_id) < (best[0], -1 if best[1] is None else best[1][0], r.row_id if best[1] is None else best[1][1]):
-                ids, matrix = sent[r["at"]].value
-                best = (round(r.change, 9), (r.place, r.row_id, matrix[ids.index(r.row_id)].tolist()), None)
-    return best[1]
-
-
 def kmedoids(vectors: DataFrame, k: int, seed=42, sample: int | None = None, samples: int = 5, matrix_rows: int = MATRIX_ROWS) -> DataFrame:
     """(row_id, rank) of k medoids; all rows if there are no more than k.
 
-    Of up to `matrix_rows` rows one task has all distances; beyond, each swap is a pass over all pairs of rows and blocks, so
-    that time grows with the square of the rows. `sample` asks for less: of several seeded samples of so many rows the
-    medoids of the least cost over all rows (CLARA).
+    Of up to `matrix_rows` rows one task has all distances. Beyond, the first medoids are found by bounds, and swaps start with
+    a pass over all rows and candidates; further ones take rows whose medoids changed (see medoids.py). `sample` asks for less:
+    of several seeded samples of so many rows the medoids of the least cost over all rows (CLARA).
     """
     kind = f"row_id {vectors.schema['row_id'].dataType.simpleString()}, rank long"
 
@@ -167,13 +107,19 @@ def kmedoids(vectors: DataFrame, k: int, seed=42, sample: int | None = None, sam
     if n <= max(matrix_rows, k):
         return found(vectors)
     written = cut(vectors.select("row_id", "vec"))
-    first = total_distances(written, written, matrix_rows).withColumn("total", F.round("total", 9)).orderBy("total", "row_id").limit(k)
+    first = least_totals(written, k, block=matrix_rows).rows
     chosen = [(r.row_id, r.vec) for r in written.join(F.broadcast(first), "row_id").orderBy("total", "row_id").select("row_id", "vec").collect()]  # k rows
-    while swap := best_swap(written, written, chosen, matrix_rows):
-        chosen[swap[0]] = swap[1:]
+    chosen, _ = swapped(written, chosen, matrix_rows)
     return vectors.sparkSession.createDataFrame([(i, k + 1) for k, i in enumerate(sorted(i for i, _ in chosen))], kind)
 
 
+def least_total(vectors: DataFrame, k: int, digits: int = 9, matrix_rows: int = MATRIX_ROWS) -> DataFrame:
+    """(row_id, total): the k rows of the least summed distance to all rows. Few rows are all summed, of many those that bounds leave."""
+    if vectors.count() > matrix_rows:
+        return least_totals(vectors, k, digits, block=matrix_rows).rows
+    return total_distances(vectors, vectors).select("row_id", F.round("total", digits).alias("total")).orderBy("total", "row_id").limit(k)
+
+
 def cost(vectors: DataFrame, chosen: DataFrame) -> float:
     """The summed distance of all rows to the nearest of the chosen ones, whose vectors are sent to every task."""
     near = vectors.join(F.broadcast(chosen.select("row_id")), "row_id", "left_semi").select("vec").collect()

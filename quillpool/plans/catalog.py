@@ -1,7 +1,7 @@
 """Every query of the engine, each beside SQL that says the same where SQL can.
 
 Queries run over whole tables. `text -> lang` of documents stands for labelled texts, embeddings for feature vectors,
-events for metric curves; run logs are lines written to a folder and read from it.
+events for metric curves and for the runs of logs, which are appended to a log and read from it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..functions.draws import draw
 from ..operators import cache, coldstart, evaluate, models, pool, prepare, select
 from ..operators.vectorizer import ProductVectorizer, class_counted, counted, document_frequency, idf, row_terms, weighted
 from ..session import cut, shared_dir, spread, table
-from ..sources import excel, tables
+from ..sources import commitlog, excel, tables
 from . import config, curves, genetic, history, learner, oracle
 from . import sqltext as S
 
@@ -85,39 +85,59 @@ def src_excel(spark, d):
     return rows.groupBy(F.col("p_brand").alias("label")).agg(F.count("*").alias("n_rows"), F.count_distinct("p_name").alias("n_names"), F.sum("p_size").alias("sum_size"), F.round(F.sum("p_retailprice"), 2).alias("sum_price"))
 
 
-#: Runs as they are logged; the third line is broken, and one has a bare NaN.
-LOG = (
-    '{"experiment_name": "a", "execution_timestamp": "2024-05-01 10:00:00", "status": "COMPLETED", "config": {"data_params": {"min_samples_per_class": 5, "population_size": 0.5}, "al_params": {"cold_start_config": {"type": "RND"}, "classifier_config": {"type": "PVBin", "params": {"method": "binary"}}, "query_strategy_config": {"type": "ENT", "params": {"batch_size": "10"}}}, "general_params": {"random_seed": 42}}, "baseline_metrics": {"baseline_acc": 0.8, "baseline_f1": NaN}, "history_data": [{"iteration": 1, "L_size": 10, "external_acc": 0.2, "status": "COMPLETED_ITERATION"}, {"iteration": 2, "L_size": 20, "external_acc": 0.4, "U_size": 80, "status": "COMPLETED_ITERATION"}, {"iteration": 3, "L_size": 40, "external_acc": 0.5, "U_size": 60, "status": "COMPLETED_ITERATION"}], "total_duration_sec": 12.5}',
-    '{"experiment_name": "a", "execution_timestamp": "2024-05-03 09:00:00", "status": "COMPLETED", "history_data": [{"iteration": 1, "L_size": 30, "external_acc": 0.6}], "total_duration_sec": 3.5, "manager_wall_time_sec": 4.0}',
-    '{"experiment_name": "b", "execution_timestamp": ',
-    '{"experiment_name": "b", "execution_timestamp": "2024-05-02 08:30:00", "status": "FAILED", "history_data": [], "error_message": "no rows"}',
-    '{"experiment_name": "c", "execution_timestamp": "2024-05-02 07:00:00", "status": "COMPLETED", "history_data": [], "total_duration_sec": 1.0}',
-    '{"experiment_name": "a", "execution_timestamp": "2024-05-03 09:00:00", "status": "COMPLETED", "history_data": [{"iteration": 1, "L_size": 99}], "total_duration_sec": 9.0}',
-)
-
-
-def log_lines(spark) -> DataFrame:
-    return spark.createDataFrame([(i, x) for i, x in enumerate(LOG)], "line int, value string")
-
-
-def run_log(spark) -> DataFrame:
-    """The lines as the log of a folder: one file, so that its order is the lines'."""
-    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
-    log_lines(spark).coalesce(1).select("value").write.text(path)
-    return tables.read_log(spark, path).withColumn("line", F.monotonically_increasing_id().cast("int"))
+def event_runs(spark, d) -> DataFrame:
+    """(day, user_id, value): a user's day of events as a run record, its events but errors as iterations; some lines are cut off."""
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type", "value")
+    error, u = F.col("event_type") == "error", F.col("user_id")
+    steps = F.array_sort(F.collect_list(F.when(~error, F.struct("ts", "event_id", "event_type", "value"))))  # of one user and day
+    g = e.groupBy("user_id", "day").agg(F.count_if(error).alias("errors"), F.max("value").alias("most"), F.min("value").alias("least"), steps.alias("steps"))
+    i, one = (lambda n: (n + 1).cast("int")), F.lit("COMPLETED_ITERATION")
+    history_data = F.transform("steps", lambda x, n: F.struct(
+        i(n).alias("iteration"), (10 * i(n)).alias("L_size"), (x["value"] / 1000).alias("internal_acc"), (x["value"] / 500).alias("external_acc"),
+        F.when(x["event_type"] != "signup", x["value"] / 600).alias("external_f1"), x["value"].alias("iteration_duration_sec"), (x["value"] / 2).alias("train_duration_sec"),
+        (x["value"] / 4).alias("query_duration_sec"), (x["value"] / 8).alias("update_duration_sec"), (1000 - 10 * i(n)).alias("U_size"), one.alias("status"),
+        F.when(x["event_type"] == "click", F.lit("late")).alias("error"),
+    ))
+    pick = lambda *of: F.element_at(F.array(*[F.lit(x) for x in of]), (u % len(of) + 1).cast("int"))
+    named = lambda kind, params=None: F.struct(kind.alias("type"), *([params.alias("params")] if params is not None else []))
+    strategy = F.create_map(F.lit("batch_size"), pick("many", "10", "20"), F.lit("entropy_fraction"), pick("0.25", "0.5"))
+    config_ = F.struct(
+        F.struct((u % 5).cast("double").alias("min_samples_per_class"), F.lit(0.5).alias("population_size")).alias("data_params"),
+        F.struct(
+            named(pick(None, "RND", "KM")).alias("cold_start_config"),
+            named(pick("PVBin", None, "GNB"), F.when(u % 2 == 0, F.create_map(F.lit("method"), F.lit("binary")))).alias("classifier_config"), named(F.lit("ENT"), strategy).alias("query_strategy_config"),
+        ).alias("al_params"),
+        F.struct((42 + u % 2).cast("double").alias("random_seed")).alias("general_params"),
+    )
+    stamp = F.when(u % 10 == 9, F.lit("soon")).otherwise(F.date_format(F.date_trunc("week", F.col("day").cast("timestamp")), "yyyy-MM-dd HH:mm:ss"))
+    line = F.to_json(F.struct(
+        F.concat(F.lit("user-"), u).alias("experiment_name"), stamp.alias("execution_timestamp"), F.when(F.col("errors") >= 2, "FAILED").otherwise("COMPLETED").alias("status"), config_.alias("config"),
+        F.struct((F.col("most") / 500).alias("baseline_acc"), (F.col("least") / 500).alias("baseline_f1")).alias("baseline_metrics"), history_data.alias("history_data"),
+        F.col("most").alias("total_duration_sec"), F.when(u % 2 == 1, F.col("most") + 1).alias("manager_wall_time_sec"),
+    ))
+    return g.select("day", "user_id", F.when((u * 31 + F.dayofyear("day")) % 41 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value"))
 
 
-def _lines_sql() -> str:
-    values = ", ".join(f"({i}, '{x.replace('NaN', 'null')}')" for i, x in enumerate(LOG))
-    return f"lines AS (SELECT line, CASE WHEN json_valid(value) THEN value::JSON END AS j FROM (VALUES {values}) x(line, value))"
+def run_log(spark, d) -> DataFrame:
+    """The runs in two appends to a log, those of each month's first half and the rest; a snapshot lies between."""
+    log, lines = commitlog.CommitLog(spark, f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"), cut(event_runs(spark, d))
+    early = F.dayofmonth("day") <= 15
+    log.append(lines.where(early).orderBy("day", "user_id"))
+    log.snapshot()
+    log.append(lines.where(~early).orderBy("day", "user_id"))
+    return tables.parse_log(log.read())
 
 
-LINES = _lines_sql()
+RUNS = """ev AS (SELECT user_id AS u, ts::DATE AS day, count(*) FILTER (event_type = 'error') AS errors, max(value) AS most, min(value) AS least,
+  coalesce(list({'t': event_type, 'v': value} ORDER BY ts, event_id) FILTER (event_type <> 'error'), []) AS steps FROM events GROUP BY ALL),
+line AS (SELECT *, CASE WHEN day(day) <= 15 THEN 1 ELSE 2 END AS number, row_number() OVER (ORDER BY day(day) > 15, day, u) AS place, (u * 31 + dayofyear(day)) % 41 = 0 AS corrupt FROM ev),
+runs AS (SELECT *, 'user-' || u AS experiment_name, CASE WHEN u % 10 = 9 THEN 'soon' ELSE strftime(date_trunc('week', day), '%Y-%m-%d %H:%M:%S') END AS execution_timestamp,
+  CASE WHEN errors >= 2 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM line WHERE NOT corrupt)"""
 
 
-@query(f"WITH {LINES} SELECT line, j->>'experiment_name' AS experiment_name, j->>'status' AS status, coalesce(json_array_length(j->'history_data'), -1)::INT AS n_iterations, j IS NULL AS corrupt FROM lines")
+@query(f"WITH {RUNS} SELECT l.number::BIGINT AS number, experiment_name, status, CASE WHEN corrupt THEN -1 ELSE len(l.steps) END::INT AS n_iterations, corrupt FROM line l LEFT JOIN runs USING (u, day, corrupt)")
 def log_scan(spark, d):
-    return run_log(spark).select("line", "experiment_name", "status", F.coalesce(F.size("history_data"), F.lit(-1)).alias("n_iterations"), F.col("_corrupt_record").isNotNull().alias("corrupt"))
+    return run_log(spark, d).select("number", "experiment_name", "status", F.coalesce(F.size("history_data"), F.lit(-1)).alias("n_iterations"), F.col("_corrupt_record").isNotNull().alias("corrupt"))
 
 
 @query("SELECT event_type AS experiment_name, 'COMPLETED' AS status, count(*)::INT AS l_size FROM events GROUP BY event_type")
@@ -152,6 +172,21 @@ def cache_fingerprint(spark, d):
     return t.join(f, ["lang", "source"])
 
 
+@query(
+    "SELECT 'some' AS asked, count(*) AS n_rows, count(DISTINCT coalesce('=' || text, '0')) AS n_made FROM documents WHERE lang = 'en' "
+    "UNION ALL SELECT 'all', count(*), count(DISTINCT coalesce('=' || text, '0')) - (SELECT count(DISTINCT coalesce('=' || text, '0')) FROM documents WHERE lang = 'en') FROM documents UNION ALL SELECT 'again', count(*), 0 FROM documents"
+)
+def cache_rows(spark, d):
+    """Documents of one language, then all, then all again, by a cache that embeds each text once; lengths stand for a model."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text", "lang")
+    store = cache.RowCache(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    length, out = F.length("text").cast("double"), []
+    make = lambda some: some.select("row_id", F.array(F.coalesce(length, F.lit(0.0)), F.coalesce(F.octet_length("text").cast("double"), F.lit(0.0))).alias("vec"))
+    for name, some in (("some", rows.where("lang = 'en'")), ("all", rows), ("again", rows)):
+        out.append((name, store.vectors(some, "lengths", make).count(), store.made))
+    return spark.createDataFrame(out, "asked string, n_rows long, n_made long")
+
+
 # --- preparation
 
 
@@ -560,44 +595,45 @@ def al_history(spark, d):
 # --- logs
 
 
-@query(f"WITH {LINES}, r AS (SELECT line, j->>'experiment_name' AS experiment_name, j->>'execution_timestamp' AS ts, (j->>'total_duration_sec')::DOUBLE AS secs FROM lines WHERE j->>'status' = 'COMPLETED') SELECT experiment_name, ts AS execution_timestamp, secs AS total_duration_sec FROM (SELECT *, row_number() OVER (PARTITION BY experiment_name ORDER BY ts DESC, line) AS k FROM r) WHERE k = 1")
+@query(f"WITH {RUNS} SELECT experiment_name, execution_timestamp, most AS total_duration_sec FROM (SELECT *, row_number() OVER (PARTITION BY experiment_name ORDER BY execution_timestamp DESC, place) AS k FROM runs WHERE status = 'COMPLETED') WHERE k = 1")
 def latest_run(spark, d):
-    return history.latest_runs(run_log(spark)).select("experiment_name", "execution_timestamp", "total_duration_sec")
+    return history.latest_runs(run_log(spark, d)).select("experiment_name", "execution_timestamp", "total_duration_sec")
 
 
-@query(f"WITH {LINES} SELECT DISTINCT j->>'experiment_name' AS experiment_name FROM lines WHERE j->>'status' = 'COMPLETED'")
+@query(f"WITH {RUNS} SELECT DISTINCT experiment_name FROM runs WHERE status = 'COMPLETED'")
 def completed_names(spark, d):
-    return history.completed_names(run_log(spark))
+    return history.completed_names(run_log(spark, d))
 
 
-FLAT = f"""WITH {LINES}, h AS (SELECT line, j, unnest(from_json(j->'history_data', '["JSON"]')) AS i FROM lines WHERE j->>'status' = 'COMPLETED' AND json_array_length(j->'history_data') > 0),
-flat AS (SELECT line, j->>'experiment_name' AS experiment_name, j->>'execution_timestamp' AS timestamp_str, try_strptime(j->>'execution_timestamp', '%Y-%m-%d %H:%M:%S') AS timestamp_dt,
-  coalesce((j->>'manager_wall_time_sec')::DOUBLE, (j->>'total_duration_sec')::DOUBLE) AS overall_experiment_duration_sec, coalesce(j->>'$.config.al_params.classifier_config.type', 'N/A') AS classifier_type,
-  try_cast(j->>'$.config.al_params.query_strategy_config.params.batch_size' AS DOUBLE) AS query_batch_size, (j->>'$.baseline_metrics.baseline_acc')::DOUBLE AS baseline_acc,
-  (i->>'iteration')::INT AS iteration, (i->>'L_size')::INT AS L_size, (i->>'external_acc')::DOUBLE AS external_acc FROM h)"""
+FLAT = f"""WITH {RUNS}, h AS (SELECT *, unnest(steps) AS s, unnest(range(1, len(steps) + 1)) AS i FROM runs WHERE status = 'COMPLETED'),
+flat AS (SELECT experiment_name, execution_timestamp AS timestamp_str, try_strptime(execution_timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp_dt, CASE WHEN u % 2 = 1 THEN most + 1 ELSE most END AS overall_experiment_duration_sec,
+  most AS loop_run_duration_sec, round(most / 500, 6) AS baseline_acc, round(least / 500, 6) AS baseline_f1, ['N/A', 'RND', 'KM'][u % 3 + 1] AS cold_start_type, ['PVBin', 'N/A', 'GNB'][u % 3 + 1] AS classifier_type,
+  CASE WHEN u % 2 = 0 THEN '{{"method":"binary"}}' ELSE '{{}}' END AS classifier_params_str, 'ENT' AS query_strategy_type, [NULL, 10.0, 20.0][u % 3 + 1]::DOUBLE AS query_batch_size, [0.25, 0.5][u % 2 + 1]::DOUBLE AS query_entropy_fraction,
+  (u % 5)::DOUBLE AS min_samples_per_class, 0.5::DOUBLE AS population_size_pct, (42 + u % 2)::DOUBLE AS random_seed, i::INT AS iteration, (10 * i)::INT AS L_size, round(s.v / 1000, 6) AS internal_acc, NULL::DOUBLE AS internal_f1,
+  round(s.v / 500, 6) AS external_acc, CASE WHEN s.t <> 'signup' THEN round(s.v / 600, 6) END AS external_f1, s.v AS iteration_duration_sec, round(s.v / 2, 6) AS train_duration_sec, NULL::DOUBLE AS eval_duration_sec,
+  round(s.v / 4, 6) AS query_duration_sec, round(s.v / 8, 6) AS update_duration_sec, (1000 - 10 * i)::INT AS U_size, 'COMPLETED_ITERATION' AS status, CASE WHEN s.t = 'click' THEN 'late' END AS error FROM h)"""
 
 
-@query(FLAT + " SELECT * EXCLUDE (line) FROM flat")
+@query(FLAT + " SELECT * FROM flat")
 def log_flatten(spark, d):
-    return history.flatten(run_log(spark)).select("experiment_name", "timestamp_str", "timestamp_dt", "overall_experiment_duration_sec", "classifier_type", "query_batch_size", "baseline_acc", "iteration", "L_size", "external_acc")
+    flat = history.flatten(run_log(spark, d))
+    return rounded(flat, "baseline_acc", "baseline_f1", "internal_acc", "external_acc", "external_f1", "train_duration_sec", "query_duration_sec", "update_duration_sec")
 
 
-@query(FLAT + ' SELECT experiment_name, L_size AS x, external_acc AS y FROM flat WHERE L_size IS NOT NULL AND external_acc IS NOT NULL')
+@query(FLAT + " SELECT experiment_name, L_size AS x, external_f1 AS y FROM flat WHERE external_f1 IS NOT NULL")
 def curve_points(spark, d):
-    return curves.curve_points(history.flatten(run_log(spark)), "L_size", "external_acc")
-
-
-CONFIGS = (("a", True, True), ("b", True, True), ("c", False, True), ("d", True, False), ("e", True, True))
+    return rounded(curves.curve_points(history.flatten(run_log(spark, d)), "L_size", "external_f1"), "y")
 
 
-@query(f"WITH {LINES}, c(experiment_name, active, is_valid) AS (VALUES {', '.join(f"('{n}', {a}, {v})" for n, a, v in CONFIGS)}) SELECT * FROM c WHERE active AND is_valid AND experiment_name NOT IN (SELECT j->>'experiment_name' FROM lines WHERE j->>'status' = 'COMPLETED')")
+@query(f"WITH {RUNS}, c AS (SELECT DISTINCT 'user-' || user_id AS experiment_name, user_id % 4 <> 0 AS active, user_id % 7 <> 0 AS is_valid FROM events) SELECT * FROM c WHERE active AND is_valid AND experiment_name NOT IN (SELECT experiment_name FROM runs WHERE status = 'COMPLETED' AND execution_timestamp >= '2024-01-29')")
 def pending_experiments(spark, d):
-    return config.pending(spark.createDataFrame(list(CONFIGS), "experiment_name string, active boolean, is_valid boolean"), history.completed_names(run_log(spark)))
+    configs = table(spark, d, "events").select(F.concat(F.lit("user-"), "user_id").alias("experiment_name"), (F.col("user_id") % 4 != 0).alias("active"), (F.col("user_id") % 7 != 0).alias("is_valid")).distinct()
+    return config.pending(configs, history.completed_names(run_log(spark, d).where("execution_timestamp >= '2024-01-29'")))
 
 
-@query(f"WITH {LINES} SELECT j->>'status' AS status, count(*) AS runs, string_agg(j->>'experiment_name', ',' ORDER BY j->>'experiment_name') AS names FROM lines WHERE j IS NOT NULL GROUP BY ALL")
+@query(f"WITH {RUNS} SELECT status, experiment_name, count(*) AS runs FROM runs GROUP BY ALL")
 def session_summary(spark, d):
-    return history.session_summary(run_log(spark).where("_corrupt_record is null"))
+    return history.session_summary(run_log(spark, d).where("_corrupt_record is null"))
 
 
 @query(
@@ -635,16 +671,15 @@ def _ml(code: str, name: str | None = None, **params):
     query()(f)
 
 
-_ml("LR", max_iter=20)
-_ml("LSVC", max_iter=5)
-_ml("SGD", max_iter=5)
-_ml("SGD", "sgd_log_predict", loss="log_loss", max_iter=10)
+_ml("LR")
+_ml("LSVC")
+_ml("SGD")
+_ml("SGD", "sgd_log_predict", loss="log_loss")
 
 
 @query("WITH t AS (SELECT a.vec_id AS row_id, round(sum(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))), 4) AS total FROM embeddings a CROSS JOIN embeddings b GROUP BY a.vec_id) SELECT row_id, total FROM t ORDER BY total, row_id LIMIT 10")
 def kmedoid_init(spark, d):
-    rows = vectors(spark, d).select("row_id", "vec")
-    return coldstart.total_distances(rows, rows).select("row_id", F.round("total", 4).alias("total")).orderBy("total", "row_id").limit(10)
+    return coldstart.least_total(vectors(spark, d).select("row_id", "vec"), 10, digits=4)
 
 
 @query()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import RUN_FIELDS, append_log, read_log
+from ..sources.commitlog import CommitLog
+from ..sources.tables import RUN_FIELDS, log_line, parse_log
 
 ITERATION = [f.split()[0] for f in RUN_FIELDS.split(", ")]
 
@@ -17,10 +18,10 @@ def completed_names(log: DataFrame) -> DataFrame:
 def latest_runs(log: DataFrame) -> DataFrame:
     """Of each experiment the completed run with the greatest timestamp string; of several the first in the log.
 
-    log needs `line`, a row's place in it.
+    log needs (number, place), a row's place in it.
     """
     rows = log.where("status = 'COMPLETED'")
-    best = F.max_by(F.struct(*rows.columns), F.struct("execution_timestamp", (-F.col("line")).alias("l")))
+    best = F.max_by(F.struct(*rows.columns), F.struct("execution_timestamp", (-F.col("number")).alias("n"), (-F.col("place")).alias("p")))
     return rows.groupBy("experiment_name").agg(best.alias("r")).select("r.*")
 
 
@@ -46,34 +47,29 @@ def flatten(log: DataFrame) -> DataFrame:
 
 
 def session_summary(runs: DataFrame) -> DataFrame:
-    """(status, runs, names) of a session."""
-    return runs.groupBy("status").agg(F.count("*").alias("runs"), F.array_join(F.array_sort(F.collect_list("experiment_name")), ",").alias("names"))
+    """(status, experiment_name, runs): how the runs of each experiment ended."""
+    return runs.groupBy("status", "experiment_name").agg(F.count("*").alias("runs"))
 
 
 class HistoryManager:
-    """The log in a folder of JSON lines."""
+    """The runs in a log that several managers may write to (see sources/commitlog.py)."""
 
     def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.commits = spark, CommitLog(spark, path)
 
-    def log(self) -> DataFrame:
-        from py4j.protocol import Py4JJavaError
-        from pyspark.errors import AnalysisException
+    def log(self, after: int = 0) -> DataFrame:
+        """The records, with their (number, place); those after a number alone."""
+        return parse_log(self.commits.read(after))
 
-        try:
-            found = read_log(self.spark, self.path)
-        except (AnalysisException, Py4JJavaError):  # nothing logged yet
-            from ..sources.tables import parse_log
-
-            found = parse_log(self.spark.createDataFrame([], "value string"))
-        # stamps give the order of appended files; records of a log without them keep their places, before all others
-        return found.withColumn("line", F.coalesce("logged_ns", F.monotonically_increasing_id()))
+    def adopt(self, path: str) -> int:
+        """Takes over the lines of a plain JSON-lines log, a file or a folder."""
+        return self.commits.append(self.spark.read.text(path))
 
     def completed(self) -> set[str]:
         return {r[0] for r in completed_names(self.log()).collect()}
 
     def record(self, entry: dict) -> None:
-        append_log(self.spark, self.path, [entry])
+        self.commits.append([log_line(entry)])
 
     def latest(self, name: str) -> DataFrame:
         return latest_runs(self.log().where(F.col("experiment_name") == name))

@@ -1,7 +1,8 @@
 """The active-learning loop. The driver holds settings and the history; rows stay in tables keyed by row_id.
 
 Each round fits on L, evaluates on the held-out part of L and on P, asks the oracle for a batch of U, and moves it. A
-round's state is cut by a reliable checkpoint, so that plans do not grow.
+round's state is cut by a reliable checkpoint, so that plans do not grow. Where a model's scores can be maintained
+(operators/maintained.py), P and U are tokenised once a run, and a round takes up the class weights that changed.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import coldstart, evaluate, pool
-from ..operators.models import get_embedder, get_model, needs_vectors
+from ..operators.maintained import MaintainedScores, maintainable
+from ..operators.models import NoProbabilities, TextClassifier, get_embedder, get_model, needs_vectors
 from ..operators.prepare import prepare, stratified, unstratified
 from ..operators.select import NEED_PROBAS, random_sampling, select_batch
+from ..operators.vectorizer import predicted
 from ..session import cut
 from ..sources.tables import append_csv
 from .oracle import SimulatedOracle, get_oracle
@@ -66,6 +69,9 @@ class ActiveLearner:
         self.budget = al.get("target_budget_pct", 1.0)
         self.metric, self.patience, self.tolerance = al.get("early_stopping_metric"), al.get("early_stopping_patience"), al.get("early_stopping_tolerance", 0.001)
         self.best, self.waited, self.error, self.model, self.baseline = None, 0, None, None, {}
+        self.kept: MaintainedScores | None = None
+        if self.strategy.get("type") != "RND" and self.strategy.get("type") not in NEED_PROBAS:
+            raise ValueError(f"unknown query strategy {self.strategy.get('type')!r}; known: RND, {', '.join(NEED_PROBAS)}")
 
     # --- setup
 
@@ -120,7 +126,7 @@ class ActiveLearner:
         if self.status not in ("READY", "STEPPING", "COMPLETED"):
             self.status = "ERROR"
             raise RuntimeError("set up first")
-        self.history, self.best, self.waited, self.status = [], None, 0, "RUNNING"
+        self.history, self.best, self.waited, self.status, self.kept = [], None, 0, "RUNNING", None
         began = time.time()
         try:
             while len(self.history) < self.max_iterations and self._round():
@@ -149,7 +155,9 @@ class ActiveLearner:
                 held = parts.where("held")
                 if self._splits(n_l):
                     record["internal_acc"], record["internal_f1"] = evaluate.metrics(evaluate.paired(held, self.model.predict(held)), self.labels)
-                record["external_acc"], record["external_f1"] = evaluate.metrics(evaluate.paired(self.P, self.model.predict(self.P)), self.labels)
+                self._maintain()
+                known = self.model.predict(self.P) if self.kept is None else predicted(self.kept.scored(self.model.labels), self.model.labels)
+                record["external_acc"], record["external_f1"] = evaluate.metrics(evaluate.paired(self.P, known), self.labels)
                 at = self._clock(times, "eval_duration_sec", at)
             chosen = cut(self._query(k))
             at = self._clock(times, "query_duration_sec", at)
@@ -177,12 +185,22 @@ class ActiveLearner:
     def _split(self, n_l: int, k: int) -> DataFrame:
         return cut(split(self.L, self.internal_size, self.seed + k)) if self._splits(n_l) else self.L.withColumn("held", F.lit(False))
 
+    def _maintain(self) -> None:
+        """Brings the scores of P and U up to the model; without effect on models whose scores cannot be maintained."""
+        if not isinstance(self.model, TextClassifier) or not maintainable(self.model.vectorizer):
+            return
+        if self.kept is None:
+            rows = self.P.select("row_id", "text").unionAll(self.U.select("row_id", "text"))
+            self.kept = MaintainedScores(self.model.vectorizer, rows, [r[0] for r in self.labels.orderBy("label").collect()])
+        self.kept.update(self.model.model)
+
     def _query(self, k: int) -> DataFrame:
         if self.model is not None and self.strategy["type"] in NEED_PROBAS:
             try:
+                scored = self.model.scored(self.U) if self.kept is None else pool.take(self.kept.scored(self.model.labels), self.U)
                 self.asked = self.strategy["type"]
-                return select_batch(self.strategy, self.U, self.model.scored(self.U), self.seed + k)
-            except Exception as error:  # this round falls back to random rows
+                return select_batch(self.strategy, self.U, scored, self.seed + k)
+            except NoProbabilities as error:  # this round falls back to random rows; any other error is one
                 self.error = str(error)[:500]
         self.asked = "RND"
         return random_sampling(self.U, self.strategy["params"]["batch_size"], self.seed + k)

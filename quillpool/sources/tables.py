@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,28 +41,29 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
 RUN_FIELDS = "iteration INT, L_size INT, internal_acc DOUBLE, internal_f1 DOUBLE, external_acc DOUBLE, external_f1 DOUBLE, iteration_duration_sec DOUBLE, train_duration_sec DOUBLE, eval_duration_sec DOUBLE, query_duration_sec DOUBLE, update_duration_sec DOUBLE, U_size INT, status STRING, error STRING"
 NAMED = "STRUCT<type STRING, params MAP<STRING, STRING>>"
 CONFIG = f"STRUCT<data_params STRUCT<min_samples_per_class DOUBLE, population_size DOUBLE>, al_params STRUCT<cold_start_config {NAMED}, classifier_config {NAMED}, query_strategy_config {NAMED}>, general_params STRUCT<random_seed DOUBLE>>"
-LOG_SCHEMA = f"experiment_name STRING, execution_timestamp STRING, status STRING, config {CONFIG}, baseline_metrics STRUCT<baseline_acc DOUBLE, baseline_f1 DOUBLE, baseline_train_time_sec DOUBLE>, history_data ARRAY<STRUCT<{RUN_FIELDS}>>, total_duration_sec DOUBLE, error_message STRING, manager_wall_time_sec DOUBLE, logged_ns BIGINT"
+LOG_SCHEMA = f"experiment_name STRING, execution_timestamp STRING, status STRING, config {CONFIG}, baseline_metrics STRUCT<baseline_acc DOUBLE, baseline_f1 DOUBLE, baseline_train_time_sec DOUBLE>, history_data ARRAY<STRUCT<{RUN_FIELDS}>>, total_duration_sec DOUBLE, error_message STRING, manager_wall_time_sec DOUBLE"
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
-    """Run records of (value string, one JSON object a line); a line that is none gets only _corrupt_record."""
+    """Run records of (value string, one JSON object a line), with the other columns of lines; a line that is none gets only _corrupt_record."""
     schema = LOG_SCHEMA + ", _corrupt_record STRING"
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "allowNonNumericNumbers": "true"})
-    return lines.select(parsed.alias("r")).select("r.*")
+    others = [c for c in lines.columns if c != "value"]
+    return lines.select(*others, parsed.alias("r")).select(*others, "r.*")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_log(spark.read.text(path))
 
 
-def append_log(spark: SparkSession, path: str, entries: list[dict]) -> None:
-    """Run records as further files of a JSON-lines folder; NaN is kept as such, other objects as text.
+def log_line(entry: dict) -> str:
+    """A run record as a line; NaN is kept as such, other objects as text."""
+    return json.dumps(entry, ensure_ascii=False, default=str)
+
 
-    Files have no order of their own, so each record is stamped with the time at which it came.
-    """
-    began = time.time_ns()
-    lines = [(json.dumps({**e, "logged_ns": began + i}, ensure_ascii=False, default=str),) for i, e in enumerate(entries)]
-    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(path)
+def append_log(spark: SparkSession, path: str, entries: list[dict]) -> None:
+    """Run records as further files of a plain JSON-lines folder, whose files have no order of their own."""
+    spark.createDataFrame([(log_line(e),) for e in entries], "value string").coalesce(1).write.mode("append").text(path)
 
 
 def append_csv(df: DataFrame, path: str) -> None:
