@@ -7,6 +7,7 @@ import re
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -40,7 +41,7 @@ def run(spark, name, folder):
 
 
 def test_all_are_registered():
-    assert sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [*queries.QUERIES] and len(queries.QUERIES) == 10
+    assert sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [*queries.QUERIES] and len(queries.QUERIES) == 13
     assert {"pipeline", *queries.QUERIES} <= set(__spark_entry__.queries())
 
 
@@ -326,10 +327,11 @@ def test_same_as_sql(spark, name):
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{folder}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
     got, want = __spark_entry__.queries()[name](spark, folder).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda f: sorted(tuple("null" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False, name=None))
+    rows = lambda f: sorted(tuple("null" if v is None or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False, name=None))
     assert rows(got) == rows(want)
 
 
