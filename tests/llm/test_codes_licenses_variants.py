@@ -272,7 +272,7 @@ def test_op13_is_plain(spark, awkward, tmp_path):  # noqa: F811
     got = __spark_entry__.queries()["op13_variants"](spark, str(tmp_path)).collect()
     mine = sorted(key(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in got)
     assert mine == plain_variants(docs)
-    assert any(r.form and r.root != r.form for r in got) and len(mine) > 100  # a form that has a form
+    assert any(r.form and r.root != r.form for r in got) and len(mine) > 60  # a form that has a form
 
 
 def test_op13_shards_and_edges(spark, nothing):  # noqa: F811

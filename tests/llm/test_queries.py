@@ -7,7 +7,6 @@ import re
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -329,10 +328,12 @@ def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
         con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
-    got, want = __spark_entry__.queries()[name](spark, folder).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
+    got, want = __spark_entry__.queries()[name](spark, folder), con.sql(queries.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda f: sorted(tuple("null" if v is None or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False, name=None))
-    assert rows(got) == rows(want)
+    cell = lambda v: "null" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    rows = lambda names, found: sorted(tuple(cell(v) for _, v in sorted(zip(names, r), key=lambda x: x[0])) for r in found)
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
 
 
 def test_pipeline_query(spark, sf_dir):
