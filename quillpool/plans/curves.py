@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import quantiles
+
 
 def finite(x: Column) -> Column:
     """x, or null where it is not a finite number."""
@@ -55,16 +57,14 @@ def sampled_generations(rows: DataFrame, step: int) -> DataFrame:
     return rows.join(kept, "generation", "left_semi")
 
 
-def boxplot(rows: DataFrame, value: str) -> DataFrame:
-    """(generation, n, low, q1, median, q3, high): exact quartiles, by linear interpolation."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy("generation").agg(F.count(value).alias("n"), F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high"))
+def boxplot(rows: DataFrame, value: str, few: int = 50_000) -> DataFrame:
+    """(generation, n, low, q1, median, q3, high): exact quartiles, by linear interpolation, of generations of any size."""
+    out = quantiles(rows, value, [0.25, 0.5, 0.75], ["generation"], few)
     return out.select("generation", "n", "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
 
 
-def described(rows: DataFrame, value: str) -> DataFrame:
+def described(rows: DataFrame, value: str, few: int = 50_000) -> DataFrame:
     """One row: count, mean, std, min, quartiles, max."""
-    v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), q.alias("q"), F.max(v).alias("high"))
+    moments = rows.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))  # one row
+    out = quantiles(rows, value, [0.25, 0.5, 0.75], few=few).join(F.broadcast(moments), F.lit(True))
     return out.select("n", "mean", "std", "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
