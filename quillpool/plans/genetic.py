@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, draw_int, draw_unit
-from ..functions.text import normal_label, words
+from ..functions.text import normal_label, tokens, words
 from ..operators import evaluate
 from ..operators.models import get_model
 from ..operators.prepare import drop_null, rare_grouped
-from ..operators.vectorizer import class_counted, row_terms
+from ..operators.vectorizer import BROADCAST_BYTES, class_counted, counted, seams
 from ..session import cut, written
 from ..sources.tables import append_csv
 
@@ -49,10 +49,23 @@ def fitness(genes: DataFrame, rows: DataFrame, query_terms: DataFrame, low: int
 
     query_terms: (row_id, term), made once a run. The join is on the term, so its size is the pairs that share one.
     """
-    a = class_terms(genes, rows, low, high)
-    scores = query_terms.join(a, "term").groupBy("individual_id", "row_id", "label").agg(F.count("*").alias("score"))
+    a = cut(class_terms(genes, rows, low, high))
+    scores = query_terms.join(sized(a), "term").groupBy("individual_id", "row_id", "label").agg(F.count("*").alias("score"))
+    return judged(scores, a.groupBy("individual_id").agg(F.min("label").alias("fallback")), rows, labels)
+
+
+def sized(terms: DataFrame) -> DataFrame:
+    """A written table with a column term, to be broadcast if its measured size allows."""
+    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    return F.broadcast(terms) if size <= BROADCAST_BYTES else terms
+
+
+def judged(scores: DataFrame, first: DataFrame, rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(individual_id, accuracy, macro_f1) from scores (individual_id, row_id, label, score), where they are not 0.
+
+    first: (individual_id, fallback), the label of rows that share no term with any class.
+    """
     best = scores.groupBy("individual_id", "row_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("label").alias("predicted"))).alias("b")).select("individual_id", "row_id", "b.predicted")
-    first = a.groupBy("individual_id").agg(F.min("label").alias("fallback"))  # for rows that share no term
     hits = best.join(rows.select("row_id", "label"), "row_id").groupBy("individual_id", "label", "predicted").agg(F.count("*").alias("n"))
     found = hits.groupBy("individual_id", "label").agg(F.sum("n").alias("n"))
     support = rows.groupBy("label").agg(F.count("*").alias("total"))
@@ -67,6 +80,62 @@ def fitness(genes: DataFrame, rows: DataFrame, query_terms: DataFrame, low: int
     return each.groupBy("individual_id").agg((F.sum("t") / F.sum("s")).alias("accuracy"), F.avg(f1).alias("macro_f1"))
 
 
+class Lineage:
+    """Term profiles and scores of a population, each member's derived from its parent's.
+
+    A member's class-term counts are its parent's, plus those of the rows it gained, less those of the rows it lost; n-grams
+    across texts are counted from the texts' first and last words. Terms whose count reaches or leaves zero are what changed
+    in its profile, and only they meet the rows' terms to move the parent's scores. Texts are read once a run. `changed` is the
+    number of (member, label, term) that the last generation took up; a member without a parent takes up all of its terms.
+    """
+
+    def __init__(self, rows: DataFrame, low: int, high: int):
+        """rows: (row_id, text, label)."""
+        self.low, self.high, back = low, high, max(high - 1, 1)
+        self.labels = rows.select("row_id", "label")
+        self.inner = cut(counted(rows, low, high))
+        t = tokens(F.col("text"))
+        long = F.concat(F.slice("t", 1, back), F.slice("t", F.size("t") - back + 1, back))  # all that seams look at
+        self.ends = cut(rows.select("row_id", "label", t.alias("t")).where(F.size("t") > 0).withColumn("t", F.when(F.size("t") > 2 * back, long).otherwise(F.col("t"))))
+        spark, kinds = rows.sparkSession, {f.name: f.dataType.simpleString() for f in rows.schema}
+        none = lambda schema: spark.createDataFrame([], schema)
+        self.genes = none(f"individual_id int, row_id {kinds['row_id']}")
+        self.counts = none(f"individual_id int, label {kinds['label']}, term string, tf long")
+        self.seams = none(f"individual_id int, label {kinds['label']}, term string, tf long")
+        self.scores = none(f"individual_id int, row_id {kinds['row_id']}, label {kinds['label']}, score long")
+        self.changed = 0
+
+    def move(self, genes: DataFrame, parents: dict[int, int]) -> None:
+        """From now on the members are those of genes; parents: of each member that has one, its parent in the last generation."""
+        spark, by = genes.sparkSession, ["individual_id", "label", "term"]
+        genes = genes.select("individual_id", "row_id")
+        origin = F.broadcast(spark.createDataFrame([(i, p) for i, p in parents.items()], "individual_id int, parent int"))  # a row a member
+        inherited = lambda df: df.withColumnRenamed("individual_id", "parent").join(origin, "parent").drop("parent")
+        before = inherited(self.genes)
+        gained, lost = genes.join(before, ["individual_id", "row_id"], "left_anti"), before.join(genes, ["individual_id", "row_id"], "left_anti")
+        swapped = gained.withColumn("sign", F.lit(1)).unionByName(lost.withColumn("sign", F.lit(-1)))
+        moved = swapped.join(self.labels, "row_id").join(self.inner, "row_id").select(*by, (F.col("tf") * F.col("sign")).alias("tf"))
+        across = self.seams.limit(0)
+        if self.high > 1:
+            joined = genes.join(self.ends, "row_id").select("individual_id", "label", "row_id", "t")
+            across = cut(seams(joined, self.low, self.high, ("individual_id", "label")).groupBy(*by).agg(F.count("*").alias("tf")))
+        moved = moved.unionByName(across).unionByName(inherited(self.seams).withColumn("tf", -F.col("tf")))
+        moved = moved.groupBy(*by).agg(F.sum("tf").alias("d")).where("d <> 0")
+        had = F.coalesce("tf", F.lit(0).cast("long"))
+        both = cut(inherited(self.counts).join(moved, by, "full").select(*by, had.alias("had"), (had + F.coalesce("d", F.lit(0).cast("long"))).alias("tf")))
+        presence = cut(both.where("(had > 0) <> (tf > 0)").select(*by, F.when(F.col("tf") > 0, 1).otherwise(-1).cast("long").alias("e")))
+        delta = self.inner.select("row_id", "term").join(sized(presence), "term").groupBy("individual_id", "row_id", "label").agg(F.sum("e").alias("score"))
+        scores = inherited(self.scores).unionByName(delta).groupBy("individual_id", "row_id", "label").agg(F.sum("score").alias("score")).where("score <> 0")
+        self.changed = presence.count()
+        self.genes, self.seams, self.counts, self.scores = genes, across, both.where("tf > 0").drop("had"), cut(scores)
+
+    def fitness(self, rows: DataFrame, labels: DataFrame | None, members: list[int]) -> DataFrame:
+        """(individual_id, accuracy, macro_f1) of some members on all rows."""
+        mine = F.col("individual_id").isin(members)
+        first = self.counts.where(mine).groupBy("individual_id").agg(F.min("label").alias("fallback"))
+        return judged(self.scores.where(mine), first, rows, labels)
+
+
 def goal_fitness(metric: Column, goal: str) -> Column:
     """What is maximised: the metric, or what it lacks to one; null, which sorts last, where it failed."""
     return metric if goal == "maximize" else 1 - metric
@@ -177,8 +246,8 @@ def details(genes: DataFrame, rows: DataFrame, scores: DataFrame) -> DataFrame:
 class GeneticOptimizer:
     """metric: accuracy or macro_f1; goal: maximize or minimize. What starts from a set is judged on all rows.
 
-    Without a classifier, individuals are binary term profiles on n-grams low to high, scored `at_once` in a job; with
-    one (a configuration for get_model, and an embedder for models of vectors), each is a model of its own.
+    Without a classifier, individuals are binary term profiles on n-grams low to high, each derived from its parent's (see
+    Lineage) and judged `at_once` in a job; with one (a configuration for get_model, and an embedder for models of vectors), each is a model of its own.
     """
 
     size: int
@@ -219,10 +288,10 @@ class GeneticOptimizer:
         labels = cut(rows.select("label").distinct()) if self.labels is None else spark.createDataFrame([(x,) for x in sorted(set(self.labels))], f"label {rows.schema['label'].dataType.simpleString()}")
         if rows.count() < self.size:
             raise ValueError("size is greater than the number of rows")
-        terms = cut(row_terms(rows, self.low, self.high)) if self.classifier is None else None
-        genes = cut(init_population(rows, self.size, self.population, self.seed))
+        line = Lineage(rows, self.low, self.high) if self.classifier is None else None
+        genes, parents = cut(init_population(rows, self.size, self.population, self.seed)), {}
         memo: dict[str, tuple] = {}
-        self.history, self.log, self.best_genes, self.best_metric = [], [], None, None
+        self.history, self.log, self.best_genes, self.best_metric, self.changed = [], [], None, None, []
         for g in range(self.generations):
             began = time.time()
             keys = {r.individual_id: r.key for r in set_keys(genes).collect()}  # a row for each individual
@@ -230,7 +299,10 @@ class GeneticOptimizer:
             for i in sorted(keys):
                 if keys[i] not in memo:
                     first.setdefault(keys[i], i)
-            for i, found in self._scored(genes, rows, terms, labels, sorted(first.values())):
+            if line is not None:
+                line.move(genes, parents)
+                self.changed.append(line.changed)
+            for i, found in self._scored(genes, rows, line, labels, sorted(first.values())):
                 memo[keys[i]] = found
             scored = {i: memo.get(k, (None, None, None)) for i, k in keys.items()}
             column = 0 if self.metric == "accuracy" else 1
@@ -247,7 +319,8 @@ class GeneticOptimizer:
                 append_csv(details(genes, rows, scores), self.log_path)
             self.history.append((g, *_stats(scored, 0), *_stats(scored, 1), time.time() - began))
             if g + 1 < self.generations:
-                genes = cut(self._next(rows, scored, genes, column, g))
+                genes, parents = self._next(rows, scored, genes, column, g)
+                genes = cut(genes)
         return self
 
     @property
@@ -255,7 +328,7 @@ class GeneticOptimizer:
         """The best set's row ids, in the order of its genes."""
         return None if self.best_genes is None else [r.row_id for r in self.best_genes.orderBy("gene_pos").collect()]
 
-    def _scored(self, genes: DataFrame, rows: DataFrame, terms: DataFrame | None, labels: DataFrame, todo: list[int]) -> Iterator[tuple[int, tuple]]:
+    def _scored(self, genes: DataFrame, rows: DataFrame, line: Lineage | None, labels: DataFrame, todo: list[int]) -> Iterator[tuple[int, tuple]]:
         """(individual, (accuracy, macro F1, seconds)); None for what failed."""
         if self.classifier is not None:
             for i in todo:
@@ -268,15 +341,15 @@ class GeneticOptimizer:
             return
         for at in range(0, len(todo), self.at_once):
             began, part = time.time(), todo[at : at + self.at_once]
-            found = fitness(genes.where(F.col("individual_id").isin(part)), rows, terms, self.low, self.high, labels).collect()
-            for r in found:
+            for r in line.fitness(rows, labels, part).collect():
                 yield r.individual_id, (r.accuracy, r.macro_f1, (time.time() - began) / len(part))
 
-    def _next(self, rows: DataFrame, scored: dict, genes: DataFrame, column: int, g: int) -> DataFrame:
+    def _next(self, rows: DataFrame, scored: dict, genes: DataFrame, column: int, g: int) -> tuple[DataFrame, dict[int, int]]:
+        """The next generation's genes, and of each member the one in this generation that it has its first genes from."""
         spark, seed = rows.sparkSession, f"{self.seed}-{g}"
         valid = {i: v[column] if self.goal == "maximize" else 1 - v[column] for i, v in scored.items() if v[column] is not None}
         if not valid:
-            return init_population(rows, self.size, self.population, seed)
+            return init_population(rows, self.size, self.population, seed), {}
         fit = spark.createDataFrame([(i, valid.get(i)) for i in sorted(scored)], "individual_id int, fitness double")
         best = [r.individual_id for r in elite(fit, self.population, self.elitism_rate).collect()]
         pairs = math.ceil((self.population - len(best)) / 2)
@@ -294,7 +367,8 @@ class GeneticOptimizer:
         changed = mutation(long.where(mutates), rows, strength, seed).unionByName(long.where(~mutates))
         places = spark.createDataFrame([(i, k) for k, i in enumerate(best)], "individual_id int, place int")
         kept = genes.join(F.broadcast(places), "individual_id").select(F.col("place").alias("individual_id"), "gene_pos", "row_id")  # places: the elite
-        return kept.unionByName(changed).select("individual_id", F.col("gene_pos").cast("int").alias("gene_pos"), "row_id")
+        origin = dict(enumerate(best)) | {len(best) + k: parents[k] for k in range(2 * pairs) if len(best) + k < self.population}
+        return kept.unionByName(changed).select("individual_id", F.col("gene_pos").cast("int").alias("gene_pos"), "row_id"), origin
 
 
 def _stats(scored: dict, k: int) -> tuple:

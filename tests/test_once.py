@@ -194,3 +194,40 @@ def test_errors_are_not_random_rounds(spark):
     with pytest.raises(ValueError):
         run.run()
     assert run.status == "FAILED" and run.history[-1]["status"] == "FAILED_ITERATION"
+
+
+# --- populations
+
+
+def test_children_are_scored_by_difference(spark, monkeypatch):
+    """Every member of every generation, after crossover and mutation, as if it were scored from nothing; and by less work."""
+    from quillpool.operators.vectorizer import row_terms
+    from quillpool.plans import genetic
+
+    rows = texts(spark, 60).cache()
+    terms, labels = row_terms(rows, 1, 2).cache(), rows.select("label").distinct()
+    asked, scored = [], genetic.GeneticOptimizer._scored
+
+    def both(self, genes, rows, line, labels, todo):
+        everyone = [r.individual_id for r in genes.select("individual_id").distinct().collect()]
+        near = lambda df: {r.individual_id: (round(r.accuracy, 9), round(r.macro_f1, 9)) for r in df.collect()}
+        assert near(line.fitness(rows, labels, everyone)) == near(genetic.fitness(genes, rows, terms, 1, 2, labels))
+        asked.append(line.changed)
+        return scored(self, genes, rows, line, labels, todo)
+
+    monkeypatch.setattr(genetic.GeneticOptimizer, "_scored", both)
+    search = genetic.GeneticOptimizer(size=10, population=4, generations=3, crossover_rate=0.8, mutation_rate=0.6, mutation_strength=2, elitism_rate=0.5, seed=3).run(rows)
+    assert asked == search.changed and all(n < asked[0] for n in asked[1:])
+
+
+def test_cost_follows_exchanged_genes(spark):
+    from quillpool.plans import genetic
+
+    rows = texts(spark, 60).cache()
+    genes = lambda *ids: spark.createDataFrame([(0, i) for i in ids], "individual_id int, row_id long")
+    line, counted = genetic.Lineage(rows, 1, 2), []
+    for own, parents in ((range(30), {}), (range(30), {0: 0}), ([*range(29), 31], {0: 0}), ([*range(20), *range(40, 50)], {0: 0}), (range(30), {})):
+        line.move(genes(*own), parents)
+        counted.append(line.changed)
+    assert counted[1] == 0 < counted[2] < counted[3] < counted[0] == counted[4]
+    assert line.scores.groupBy("row_id", "label").count().where("count > 1").isEmpty()
