@@ -1,7 +1,14 @@
 """URL filters: rules first, then logistic regression on hashed character n-grams of host and path.
 
 The model is trained on a small labelled table (`train_rows` at most, those that hash lowest, each seen `epochs` times)
-by stochastic gradient steps. Rules are inlined as an expression, longest first, so deciding a URL takes no join.
+by stochastic gradient steps. Rules are inlined as an expression, longest first, so deciding a URL takes no join. N-grams are
+taken of the characters and of their shape, in which runs of letters and of digits are one sign by kind and length, so that
+joined words, numbers and the form of a path count as well.
+
+What is labelled decides what is found. `labelled` reads a table, (url string, label int, 1 to block), or makes one from two
+lists of words where none is given; n-grams know the words of the table and what shares letters or shape with them, and no
+others. With a family of words left out of the made table, hosts of that family alone are found with recall 0 to 1, by how
+much they resemble the rest (see README and the test of it).
 
 Defined results: a null URL or one without "://" has empty host and path, so no rule fits and the model judges empty
 strings (by its intercept); repeated rows are judged each; a URL of any length is judged whole; an empty labelled table
@@ -11,6 +18,7 @@ gives a model that allows all; further columns are ignored; an empty table gives
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,11 +69,20 @@ def labelled_rows(seed: int = 17, blocked: list[str] = BLOCKED_WORDS, allowed: l
                 add(name, label)
     for _ in range(10 * len(allowed)):  # most hosts are names
         add(rng.choice((invented(), rng.choice(allowed) + invented(), invented() + invented())), 0)
+    for _ in range(4 * len(allowed)):  # and joined names are none the worse for it
+        add(rng.choice((f"{invented()}-{invented()}", f"{invented()}-{rng.choice(allowed)}")), 0)
     return out
 
 
-def labelled(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(labelled_rows(), "url string, label int")
+def labelled(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(url string, label int): a Parquet, CSV (with a header) or JSON-lines table, by the file's extension, else the made one."""
+    schema = "url string, label int"
+    if path is None:
+        return spark.createDataFrame(labelled_rows(), schema)
+    kind = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet"}.get(path.rstrip("/").rsplit(".", 1)[-1].lower())
+    if kind is None:
+        raise ValueError("a labelled table is a .parquet, .csv, .json or .jsonl file")
+    return spark.read.format(kind).schema(schema).option("header", True).option("escape", '"').load(path)
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -110,6 +127,28 @@ def grams(texts: list[str], low: int, high: int, bits: int) -> tuple[np.ndarray,
     return slots[order], np.bincount(owners, minlength=len(texts))
 
 
+RUNS = re.compile(r"([A-Za-z]+)|([0-9]+)|([^\x00-\x7f]+)")
+
+
+def shape(text: str) -> str:
+    """text with each run of letters, digits or other than ASCII as one sign, and how long it is, roughly."""
+
+    def sign(m: re.Match) -> str:
+        n = len(m[0])
+        return ("a" if m[1] else "0" if m[2] else "u") + ("" if n == 1 else "2" if n <= 3 else "5" if n <= 6 else "9" if n <= 10 else "+")
+
+    return RUNS.sub(sign, text)
+
+
+def features(texts: list[str], low: int, high: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each text's n-grams and of its shape's, as pairs (text's place, slot), different and in order."""
+    slots, n = grams(texts, low, high, bits)
+    other, m = grams([shape(t) for t in texts], low, high + 1, bits)
+    owner = np.concatenate([np.repeat(np.arange(len(texts)), n), np.repeat(np.arange(len(texts)), m)])
+    pairs = np.unique((owner << bits) + np.concatenate([slots, other ^ (0x5A5A & ((1 << bits) - 1))]))
+    return pairs >> bits, pairs & ((1 << bits) - 1)
+
+
 def _parts(hosts: list[str], paths: list[str]) -> list[str]:
     return [f"^{h}$|{p}" if h or p else "" for h, p in zip(hosts, paths)]
 
@@ -120,9 +159,9 @@ def train(table: DataFrame, bits: int = 16, low: int = 3, high: int = 5, train_r
     rows = table.where("url is not null and label is not null").select(host.alias("host"), path.alias("path"), F.col("label").cast("int").alias("label"), F.xxhash64("url").alias("key"))
     got = rows.orderBy("key", "label", "host", "path").limit(train_rows).collect()  # bounded by train_rows
     w = np.zeros((1 << bits) + 1)
-    slots, n = grams(_parts([r.host for r in got], [r.path for r in got]), low, high, bits)
-    ends = np.cumsum(n)
-    data = [(np.unique(slots[e - k : e]), r.label) for e, k, r in zip(ends, n, got) if k]
+    owner, slots = features(_parts([r.host for r in got], [r.path for r in got]), low, high, bits)
+    n = np.bincount(owner, minlength=len(got))
+    data = [(slots[e - k : e], r.label) for e, k, r in zip(np.cumsum(n), n, got) if k]
     rng = np.random.default_rng(5)
     for epoch in range(epochs):
         for i in rng.permutation(len(data)):
@@ -147,10 +186,7 @@ def score(rows: DataFrame, weights: np.ndarray, bits: int = 16, low: int = 3, hi
             hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
             for at in range(0, len(todo), 2000):
                 part = todo[at : at + 2000]
-                slots, n = grams(_parts([hosts[i] for i in part], [paths[i] for i in part]), low, high, bits)
-                owner = np.repeat(np.arange(len(part)), n)
-                pairs = np.unique(owner * (1 << bits) + slots)
-                owner, slots = pairs >> bits, pairs & ((1 << bits) - 1)
+                owner, slots = features(_parts([hosts[i] for i in part], [paths[i] for i in part]), low, high, bits)
                 kinds = np.maximum(np.bincount(owner, minlength=len(part)), 1)
                 z = np.bincount(owner, w[slots], len(part)) / np.sqrt(kinds) + w[-1]
                 out[part] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
