@@ -17,7 +17,7 @@ from ..functions.draws import draw
 from ..operators import cache, coldstart, evaluate, models, pool, prepare, select
 from ..operators.vectorizer import ProductVectorizer, class_counted, counted, document_frequency, idf, row_terms, weighted
 from ..session import cut, shared_dir, spread, table
-from ..sources import commitlog, excel, tables
+from ..sources import commitlog, tables, workbooks
 from . import config, curves, genetic, history, learner, oracle
 from . import sqltext as S
 
@@ -80,7 +80,7 @@ def src_csv(spark, d):
 @query("SELECT p_brand AS label, count(*) AS n_rows, count(DISTINCT p_name) AS n_names, sum(p_size)::BIGINT AS sum_size, round(sum(p_retailprice), 2) AS sum_price FROM part GROUP BY ALL")
 def src_excel(spark, d):
     path = f"{shared_dir(spark)}/items-{uuid.uuid4().hex}.xlsx"
-    excel.write_excel(table(spark, d, "part").select("p_name", "p_brand", "p_size", "p_retailprice"), path)
+    workbooks.write_workbooks(table(spark, d, "part").select("p_name", "p_brand", "p_size", "p_retailprice").repartition(4), path)
     rows = tables.read_labeled(spark, path, "p_name", "p_brand")
     return rows.groupBy(F.col("p_brand").alias("label")).agg(F.count("*").alias("n_rows"), F.count_distinct("p_name").alias("n_names"), F.sum("p_size").alias("sum_size"), F.round(F.sum("p_retailprice"), 2).alias("sum_price"))
 

@@ -23,6 +23,7 @@ MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 MOST_ROWS = 1_048_576
+LIST = "committed.json"  # in a folder: the names of the workbooks that count
 
 
 def _texts(node: ET.Element) -> str:
@@ -80,8 +81,12 @@ def _table(data: bytes, sheet: int | str) -> tuple[dict[int, str], Iterator[dict
 
 
 def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
-    """A sheet, by its place or name."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """A sheet, by its place or name, of a workbook, or of all in a folder; columns meet by name, and are null where a workbook has none."""
+    where: str | list[str] = path
+    listed = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{LIST}")
+    if listed.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(listed):
+        where = [f"{path}/{name}" for name in json.loads(spark.read.option("wholetext", True).text(f"{path}/{LIST}").first().value)]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(where).select("content")
 
     def kinds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -92,19 +97,23 @@ def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFram
                     for k, v in r.items():
                         if v is not None and k in seen:
                             seen[k].add(type(v).__name__)
-                yield pd.DataFrame({"found": [json.dumps([[name, sorted(seen[k])] for k, name in sorted(header.items())])]})
+                yield pd.DataFrame([(k, name, kind) for k, name in header.items() for kind in seen[k] or [None]], columns=["place", "name", "kind"])
 
-    spark_kind = lambda s: "BIGINT" if s == ["int"] else "DOUBLE" if s and set(s) <= {"int", "float"} else "BOOLEAN" if s == ["bool"] else "STRING"
-    found = json.loads(files.mapInPandas(kinds, "found string").first().found)  # a line for each column
-    columns = [(name, spark_kind(s)) for name, s in found]
+    found: dict[str, tuple[int, set]] = {}
+    for r in files.mapInPandas(kinds, "place int, name string, kind string").distinct().collect():  # a few rows for each column
+        place, seen = found.get(r.name, (r.place, set()))
+        found[r.name] = (min(place, r.place), seen | ({r.kind} - {None}))
+    spark_kind = lambda s: "BIGINT" if s == {"int"} else "DOUBLE" if s and s <= {"int", "float"} else "BOOLEAN" if s == {"bool"} else "STRING"
+    columns = [(name, spark_kind(s)) for name, (_, s) in sorted(found.items(), key=lambda x: (x[1][0], x[0]))]
 
     def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for data in frame["content"]:
                 header, rows = _table(data, sheet)
-                places, held = sorted(header), []
+                at = {name: k for k, name in sorted(header.items(), reverse=True)}
+                held = []
                 for r in rows:
-                    held.append([r.get(k) for k in places])
+                    held.append([r.get(at[n]) if n in at else None for n, _ in columns])
                     if len(held) == 10_000:
                         yield _frame(held, columns)
                         held = []

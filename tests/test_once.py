@@ -231,3 +231,30 @@ def test_cost_follows_exchanged_genes(spark):
         counted.append(line.changed)
     assert counted[1] == 0 < counted[2] < counted[3] < counted[0] == counted[4]
     assert line.scores.groupBy("row_id", "label").count().where("count > 1").isEmpty()
+
+
+# --- workbooks
+
+
+def test_workbooks_of_all_partitions(spark, tmp_path):
+    """More rows than a workbook holds here, from several partitions; tasks write them, and a failed job leaves no row."""
+    from quillpool.sources import excel, tables, workbooks
+
+    folder = str(tmp_path / "books.xlsx")
+    rows = spark.range(530, numPartitions=4).select(F.concat(F.lit("name <"), "id").alias("name"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("n"), (F.col("id") / 4).alias("x"), (F.col("id") % 2 == 0).alias("even"))
+    workbooks.write_workbooks(rows, folder, "data", sheet_rows=60)
+    files = [f for f in (tmp_path / "books.xlsx").iterdir() if f.name.endswith(".xlsx")]
+    assert len(files) == 12  # 132 or 133 rows a partition: three each
+    read = lambda: sorted(str(tuple(r)) for r in tables.read_labeled(spark, folder, "name", "n", sheet="data").collect())
+    want = sorted(map(str, (tuple(r) for r in rows.collect())))
+    assert read() == want
+    broken = rows.withColumn("n", F.when(F.col("name") < "name <5", F.col("n")).otherwise(F.raise_error(F.lit("lost")).cast("long")))
+    with pytest.raises(Exception):  # noqa: B017
+        workbooks.write_workbooks(broken, folder, "data", sheet_rows=20)
+    assert read() == want
+    workbooks.write_workbooks(rows.limit(3).withColumn("more", F.lit("m")), folder, "data")
+    assert len(read()) == 533 and excel.read_excel(spark, folder, "data").where("more = 'm'").count() == 3
+    workbooks.write_workbooks(rows.limit(0), folder, "data", mode="overwrite")
+    assert excel.read_excel(spark, folder).count() == 0 and excel.read_excel(spark, folder).columns == ["name", "n", "x", "even"]
+    with pytest.raises(Exception, match="a sheet holds"):
+        workbooks.write_workbooks(rows, str(tmp_path / "other"), sheet_rows=2_000_000)
