@@ -174,19 +174,26 @@ def crossover(pairs: DataFrame, seed=42) -> DataFrame:
 def mutation(genes: DataFrame, rows: DataFrame, strength: int, seed=42) -> DataFrame:
     """genes with the `strength` positions drawn replaced by rows outside the individual, drawn too.
 
-    Of the rows in an individual's drawing order the first `strength` outside it are among the first `strength` plus its
-    size; a task passes on no more than those, then the individual's own are dropped.
+    An individual's rows come in the order of their draws, which are even: those outside it that it wants have draws below
+    some share. A task keeps only rows below it; the share grows until all individuals have enough.
     """
     by = Window.partitionBy("individual_id")
     marked = genes.withColumn("k", F.row_number().over(by.orderBy(draw(seed, F.col("individual_id"), F.lit("p"), F.col("gene_pos")), "gene_pos")))
-    sizes = genes.groupBy("individual_id").agg(F.count("*").alias("size"))
-    most = sizes.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]  # the same for all
-    ids = sizes.agg(F.collect_list("individual_id").alias("ids"))  # one row
-    each = rows.select("row_id").join(F.broadcast(ids), F.lit(True)).select("row_id", F.explode("ids").alias("individual_id"))
-    drawn = by.orderBy(draw(seed, F.col("individual_id"), F.lit("r"), F.col("row_id")), "row_id")
-    first = each.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= strength + most)
-    outside = first.join(genes.select("individual_id", "row_id"), ["individual_id", "row_id"], "left_anti")
-    fresh = outside.withColumn("k", F.row_number().over(by.orderBy("place"))).where(F.col("k") <= strength).drop("place")
+    sizes = [(r.individual_id, r["count"]) for r in genes.groupBy("individual_id").count().collect()]  # a row for each individual
+    n, most = rows.count(), max((c for _, c in sizes), default=0)
+    ids = F.array(*[F.lit(i) for i, _ in sizes]) if sizes else F.array().cast("array<int>")
+    share = min(1.0, (2 * strength + 50) / max(1, n - most))
+    while True:
+        key = draw(seed, F.col("individual_id"), F.lit("r"), F.col("row_id"))
+        each = rows.select("row_id", F.explode(ids).alias("individual_id")).withColumn("d", key)
+        if share < 1:
+            each = each.where(F.col("d") < F.lit(f"{int(share * (1 << 32)):08x}"))
+        outside = cut(each.join(genes.select("individual_id", "row_id"), ["individual_id", "row_id"], "left_anti"))
+        found = {r.individual_id: r["count"] for r in outside.groupBy("individual_id").count().collect()}
+        if share >= 1 or all(found.get(i, 0) >= strength for i, _ in sizes):
+            break
+        share = min(1.0, 4 * share)
+    fresh = outside.withColumn("k", F.row_number().over(by.orderBy("d", "row_id"))).where(F.col("k") <= strength).drop("d")
     out = marked.join(fresh.withColumnRenamed("row_id", "new"), ["individual_id", "k"], "left")
     return out.select("individual_id", "gene_pos", F.when(F.col("k") <= strength, F.coalesce("new", "row_id")).otherwise(F.col("row_id")).alias("row_id"))
 

@@ -67,3 +67,38 @@ def test_entry(spark):
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 1
+
+
+def test_models_are_plain(spark):
+    """Queries without SQL, over the whole table, against numpy."""
+    import numpy as np
+
+    from quillpool.operators.coldstart import medoids
+
+    from .test_exact import plain_squared_hinge
+
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").collect()
+    x, ids, y = np.array([r.embedding for r in rows], float), [r.vec_id for r in rows], np.array([str(r.label) for r in rows])
+    assert [r.row_id for r in QUERIES["cold_kmedoids"](spark, DATA).orderBy("rank").collect()] == [ids[i] for i in medoids(x, 10)]
+    labels, wider = sorted(set(y)), np.c_[x, np.ones(len(x))]
+    w = np.array([plain_squared_hinge(wider, np.where(y == v, 1.0, -1.0), 1.0, np.ones(len(x))) for v in labels])
+
+    def share(name, z, gap):
+        """Of rows whose two best scores differ by more, the share predicted as by scores z."""
+        ordered, got = np.sort(z, 1), {r.row_id: r.predicted for r in QUERIES[name](spark, DATA).collect()}
+        sure = ordered[:, -1] - ordered[:, -2] > gap
+        assert sure.mean() > 0.5
+        return np.mean([got[i] == labels[k] for i, k, s in zip(ids, np.argmax(z, 1), sure) if s])
+
+    assert share("lsvc_predict", wider @ w.T, 1e-3) == 1.0
+    beta, goal = np.zeros((len(labels), wider.shape[1])), (y[:, None] == np.array(labels)).astype(float)
+    step = 1 / (0.5 * np.linalg.norm(wider, 2) ** 2 + 1)
+    for _ in range(20_000):  # plain descent of the summed multinomial loss; the intercept is free
+        p = np.exp(wider @ beta.T)
+        slope = (p / p.sum(1, keepdims=True) - goal).T @ wider
+        slope[:, :-1] += beta[:, :-1]
+        beta -= step * slope
+    assert share("lr_predict", wider @ beta.T, 0.02) > 0.99
+    for name in ("sgd_predict", "sgd_log_predict"):
+        got = {r.row_id: r.predicted for r in QUERIES[name](spark, DATA).collect()}
+        assert np.mean([got[i] == v for i, v in zip(ids, y)]) > 0.2  # of ten labels that vectors hardly tell apart
