@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.draws import draw
-from ..operators import cache, coldstart, evaluate, models, pool, prepare, select
+from ..operators import cache, coldstart, evaluate, matrix, models, pool, prepare, select
 from ..operators.vectorizer import ProductVectorizer, class_counted, counted, document_frequency, idf, row_terms, weighted
 from ..session import cut, shared_dir, spread, table
 from ..sources import commitlog, tables, workbooks
@@ -357,6 +357,17 @@ def pv_score(spark, d):
     return rounded(model.products(model.query_terms(docs(spark, d))), "score")
 
 
+@query(PV + "SELECT row_id, label, score FROM m_s")
+def score_matrix(spark, d):
+    """The same as a product of sparse matrices: documents by terms, and terms by classes."""
+    model, rows = profile(spark, d), docs(spark, d)
+    a = model.query_terms(rows).select(F.col("row_id").alias("row"), F.col("term").alias("column"), F.col("weight").alias("value"))
+    b = model.class_terms.select(F.col("term").alias("row"), F.col("label").alias("column"), F.col("weight").alias("value"))
+    right = matrix.BlockMatrix.of(b)
+    scores = matrix.BlockMatrix.of(a, columns=right.rows).product(right).entries()
+    return rounded(scores.select(F.col("row").alias("row_id"), F.col("column").alias("label"), F.col("value").alias("score")), "score")
+
+
 @query(PV + "SELECT row_id, predicted FROM m_p")
 def pv_predict(spark, d):
     return profile(spark, d).predict(docs(spark, d))
