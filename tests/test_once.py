@@ -258,3 +258,29 @@ def test_workbooks_of_all_partitions(spark, tmp_path):
     assert excel.read_excel(spark, folder).count() == 0 and excel.read_excel(spark, folder).columns == ["name", "n", "x", "even"]
     with pytest.raises(Exception, match="a sheet holds"):
         workbooks.write_workbooks(rows, str(tmp_path / "other"), sheet_rows=2_000_000)
+
+
+# --- classes
+
+
+def test_most_of_many_classes_are_never_scored(spark):
+    """5,000 classes: the two best of each row, and predictions, as from the whole score matrix; with far fewer scores made."""
+    rng = np.random.default_rng(7)
+    common = [f"c{i}" for i in range(30)]
+    own = lambda c: [f"w{c // 8}x{i}" for i in range(4)] + [f"v{c}y{i}" for i in range(6)]  # noqa: E731  eight classes share some words
+    text = lambda c: " ".join([*rng.choice(own(c), 6), *rng.choice(common, 6)])
+    train = spark.createDataFrame([(c, " ".join([*own(c), *rng.permutation(common)[:24]]), f"k{c:04}") for c in range(5_000)], "row_id long, text string, label string")
+    rows = spark.createDataFrame([(i, text(int(rng.integers(0, 5_000)))) for i in range(150)] + [(900, "nothing known"), (901, ""), (902, "c1")], "row_id long, text string").cache()
+    model = ProductVectorizer(method="tfidfscikit", query="binary").fit(train)
+    terms = model.query_terms(rows).cache()
+    whole = model.products(terms).withColumn("score", F.round("score", 9)).cache()
+    want = {}
+    for r in whole.collect():
+        want.setdefault(r.row_id, []).append((-r.score, r.label))
+    found = model.best(terms, 2)
+    got = {}
+    for r in found.rows.orderBy("row_id", "rank").collect():
+        got.setdefault(r.row_id, []).append((-r.score, r.label))
+    assert got == {i: sorted(v)[:2] for i, v in want.items()}
+    assert found.scores.count() < whole.count() / 5
+    assert {r.row_id: r.predicted for r in model.predict(rows).collect()} == {r.row_id: (sorted(want[r.row_id])[0][1] if r.row_id in want else "k0000") for r in rows.collect()}
