@@ -208,6 +208,7 @@ def _losses(loss: str) -> tuple[Callable, Callable]:
     raise ValueError(f"unknown loss {loss!r}; known: hinge, log_loss, modified_huber, squared_hinge")
 
 
+FAR = 1e6  # times the loss of no coefficients at all: nothing is learnt any more
 LOSSES = ("hinge", "log_loss", "modified_huber", "squared_hinge")
 
 
@@ -233,16 +234,21 @@ class Schedule:
 
 
 def epoch(w: np.ndarray, blocks, weight: np.ndarray, loss: str, rate: Schedule, t: int, alpha: float, l1_share: float, batch: int, intercept: bool):
-    """(w, mean of w over the steps, steps, rows, summed loss) after one shard's batches, in order; w: classes x (dimensions + 1)."""
+    """(w, mean of w over the steps, steps, rows, each class's summed loss) after one shard's batches, in order; w: classes x (dimensions + 1)."""
     value, slope = _losses(loss)
-    w, mean, steps, rows, total = w.copy(), np.zeros_like(w), 0, 0, 0.0
+    with np.errstate(over="ignore", invalid="ignore"):  # the caller looks at what comes out
+        return _stepped(w, blocks, weight, value, slope, rate, t, alpha, l1_share, batch, intercept)
+
+
+def _stepped(w, blocks, weight, value, slope, rate, t, alpha, l1_share, batch, intercept):
+    w, mean, steps, rows, total = w.copy(), np.zeros_like(w), 0, 0, np.zeros(len(w))
     for x, y in blocks:
         for at in range(0, len(x), batch):
             some, of = x[at : at + batch], y[at : at + batch]
             sign = np.where(np.arange(len(w)) == of[:, None], 1.0, -1.0)
             z = sign * (some @ w[:, :-1].T + w[:, -1])
             c = weight[of][:, None]
-            total += float((c * value(z)).sum())
+            total += (c * value(z)).sum(0)
             g = c * sign * slope(z) / len(some)
             eta = rate(t + steps + 1)
             w[:, :-1] *= max(0.0, 1 - eta * alpha * (1 - l1_share))
@@ -263,12 +269,12 @@ def descend(
     """(coefficients with the intercept last, epochs, whether the loss came to rest).
 
     In an epoch every shard descends by itself from the same coefficients; the next ones are the shards' mean, weighted by
-    their rows. It ends where the loss of an epoch has not fallen by `tol` for `patience` epochs on end (an adaptive rate is
-    divided by 5 first, down to a millionth). per_epoch: by how many steps an epoch moves the schedule on. average: the
+    their rows. It ends where no class's mean loss of an epoch has fallen by `tol` for `patience` epochs on end (an adaptive
+    rate is divided by 5 first, down to a millionth). per_epoch: by how many steps an epoch moves the schedule on. average: the
     result is the mean over all steps.
     """
     rate = rate or Schedule("optimal", alpha, 0.0, 0.5, loss)
-    w, mean, seen, best, waited, divided = np.zeros((classes, dimensions + 1)), np.zeros((classes, dimensions + 1)), 0, np.inf, 0, 1.0
+    w, mean, seen, best, waited, divided = np.zeros((classes, dimensions + 1)), np.zeros((classes, dimensions + 1)), 0, np.full(classes, np.inf), 0, 1.0
 
     for k in range(max_iter):
         sent = blocks.sparkSession.sparkContext.broadcast((w, k, divided))
@@ -277,13 +283,13 @@ def descend(
             start, k, divided = sent.value
             slower = lambda t: rate(t) / divided
             state: dict = {}
-            out = np.zeros(2 * start.size + 2)
+            out = np.zeros(2 * start.size + 1 + classes)
             for frame in frames:
                 for shard, x, y in unpacked(frame):
                     # a shard's blocks follow one another, so only one shard's coefficients are held
                     if shard not in state:
                         _close(state, out)
-                        state[shard] = [start, np.zeros_like(start), 0, 0, 0.0]
+                        state[shard] = [start, np.zeros_like(start), 0, 0, np.zeros(classes)]
                     now, average, steps, rows, total = state[shard]
                     now, m, s, n, more = epoch(now, [(x, y)], weight, loss, slower, k * per_epoch + steps, alpha, l1_share, batch, intercept)
                     state[shard] = [now, (average * steps + m * s) / (steps + s), steps + s, rows + n, total + more]
@@ -292,12 +298,14 @@ def descend(
 
         out = total_of(blocks.mapInPandas(run, "sums array<double>"))
         sent.unpersist()
-        rows = max(out[-2], 1.0)
-        w, stepped = (out[: w.size] / rows).reshape(w.shape), (out[w.size : -2] / rows).reshape(w.shape)
+        size = w.size
+        rows, now = max(out[2 * size], 1.0), out[2 * size + 1 :]
+        w, stepped, now = (out[:size] / rows).reshape(w.shape), (out[size : 2 * size] / rows).reshape(w.shape), now / rows
+        if not np.isfinite(w).all() or now.max() > FAR * float(_losses(loss)[0](np.array(0.0))) * max(1.0, weight.max()):
+            raise ValueError("descent diverged: scale the vectors, or choose a shorter step, a greater alpha or another loss")
         mean, seen = (mean * seen + stepped) / (seen + 1), seen + 1
-        now = out[-1] / (rows * classes)
-        waited = waited + 1 if tol is not None and now > best - tol else 0
-        best = min(best, now)
+        waited = waited + 1 if tol is not None and (now > best - tol).all() else 0
+        best = np.minimum(best, now)
         if waited >= patience:
             if rate.kind == "adaptive" and rate.eta0 / divided > 1e-6:
                 divided, waited = divided * 5, 0
@@ -310,6 +318,6 @@ def _close(state: dict, out: np.ndarray) -> None:
     for w, mean, _, rows, total in state.values():
         out[: w.size] += rows * w.reshape(-1)
         out[w.size : 2 * w.size] += rows * mean.reshape(-1)
-        out[-2] += rows
-        out[-1] += total
+        out[2 * w.size] += rows
+        out[2 * w.size + 1 :] += total
     state.clear()

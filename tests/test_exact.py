@@ -182,9 +182,10 @@ def test_descent_comes_near_the_minimum(spark):
     accuracy = lambda m: evaluate.accuracy(evaluate.paired(test, m.predict(test))).first().accuracy
     best = accuracy(models.get_model({"type": "LR"}).fit(train))
     for loss in linear.LOSSES:
-        model = models.get_model({"type": "SGD", "params": {"loss": loss, "alpha": 0.001}}).fit(train)
+        params = {"loss": loss, "alpha": 0.001} | ({"learning_rate": "invscaling", "eta0": 0.01} if loss == "squared_hinge" else {})
+        model = models.get_model({"type": "SGD", "params": params}).fit(train)
         assert model.converged and accuracy(model) > best - 0.03
-    again = models.get_model({"type": "SGD", "params": {"loss": loss, "alpha": 0.001}}).fit(train.repartition(3))
+    again = models.get_model({"type": "SGD", "params": params}).fit(train.repartition(3))
     assert np.allclose(again.coef, model.coef)
     slow = models.get_model({"type": "SGD", "params": {"learning_rate": "adaptive", "eta0": 0.05, "shard_rows": 300}}).fit(train)
     assert slow.converged and accuracy(slow) > best - 0.03
@@ -192,6 +193,13 @@ def test_descent_comes_near_the_minimum(spark):
     assert (sparse.coef == 0).any()
 
 
+def test_divergence_is_told(spark):
+    """Middle of three classes on a line, steps far too long for a loss that grows with the square: no numbers come out, and it says so."""
+    rows = spark.createDataFrame([(i, [3.0 * (i % 3), -2.0 * (i % 3)], "xyz"[i % 3]) for i in range(90)], "row_id long, vec array<double>, label string")
+    with pytest.raises(ValueError, match="diverged"):
+        models.get_model({"type": "SGD", "params": {"loss": "squared_hinge", "learning_rate": "constant", "eta0": 5.0}}).fit(rows)
+
+
 def test_probabilities_of_descent(spark):
     _, _, rows = labelled(spark, n=150)
     for loss in ("log_loss", "modified_huber"):

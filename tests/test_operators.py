@@ -255,7 +255,7 @@ def test_loop_degraded(spark):
 
 def test_feature_models(spark):
     rng = np.random.default_rng(3)
-    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal([3 * (i % 3), -2 * (i % 3)], 0.3)], "xyz"[i % 3]) for i in range(90)], "row_id long, vec array<double>, label string")
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal([6 * (i % 3), -6 * (i * i % 3)], 0.3)], "xyz"[i % 3]) for i in range(90)], "row_id long, vec array<double>, label string")
     for code, params in (("GNB", {}), ("LR", {}), ("LSVC", {"max_iter": 10}), ("SGD", {}), ("SGD", {"loss": "log_loss"})):
         model = models.get_model({"type": code, "params": params}).fit(rows)
         assert evaluate.accuracy(evaluate.paired(rows, model.predict(rows))).first().accuracy > 0.9
