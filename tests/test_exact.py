@@ -205,9 +205,9 @@ def test_probabilities_of_descent(spark):
     for loss in ("log_loss", "modified_huber"):
         got = models.get_model({"type": "SGD", "params": {"loss": loss}}).fit(rows).scored(rows).collect()
         assert all(abs(sum(r.probas) - 1) < 1e-9 and min(r.probas) >= 0 for r in got)
-    for loss in ("hinge", "squared_hinge"):
+    for params in ({}, {"loss": "squared_hinge", "learning_rate": "invscaling", "eta0": 0.01}):
         with pytest.raises(models.NoProbabilities):
-            models.get_model({"type": "SGD", "params": {"loss": loss}}).fit(rows).scored(rows)
+            models.get_model({"type": "SGD", "params": params}).fit(rows).scored(rows)
 
 
 def test_blocks_are_packed_whole(spark, monkeypatch):
