@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw
 from ..functions.text import normal_label
+from ..session import few
 
 
 def drop_null(df: DataFrame, *columns: str) -> DataFrame:
@@ -18,7 +19,7 @@ def rare_grouped(df: DataFrame, label: str, least: int | None, name: str = "_RAR
     if least is None or least <= 1:
         return df
     counts = df.groupBy(label).count().where(F.col("count") < least).select(F.col(label).alias("__rare"))
-    joined = df.join(counts, F.col(label) == F.col("__rare"), "left")
+    joined = df.join(few(counts), F.col(label) == F.col("__rare"), "left")
     return joined.withColumn(label, F.when(F.col("__rare").isNotNull(), F.lit(name)).otherwise(F.col(label))).drop("__rare")
 
 
@@ -31,14 +32,14 @@ def label_ids(df: DataFrame, label: str, row_id: str, first_seen: bool = True) -
 
 def encoded(df: DataFrame, ids: DataFrame, label: str, unknown: int | None = None) -> DataFrame:
     """df with label_id. Rows of an unknown label get `unknown`, or stop the job where that is None."""
-    out = df.join(ids.select(F.col("label").alias("__l"), F.col("label_id")), F.col(label) == F.col("__l"), "left").drop("__l")
+    out = df.join(few(ids.select(F.col("label").alias("__l"), F.col("label_id"))), F.col(label) == F.col("__l"), "left").drop("__l")
     missing = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col(label).cast("string"), F.lit("null")))).cast("int") if unknown is None else F.lit(unknown)
     return out.withColumn("label_id", F.coalesce("label_id", missing))
 
 
 def decoded(df: DataFrame, ids: DataFrame) -> DataFrame:
     """df with the label of its label_id; null where it has none."""
-    return df.join(ids, "label_id", "left")
+    return df.join(few(ids), "label_id", "left")
 
 
 def quotas(counts: DataFrame, share: float) -> DataFrame:
@@ -71,7 +72,7 @@ def ranked(df: DataFrame, by: list[str], row_id: str, seed) -> DataFrame:
 def stratified(df: DataFrame, label: str, row_id: str, share: float, seed) -> DataFrame:
     """df with boolean `held`: ceil(share * n) rows, spread over the classes; never fails, however small a class is."""
     wanted = quotas(df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")), share)
-    wanted = wanted.select(F.col("label").alias("__l"), "quota")
+    wanted = few(wanted.select(F.col("label").alias("__l"), "quota"))
     out = ranked(df, [label], row_id, seed).join(wanted, F.col(label).eqNullSafe(F.col("__l")))
     return out.withColumn("held", F.col("rank") <= F.col("quota")).drop("__l", "quota", "rank")
 

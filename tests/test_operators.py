@@ -551,3 +551,22 @@ def test_excel(spark, tmp_path):
     assert got.columns == ["a", "b c", "d"] and sorted(map(tuple, got.collect()), key=str) == [("b c", None, "xy"), (None, None, "2")]
     excel.write_excel(df.limit(0), str(tmp_path / "e.xlsx"))
     assert excel.read_excel(spark, str(tmp_path / "e.xlsx")).count() == 0
+
+
+def test_rows_of_a_class_are_not_gathered(spark):
+    """Rows meet a table of classes where they are: no join deals them out by label alone."""
+    from quillpool.operators import prepare
+    from quillpool.plans import genetic
+
+    rows = texts(spark).unionByName(spark.createDataFrame([(1000, "rare", "once")], "row_id long, text string, label string"))
+    grouped = genetic.dataset(rows, "text", "label", "row_id", 2, rows.select("label").distinct().unionByName(spark.createDataFrame([("_RARE_GROUP_",)], "label string")))
+    ids = prepare.label_ids(rows, "label", "row_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (grouped, prepare.encoded(rows, ids, "label"), prepare.decoded(prepare.encoded(rows, ids, "label").drop("label"), ids), prepare.stratified(rows, "label", "row_id", 0.3, 1)):
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and "prefix" not in x], plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r.label for r in grouped.where("row_id = 1000").collect()] == ["_RARE_GROUP_"] and grouped.count() == rows.count()
