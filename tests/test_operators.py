@@ -570,3 +570,14 @@ def test_rows_of_a_class_are_not_gathered(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [r.label for r in grouped.where("row_id = 1000").collect()] == ["_RARE_GROUP_"] and grouped.count() == rows.count()
+
+
+def test_terms_of_rows_are_not_shuffled(spark):
+    """Texts are dealt out by row, then their terms counted in place; two rows of one id are one."""
+    from quillpool.operators.vectorizer import counted
+
+    rows = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, "a"), (3, None)], "row_id long, text string")
+    out = counted(rows, 1, 2).groupBy("row_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    assert sorted(map(tuple, out.collect())) == [(1, 6, 8), (2, 1, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Exchange" in plan and "term" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
