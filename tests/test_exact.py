@@ -71,6 +71,25 @@ def test_medoids_beyond_one_matrix(spark):
     assert len(counted) > 2 and min(counted[1:]) < 4_200  # a swap takes up only rows whose medoids changed
 
 
+def test_rows_do_not_pass_the_driver(spark, monkeypatch):
+    """Pairs meet in tasks: neither totals nor swaps send rows out from the driver."""
+    monkeypatch.setattr(medoids, "blocks", None)
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(40, 3)) + 4])
+    rows = table(spark, points)
+    first = [(r.row_id, points[r.row_id].tolist()) for r in medoids.least_totals(rows, 2, block=30).rows.orderBy("total", "row_id").collect()]
+    assert [i for i, _ in first] == np.argsort(totals(points), kind="stable")[:2].tolist()
+    assert sorted(i for i, _ in medoids.swapped(rows, first, block=30)[0]) == coldstart.medoids(points, 2).tolist()
+
+
+def test_quick_distances_keep_to_their_error():
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(size=(300, 8)) + 1e4, np.full((5, 8), 1e4), 1e4 + 1e-7 * rng.normal(size=(5, 8))])
+    quick = medoids.Quick(points.mean(0), float(np.linalg.norm(points - points.mean(0), axis=1).max()))
+    off = quick.distances(points, points, quick.ready(points), quick.ready(points, True)) - medoids.distances(points, points)
+    assert np.abs(off).max() <= quick.error < 1e-7
+
+
 # --- linear models
 
 
