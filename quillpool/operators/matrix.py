@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+SIZE = 2_048  # keys of a block
 BLOCK = "i int, j int, n int, m int, starts array<int>, places array<int>, values array<double>"
 
 
 def indexed(keys: DataFrame, size: int) -> DataFrame:
     """(key, block, place) of the different keys (key): about `size` to a block."""
-    keys = keys.select("key").distinct()
+    keys = cut(keys.select("key").distinct())  # counted, then placed: made once
     blocks = max(1, -(-keys.count() // size))
     placed = keys.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     return cut(placed.withColumn("place", (F.row_number().over(Window.partitionBy("block").orderBy("key")) - 1).cast("int")))
@@ -80,7 +81,7 @@ class BlockMatrix:
     blocks: DataFrame
 
     @staticmethod
-    def of(entries: DataFrame, rows: DataFrame | None = None, columns: DataFrame | None = None, size: int = 2_048) -> BlockMatrix:
+    def of(entries: DataFrame, rows: DataFrame | None = None, columns: DataFrame | None = None, size: int = SIZE) -> BlockMatrix:
         """From (row, column, value); entries of one place are added. rows, columns: an index to share with other matrices."""
         rows = indexed(entries.select(F.col("row").alias("key")), size) if rows is None else rows
         columns = indexed(entries.select(F.col("column").alias("key")), size) if columns is None else columns
