@@ -90,6 +90,51 @@ def test_quick_distances_keep_to_their_error():
     assert np.abs(off).max() <= quick.error < 1e-7
 
 
+@pytest.mark.parametrize("kind", ["sphere", "copies", "far"])
+@pytest.mark.parametrize("k", [1, 4])
+def test_sums_of_swaps_keep_to_their_error(kind, k):
+    """In single precision, over several swaps: never off by more than the error that goes with them, which stays small."""
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(700, 16))
+    if kind == "sphere":
+        points /= np.linalg.norm(points, axis=1)[:, None]
+    if kind == "copies":
+        points[100:400] = points[100]
+    if kind == "far":
+        points = points + np.repeat([[1e4] * 16, [1e4 + 5] * 16], [400, 300], 0)
+    centre = points.mean(0)
+    radius = float(np.linalg.norm(points - centre, axis=1).max())
+    chosen, before = points[:k], None
+    sums, z = medoids.Sums(points, centre, radius, k), (points - centre).astype(np.float32)
+    for step in range(4):
+        state = medoids.states(points, chosen, 4 * radius)
+        old = np.stack([np.zeros(700), np.zeros(700), state[:, 2]], 1) if before is None else before
+        moved = (old != state).any(1)
+        sums.add(z[moved], np.concatenate([old, state], 1)[moved])
+        order = np.argsort(state[:, 2], kind="stable")
+        want = medoids.shares(medoids.distances(points, points[order]), *state[order].T, k)
+        assert (np.abs(sums.sums - want) <= sums.errors).all()
+        assert np.median(sums.errors) < 2e-4 * radius * 700 * (step + 1)
+        before, chosen = state, np.concatenate([chosen[:-1], points[[600 - 20 * step]]])
+
+
+@pytest.mark.parametrize("few", [0, 1_024])
+def test_swaps_leave_few_candidates_open(spark, monkeypatch, few):
+    """No structure, many dimensions: swaps as in plain partitioning, and only a small share of candidates is summed again."""
+    points = np.random.default_rng(9).normal(size=(1_500, 32))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    points[700:720] = points[3]
+    rows = table(spark, points)
+    first = [(r.row_id, points[r.row_id].tolist()) for r in medoids.least_totals(rows, 4).rows.orderBy("total", "row_id").collect()]
+    summed, kept = [], {name: getattr(medoids, name) for name in ("best_of", "best_of_many")}
+    monkeypatch.setattr(medoids, "FEW", few)
+    for name in kept:
+        monkeypatch.setattr(medoids, name, lambda t, some, *more, name=name: summed.append((name, some.count() if name.endswith("many") else len(some))) or kept[name](t, some, *more))
+    assert sorted(i for i, _ in medoids.swapped(rows, first)[0]) == coldstart.medoids(points, 4).tolist()
+    assert {name for name, _ in summed} == {"best_of" if few else "best_of_many"}
+    assert len(summed) > 3 and np.mean([n for _, n in summed]) < 1_500 / 20
+
+
 # --- linear models
 
 
